@@ -7,9 +7,25 @@ from pyspark.sql import functions as F
 
 from tripleforge.llm.leakage import leaked_items
 from tripleforge.llm.shared_spans import shared_shares, shared_spans
+from tripleforge.llm.spellings import name_entities, variant_pairs
 from tripleforge.runtime import load
 
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    tracks = load(spark, d, "soundtrack_tracks")
+    return name_entities(tracks.select(F.explode(F.array("performer", "composer", "lyrics_by")).alias("name")), "name")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different spellings of one person or group."""
+    return variant_pairs(_entities(spark, d))
+
+
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with the entity it names."""
+    return _entities(spark, d)
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with verbatim or reworded passages of evaluation items."""
     return leaked_items(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "text")
@@ -34,6 +50,6 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_shares(_spans(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_entities, p9_found, p9_leaks, p10_found, p10_shares)}
 
 ORACLES: dict[str, str] = {}
