@@ -50,6 +50,9 @@ NICKNAMES = {
 }
 #: What groups call themselves.
 GROUPS = "brass band|band|big band|choir|chorus|ensemble|orchestra|philharmonic|players|quartet|quintet|sextet|singers|symphony|trio|duo|collective|consort"
+#: Their abbreviations.
+SHORT_GROUPS = {"bd": "band", "chr": "choir", "ch": "choir", "ens": "ensemble", "orch": "orchestra", "phil": "philharmonic", "qrt": "quartet", "qt": "quartet", "tr": "trio", "symph": "symphony"}
+_SHORT = re.compile(rf"\b({'|'.join(SHORT_GROUPS)})\.(?=\W|$)")
 _GROUP = re.compile(rf"\b({GROUPS})\b")
 _LEAD = re.compile(r"^(?:(?:written|performed|composed|lyrics|music|produced|sung)\s+)?by\s+")
 _QUOTED = re.compile(r"[\"“”(][^\"“”)]*[\"“”)]")
@@ -77,6 +80,7 @@ def parse_name(name: str | None) -> tuple[str, str, str] | None:
     """
     text = _LEAD.sub("", " ".join(fold(name or "").split()))
     text = " ".join(_QUOTED.sub(" ", text).split())
+    text = _SHORT.sub(lambda m: SHORT_GROUPS[m[1]], text)
     if not text or text.strip(" .") in ("traditional", "trad"):
         return None
     if m := _GROUP.search(text):

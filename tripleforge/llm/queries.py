@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleforge.llm.leakage import leaked_items
+from tripleforge.llm.linkage import link_tracks
 from tripleforge.llm.shared_spans import shared_shares, shared_spans
 from tripleforge.llm.spellings import name_entities, variant_pairs
 from tripleforge.runtime import load
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks and the videos that present them, with a confidence."""
+    tracks = load(spark, d, "soundtrack_tracks").where("not coalesce(is_traditional, false)")
+    tracks = tracks.select("track_id", "title", F.coalesce("performer", "composer").alias("artist"), F.col("movie_title").alias("film"))
+    return link_tracks(tracks, load(spark, d, "youtube_videos"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks and the videos that present them."""
+    return p4_links(spark, d).select("track_id", "video_id")
+
+
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     tracks = load(spark, d, "soundtrack_tracks")
     return name_entities(tracks.select(F.explode(F.array("performer", "composer", "lyrics_by")).alias("name")), "name")
@@ -50,6 +63,6 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_shares(_spans(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_entities, p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_links, p7_found, p7_entities, p9_found, p9_leaks, p10_found, p10_shares)}
 
 ORACLES: dict[str, str] = {}
