@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleforge.llm.content import content_rates, content_scores
 from tripleforge.llm.leakage import leaked_items
 from tripleforge.llm.linkage import link_tracks
 from tripleforge.llm.shared_spans import shared_shares, shared_spans
@@ -12,6 +13,23 @@ from tripleforge.llm.spellings import name_entities, variant_pairs
 from tripleforge.runtime import load
 
 
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of every review and comment for abusive, hateful or sexual content."""
+    reviews = load(spark, d, "reviews").select(F.lit("reviews").alias("source_table"), F.col("review_id").alias("record_id"), "source", F.col("review_body").alias("text"))
+    comments = load(spark, d, "youtube_comments").select(F.lit("youtube_comments"), "comment_id", F.lit("youtube_comments"), "text")
+    return content_scores(reviews.union(comments), load(spark, d, "content_labels"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews and comments with such content."""
+    return p2_scores(spark, d).where("flagged").select("source_table", "record_id").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of such records per source."""
+    return content_rates(p2_scores(spark, d))
+
+
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
     """Tracks and the videos that present them, with a confidence."""
     tracks = load(spark, d, "soundtrack_tracks").where("not coalesce(is_traditional, false)")
@@ -63,6 +81,6 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_shares(_spans(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_links, p7_found, p7_entities, p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p2_rates, p4_found, p4_links, p7_found, p7_entities, p9_found, p9_leaks, p10_found, p10_shares)}
 
 ORACLES: dict[str, str] = {}
