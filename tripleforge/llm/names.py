@@ -61,9 +61,15 @@ _PLACE = re.compile(r"\s+(?:of|from)\s+\S.*$")
 CANONICAL = {short: frozenset(k for k, v in NICKNAMES.items() if short in v.split() or short == k) for line in [*NICKNAMES.values(), *NICKNAMES] for short in line.split()}
 
 
+#: Letters that have no decomposition, and what they are commonly written as.
+_LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i"})
+
+
 def fold(text: str) -> str:
     """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+    if text.isascii():
+        return text.lower()
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold().translate(_LETTERS)
 
 
 def given_names(name: str) -> frozenset[str]:

@@ -8,11 +8,32 @@ from pyspark.sql import functions as F
 from tripleforge.llm.content import content_rates, content_scores
 from tripleforge.llm.leakage import leaked_items
 from tripleforge.llm.linkage import link_tracks
+from tripleforge.llm.pii import find_pii, private_pii, redact
 from tripleforge.llm.shared_spans import shared_shares, shared_spans
 from tripleforge.llm.spellings import name_entities, variant_pairs
 from tripleforge.runtime import load
 
 
+def p1_pii(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information of private people in comments and in their authors' names."""
+    found = find_pii(load(spark, d, "youtube_comments"), "comment_id", ["text", "author"], author="author")
+    tracks, persons = load(spark, d, "soundtrack_tracks"), load(spark, d, "persons")
+    credited = tracks.select(F.explode(F.array("performer", "composer", "lyrics_by", "producer")).alias("name"))
+    listed = persons.select(F.explode(F.array("name", "alternate_name")).alias("name"))
+    return private_pii(found, credited.union(listed), "name")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Type and place of each piece of personal information."""
+    return p1_pii(spark, d).select("comment_id", "field", "pii_type", "start_pos").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Comments with personal information replaced by its type."""
+    comments = load(spark, d, "youtube_comments").select("comment_id", "video_id", "author", "text")
+    return redact(comments, p1_pii(spark, d), "comment_id", ["text", "author"])
+
+
 def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score of every review and comment for abusive, hateful or sexual content."""
     reviews = load(spark, d, "reviews").select(F.lit("reviews").alias("source_table"), F.col("review_id").alias("record_id"), "source", F.col("review_body").alias("text"))
@@ -81,6 +102,6 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_shares(_spans(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p2_rates, p4_found, p4_links, p7_found, p7_entities, p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pii, p1_redacted, p2_found, p2_scores, p2_rates, p4_found, p4_links, p7_found, p7_entities, p9_found, p9_leaks, p10_found, p10_shares)}
 
 ORACLES: dict[str, str] = {}
