@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleforge.llm.content import content_rates, content_scores
 from tripleforge.llm.leakage import leaked_items
 from tripleforge.llm.linkage import link_tracks
+from tripleforge.llm.packing import pack_documents, packing_report, token_counts
 from tripleforge.llm.pii import find_pii, private_pii, redact
 from tripleforge.llm.shared_spans import shared_shares, shared_spans
 from tripleforge.llm.spellings import name_entities, variant_pairs
 from tripleforge.runtime import load
 
+#: Where the files of public tokenizers are; never copied into the library.
+TOKENIZER = os.environ.get("TRIPLEFORGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def p1_pii(spark: SparkSession, d: str) -> DataFrame:
     """Personal information of private people in comments and in their authors' names."""
@@ -78,6 +84,16 @@ def p7_entities(spark: SparkSession, d: str) -> DataFrame:
     return _entities(spark, d)
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Training sequences of 512 to 4,096 tokens: every document with its sequence."""
+    return pack_documents(token_counts(load(spark, d, "documents"), "doc_id", "text", TOKENIZER), "doc_id", [512, 1024, 2048, 4096])
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full the sequences of each length are."""
+    return packing_report(p8_packed(spark, d))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with verbatim or reworded passages of evaluation items."""
     return leaked_items(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "text")
@@ -102,6 +118,6 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_shares(_spans(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pii, p1_redacted, p2_found, p2_scores, p2_rates, p4_found, p4_links, p7_found, p7_entities, p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pii, p1_redacted, p2_found, p2_scores, p2_rates, p4_found, p4_links, p7_found, p7_entities, p8_packed, p8_report, p9_found, p9_leaks, p10_found, p10_shares)}
 
 ORACLES: dict[str, str] = {}
