@@ -32,7 +32,7 @@ def best_matches(candidates: DataFrame, key: str, rank: str, scorer: Callable[[]
     """The candidate of greatest score per item. Where the scorer gives null for all of an item's candidates, the first
     by ``rank`` is taken with confidence ``fallback``; ties go to the least rank. Scores outside [0, 1] are clipped."""
     score = scorer() if callable(scorer) else scorer
-    rows = candidates.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score.cast("double"))))
+    rows = candidates.withColumn("confidence", F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score.cast("double")))))
     order = Window.partitionBy(key).orderBy(F.desc_nulls_last("confidence"), F.col(rank))
     first = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     return first.withColumn("scored", F.col("confidence").isNotNull()).withColumn("confidence", F.coalesce("confidence", F.lit(fallback)))
