@@ -40,9 +40,9 @@ def plan_packing(n_files: int, n_bytes: int, cores: int, target_bytes: int = 128
 
 
 def _inventory(df: DataFrame) -> tuple[int, int]:
-    """Number and total size of the files that ``df`` reads, from their metadata on the driver's file listing."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return len(df.inputFiles()), int(str(size))
+    """Number and total size of the files that ``df`` reads, from Spark's own file listing; 0 without files."""
+    files = len(df._jdf.inputFiles())
+    return files, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if files else 0
 
 
 def staged_write(df: DataFrame, path: str, n_files: int) -> dict:

@@ -63,7 +63,8 @@ def infer_delimiters(df: DataFrame, packed: str, source: list[str], min_score: f
 
 
 def split_values(df: DataFrame, packed: str, source: list[str] | None = None, value: str = "value", position: str = "pos") -> DataFrame:
-    """One row per value packed in column ``packed``; the other columns are kept and ``position`` counts from 1.
+    """One row per value packed in column ``packed``; the other columns are kept and ``position`` counts from 1. The packed
+    field itself is left out, as each of its values would repeat it.
 
     ``source`` names the columns of which each combination has its own delimiters (none: the table is one source).
     White space, enclosing quotes and escape signs are removed; blank values take no position; a value that occurs
@@ -71,21 +72,23 @@ def split_values(df: DataFrame, packed: str, source: list[str] | None = None, va
     an ordinary character. Rows with a null, empty or blank field yield no rows. Ties between candidates do not
     matter as every good one separates. Columns called like the result columns are replaced by them.
     """
-    source = source or []
-    kept = [c for c in df.columns if c not in (value, position)]
-    if not source:
-        df, source = df.withColumn("_source", F.lit(1)), ["_source"]
-    found = infer_delimiters(df.select(*dict.fromkeys([*source, packed])), packed, source)
+    names = df.columns
+    kept = [i for i, c in enumerate(names) if c not in (packed, value, position)]
+    place = {c: f"c{i}" for i, c in enumerate(names)}  # own names inside, so that no column can clash
+    df = df.toDF(*place.values())
+    field, keys = place[packed], [place[c] for c in source or []]
+    if not keys:
+        df, keys = df.withColumn("s", F.lit(1)), ["s"]
+    found = infer_delimiters(df.select(*dict.fromkeys([*keys, field])), field, keys)
     # one row per source: grows with the number of sources only
-    renamed = found.select(*[F.col(c).alias(f"_f_{c}") for c in source], F.col("delimiters").alias("_f"))
-    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(renamed[f"_f_{c}"]) for c in source])
-    joined = df.join(renamed, on, "left")
-    inside = F.concat(F.lit(r"\\"), _in_class(F.coalesce(F.col("_f"), F.lit(""))))
+    found = found.select(*[F.col(c).alias(f"f_{c}") for c in keys], F.col("delimiters").alias("f"))
+    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(found[f"f_{c}"]) for c in keys])
+    inside = F.concat(F.lit(r"\\"), _in_class(F.coalesce(F.col("f"), F.lit(""))))
     piece = F.concat(F.lit(f"(?:{_QUOTED}|{_ESCAPED}|[^“\""), inside, F.lit(r"]++|[“"), F.lit('"'), F.lit(r"\\])+"))
-    pieces = F.regexp_extract_all(F.col(packed), piece, F.lit(0))
-    trimmed = F.transform(pieces, clean_value)
-    values = F.filter(trimmed, lambda x: x != "")
-    return joined.select(*[df[c] for c in kept], F.posexplode(values).alias("_at", value)).select(*kept, (F.col("_at") + 1).cast("int").alias(position), value)
+    pieces = F.regexp_extract_all(F.col(field), piece, F.lit(0))
+    values = F.filter(F.transform(pieces, clean_value), lambda x: x != "")
+    rows = df.join(found, on, "left").select(*[f"c{i}" for i in kept], F.posexplode(values).alias("at", "v"))
+    return rows.select(*[F.col(f"c{i}").alias(names[i]) for i in kept], (F.col("at") + 1).cast("int").alias(position), F.col("v").alias(value))
 
 
 def clean_value(piece: Column) -> Column:

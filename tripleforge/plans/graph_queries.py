@@ -14,7 +14,9 @@ from tripleforge.sources.turtle import turtle_triples
 
 EX = "http://example.org/"
 _PREFIX = f"PREFIX ex: <{EX}>\n"
-ALL = F.lit("all")
+def _all():
+    return F.lit("all")
+
 
 
 def _iri(kind: str, column: str):
@@ -35,7 +37,7 @@ def _lifted(spark: SparkSession, d: str, *tables: str) -> DataFrame:
     for table in tables:
         kind, key, literals, links = shapes[table]
         properties = literals | {p: _iri(k, c) for p, (k, c) in links.items()}
-        one = lift(load(spark, d, table), ALL, _iri(kind, key), properties, f"{EX}{kind.title()}", tuple(links))
+        one = lift(load(spark, d, table), _all(), _iri(kind, key), properties, f"{EX}{kind.title()}", tuple(links))
         out = one if out is None else out.union(one)
     return out
 
@@ -82,7 +84,7 @@ def bgp_filter_typed(spark: SparkSession, d: str) -> DataFrame:
 def bgp_exists(spark: SparkSession, d: str) -> DataFrame:
     t = _lifted(spark, d, "supplier")
     lines = load(spark, d, "lineitem").select(_iri("supplier", "l_suppkey").alias("s"), "l_quantity").where("l_quantity >= 50").select("s").distinct()
-    large = lines.select(ALL.alias("g"), "s", F.lit("I").alias("s_kind"), F.lit(EX + "large").alias("p"), F.lit("true").alias("o"), F.lit("L").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+    large = lines.select(_all().alias("g"), "s", F.lit("I").alias("s_kind"), F.lit(EX + "large").alias("p"), F.lit("true").alias("o"), F.lit("L").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
     text = _PREFIX + 'SELECT ?name WHERE { ?s ex:name ?name . FILTER EXISTS { ?s ex:large "true" } }'
     return sparql.select(t.union(large), text).select("name")
 
@@ -114,13 +116,13 @@ def bgp_distinct_brands(spark: SparkSession, d: str) -> DataFrame:
 
 def path_plus_reachability(spark: SparkSession, d: str) -> DataFrame:
     movies = load(spark, d, "movies").groupBy("movie_id").agg(F.min("is_similar_to").alias("similar"))
-    edges = movies.select("movie_id", F.explode("similar").alias("iri")).where("iri is not null").select(ALL.alias("g"), F.col("movie_id").alias("a"), canonical_id(F.col("iri")).alias("b"))
+    edges = movies.select("movie_id", F.explode("similar").alias("iri")).where("iri is not null").select(_all().alias("g"), F.col("movie_id").alias("a"), canonical_id(F.col("iri")).alias("b"))
     pairs = patterns.closure(edges)
     return pairs.groupBy("a").agg(F.count("*").alias("n_reachable"))
 
 
 def value_any_deterministic(spark: SparkSession, d: str) -> DataFrame:
-    t = lift(load(spark, d, "orders"), ALL, _iri("customer", "o_custkey"), {EX + "status": "o_orderstatus"})
+    t = lift(load(spark, d, "orders"), _all(), _iri("customer", "o_custkey"), {EX + "status": "o_orderstatus"})
     return statistics.any_value(t, EX + "status", "status").select(_key("s").alias("o_custkey"), "status")
 
 
@@ -142,13 +144,13 @@ def typed_node_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def name_resolution(spark: SparkSession, d: str) -> DataFrame:
     persons = load(spark, d, "persons").dropDuplicates(["person_id"])
-    t = lift(persons, ALL, F.col("url"), {"schema:name": F.when(F.length("name") % 2 == 0, F.col("name")), "schema:performerIn": F.get("performer_in", F.lit(0))}, None, ("schema:performerIn",))
+    t = lift(persons, _all(), F.col("url"), {"schema:name": F.when(F.length("name") % 2 == 0, F.col("name")), "schema:performerIn": F.get("performer_in", F.lit(0))}, None, ("schema:performerIn",))
     return statistics.resolved_names(t).select("s", "name")
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     orders = load(spark, d, "orders")
-    one = lambda df: comparison.normalised(lift(df, ALL, _iri("order", "o_orderkey"), {EX + "status": "o_orderstatus", EX + "priority": "o_orderpriority"}))
+    one = lambda df: comparison.normalised(lift(df, _all(), _iri("order", "o_orderkey"), {EX + "status": "o_orderstatus", EX + "priority": "o_orderpriority"}))
     return one(orders.where("o_orderstatus <> 'P'")), one(orders.where("o_totalprice < 200000"))
 
 

@@ -143,7 +143,7 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_best_match_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return _links(spark, d).select("c_custkey", "s_suppkey", F.round("confidence", 6).alias("confidence"), "scored")
+    return _links(spark, d).select("c_custkey", "s_suppkey", F.round("confidence", 7).alias("confidence"), "scored")
 
 
 def link_result_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -271,7 +271,7 @@ SELECT video_id, coalesce(regexp_matches(url, '^https?://(?:www\.)?youtube\.com/
 a AS (SELECT i.p_partkey, c.p_partkey AS candidate, 0 AS attempt FROM i JOIN c ON i.p_type = c.p_type AND i.p_brand = c.p_brand UNION ALL SELECT i.p_partkey, c.p_partkey, 1 FROM i JOIN c ON i.p_type = c.p_type),
 k AS (SELECT a.* FROM a JOIN (SELECT p_partkey, min(attempt) AS attempt FROM a GROUP BY 1) USING (p_partkey, attempt))
 SELECT i.p_partkey, candidate, CAST(attempt AS INTEGER) AS attempt, CASE WHEN attempt IS NULL THEN 'no candidates' END AS error FROM i LEFT JOIN k USING (p_partkey)""",
-    "link_best_match_fallback": f"WITH {_BEST} SELECT c_custkey, s_suppkey, round(coalesce(x, 0.3), 6) AS confidence, x IS NOT NULL AS scored FROM b",
+    "link_best_match_fallback": f"WITH {_BEST} SELECT c_custkey, s_suppkey, round(coalesce(x, 0.3), 7) AS confidence, x IS NOT NULL AS scored FROM b",
     "link_result_classes": f"WITH {_BEST}, r AS (SELECT customer.c_custkey, s_suppkey, CASE WHEN s_suppkey IS NOT NULL AND x IS NULL THEN 'e' END AS error FROM customer LEFT JOIN b USING (c_custkey)) SELECT count(*) FILTER (s_suppkey IS NOT NULL AND error IS NULL) AS n_success, count(*) FILTER (s_suppkey IS NULL AND error IS NULL) AS n_no_result, count(error) AS n_failure FROM r",
     "link_token_overlap": r"""WITH t AS (SELECT DISTINCT track_id, title, concat_ws(' ', movie_title, coalesce(performer, composer), title) AS q FROM soundtrack_tracks),
 w AS (SELECT track_id, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(q), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS b FROM t)

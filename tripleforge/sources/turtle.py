@@ -16,7 +16,7 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 #: The tokens of Turtle, tried in this order at each place.
 _TOKEN = re.compile(
     r"""(?P<skip>[\s\ufeff]+|\#[^\r\n]*)
-    |(?P<iri><[^<>"{}|^`\x00-\x1f]*>)
+    |(?P<iri><(?:[^<>"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
     |(?P<text>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?:[^"\\\r\n]|\\.)*"|'(?:[^'\\\r\n]|\\.)*')
     |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
     |(?P<type>\^\^)
