@@ -120,4 +120,17 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pii, p1_redacted, p2_found, p2_scores, p2_rates, p4_found, p4_links, p7_found, p7_entities, p8_packed, p8_report, p9_found, p9_leaks, p10_found, p10_shares)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+ig AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g)""",
+    "p10_found": """
+WITH w AS (SELECT doc_id, p, hash(substr(text, p + 1, 300)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS p FROM documents WHERE length(text) >= 300)),
+s AS (SELECT doc_id, p FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1) USING (h)),
+o AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 300 THEN 0 ELSE 1 END AS opens FROM s),
+r AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o)
+SELECT doc_id, CAST(min(p) AS INTEGER) AS start_pos, CAST(max(p) + 300 AS INTEGER) AS end_pos FROM r GROUP BY doc_id, run""",
+}
