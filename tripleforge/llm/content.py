@@ -121,9 +121,9 @@ class ContentModel:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Log-odds per text."""
-        codes, starts, text = segments(texts)
-        if not len(starts):
+        if not texts:
             return np.empty(0)
+        codes, starts, text = segments(texts)
         begin, end, segment = windows(starts, len(codes))
         text = text[segment]
         first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
