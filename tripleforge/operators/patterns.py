@@ -102,14 +102,15 @@ def star(triples: DataFrame, subject: str, predicates: dict[str, str], prefixes:
     return out.dropna(subset=list(wanted))
 
 
-def closure(edges: DataFrame, reflexive: bool = False) -> DataFrame:
+def closure(edges: DataFrame, reflexive: bool = False, starts: DataFrame | None = None) -> DataFrame:
     """Pairs (g, a, b) such that b can be reached from a over one or more edges (g, a, b); cycles are fine.
 
-    Semi-naive: each round extends only the pairs that the last one found and writes them to the shared folder. The
-    rounds are as many as the longest path is long.
+    ``starts`` (g, a) restricts where paths begin, so that only what they reach is computed, not all pairs. Semi-naive:
+    each round extends only the pairs that the last one found and writes them to the shared folder. The rounds are as
+    many as the longest shortest path is long.
     """
     edges = materialize(edges.select(GRAPH, "a", "b").distinct(), "path")
-    reached = frontier = edges
+    reached = frontier = edges if starts is None else materialize(edges.join(starts.select(GRAPH, "a").distinct(), [GRAPH, "a"], "left_semi"), "path")
     step = edges.select(GRAPH, F.col("a").alias("b"), F.col("b").alias("c"))
     while True:
         found = frontier.join(step, [GRAPH, "b"]).select(GRAPH, "a", F.col("c").alias("b")).distinct()
@@ -119,5 +120,7 @@ def closure(edges: DataFrame, reflexive: bool = False) -> DataFrame:
         reached = reached.union(frontier)
     if reflexive:
         nodes = edges.select(GRAPH, F.explode(F.array("a", "b")).alias("a")).distinct()
+        if starts is not None:
+            nodes = nodes.join(starts.select(GRAPH, "a").distinct(), [GRAPH, "a"], "left_semi")
         reached = reached.union(nodes.withColumn("b", F.col("a"))).distinct()
     return reached

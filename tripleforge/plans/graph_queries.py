@@ -116,9 +116,10 @@ def bgp_distinct_brands(spark: SparkSession, d: str) -> DataFrame:
 
 def path_plus_reachability(spark: SparkSession, d: str) -> DataFrame:
     movies = load(spark, d, "movies").groupBy("movie_id").agg(F.min("is_similar_to").alias("similar"))
-    edges = movies.select("movie_id", F.explode("similar").alias("iri")).where("iri is not null").select(_all().alias("g"), F.col("movie_id").alias("a"), canonical_id(F.col("iri")).alias("b"))
-    pairs = patterns.closure(edges)
-    return pairs.groupBy("a").agg(F.count("*").alias("n_reachable"))
+    edges = movies.select("movie_id", F.explode("similar").alias("iri")).where("iri is not null").select(F.col("movie_id").alias("s"), canonical_id(F.col("iri")).alias("o"))
+    t = edges.select(_all().alias("g"), "s", F.lit("I").alias("s_kind"), F.lit(EX + "similar").alias("p"), "o", F.lit("I").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+    text = _PREFIX + "SELECT ?from ?to WHERE { { BIND(\"late\" AS ?from) <tt900000015> ex:similar+ ?to } UNION { BIND(\"to first\" AS ?from) ?to ex:similar+ <tt900000003> } }"
+    return sparql.select(t, text).select("from", "to").distinct()
 
 
 def value_any_deterministic(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +219,9 @@ ORACLES = {
     "bgp_bind_values": "SELECT c_name AS name, round(c_acctbal * 2, 2) AS twice FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 9000",
     "bgp_distinct_brands": "SELECT DISTINCT p_brand AS brand FROM part WHERE p_size IN (1, 2, 3)",
     "path_plus_reachability": f"""WITH RECURSIVE e AS (SELECT DISTINCT movie_id AS a, {_CANON.format('iri')} AS b FROM (SELECT movie_id, unnest(min(is_similar_to)) AS iri FROM movies GROUP BY movie_id) WHERE iri IS NOT NULL),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, count(*) AS n_reachable FROM r GROUP BY 1""",
+f AS (SELECT b FROM e WHERE a = 'tt900000015' UNION SELECT e.b FROM f JOIN e ON f.b = e.a),
+t AS (SELECT a FROM e WHERE b = 'tt900000003' UNION SELECT e.a FROM t JOIN e ON t.a = e.b)
+SELECT 'late' AS "from", b AS "to" FROM f UNION ALL SELECT 'to first', a FROM t""",
     "value_any_deterministic": "SELECT o_custkey, min(o_orderstatus) AS status FROM orders GROUP BY 1",
     "triples_per_graph": """WITH m AS (SELECT DISTINCT ON (movie_id) * FROM movies ORDER BY movie_id),
 t AS (SELECT movie_id, 'name' AS p, name AS o FROM m UNION SELECT movie_id, 'genre', unnest(genre) FROM m UNION SELECT movie_id, 'lang', unnest(in_language) FROM m UNION SELECT movie_id, 'rating', content_rating FROM m UNION SELECT movie_id, 'type', 'Movie' FROM m)

@@ -398,6 +398,11 @@ def _literal(e: tuple) -> str:
     return e[1][1:-1]
 
 
+def _bound(edges: DataFrame, term: str, prefixes: dict) -> DataFrame:
+    """The one start of a path, in every graph."""
+    return edges.select(GRAPH).distinct().withColumn("a", F.lit(_text(term, prefixes)))
+
+
 def _path(triples: DataFrame, s: str, path: tuple, o: str, prefixes: dict, fresh: list[int]) -> DataFrame:
     op = path[0]
     if op == "term":
@@ -415,8 +420,14 @@ def _path(triples: DataFrame, s: str, path: tuple, o: str, prefixes: dict, fresh
     if op == "?":
         nodes = triples.select(GRAPH, F.col("s").alias("a")).union(triples.select(GRAPH, "o")).distinct()
         pairs = edges.union(nodes.withColumn("b", F.col("a"))).distinct()
+    elif not is_variable(s):
+        pairs = algebra.closure(edges, op == "*", _bound(edges, s, prefixes))
+    elif not is_variable(o):
+        # from the bound end against the direction of the edges
+        back = edges.select(GRAPH, F.col("b").alias("a"), F.col("a").alias("b"))
+        pairs = algebra.closure(back, op == "*", _bound(edges, o, prefixes)).select(GRAPH, F.col("b").alias("a"), F.col("a").alias("b"))
     else:
-        pairs = algebra.closure(edges, reflexive=op == "*")
+        pairs = algebra.closure(edges, op == "*")
     out, names = pairs, {}
     for place, term in (("a", s), ("b", o)):
         if is_variable(term):
