@@ -95,3 +95,20 @@ def test_first_names(spark):
     df = spark.createDataFrame([("k", f"n{i:02d}") for i in range(12)] + [("j", "x"), ("j", None)], "k string, n string")
     out = {r["k"]: r["names"] for r in statistics.first_names(df, ["k"], "n").collect()}
     assert out["j"] == "x" and out["k"].endswith("n09...")
+
+
+def test_main_entities_and_injection(spark):
+    from tripleforge.operators import media
+
+    text = """@prefix schema: <http://schema.org/> .
+<http://m> schema:actor <http://p/nm1>, <http://p/nm2> ; schema:audio [ a schema:MusicRecording ; schema:name " Red \\"River\\"" ; schema:recordingOf [ schema:author <http://p/nm2> ] ] , <http://r2> .
+<http://r2> a schema:MusicRecording ; schema:name "Blue" ; schema:url "old" ; schema:byArtist <http://p/nm1> .
+<http://p/nm1> schema:name "Ann Bell" . <http://i> schema:caption "Ann Bell and others" ."""
+    triples = turtle_triples(spark.createDataFrame([("g", text)], "id string, t string"), "id", "t").select(*COLUMNS)
+    assert [tuple(r) for r in media.main_entities(triples).select("image", "person").collect()] == [("http://i", "http://p/nm1")]
+    links = spark.createDataFrame([("g", 'red "river"', "u1", 1), ("g", 'RED "RIVER" ', "u2", 2), ("g", "blue", "u3", 1), ("g", "none", "u4", 1), ("h", "blue", "u5", 1)], "g string, title string, url string, pos int")
+    done, lost = media.inject_urls(triples, links)
+    assert sorted(r["o"] for r in done.where("p = 'http://schema.org/url'").collect()) == ["old", "u2"]
+    assert sorted(r["url"] for r in lost.collect()) == ["u4", "u5"]
+    records = {r["title"]: r for r in media.soundtrack_records(triples).collect()}
+    assert records["Blue"]["performer"] == "Ann Bell" and records[' Red "River"']["composer"] == "nm2"
