@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleforge.llm.names import NICKNAMES, fold, given_names, parse_name
-from tripleforge.runtime import spread
+from tripleforge.runtime import materialize, spread
 
 TYPES = ("email", "phone", "identity_number", "street_address", "person_name")
 
@@ -272,7 +272,8 @@ def find_pii(records: DataFrame, key: str, fields: list[str], author: str | None
 
     ``author`` names the field that holds a writer's name rather than prose. Null and empty texts have none; a
     repeated record gives its segments as often as it comes; segments of one text never overlap, and of equally good
-    segmentations the one met first from the left is taken. Other columns are ignored.
+    segmentations the one met first from the left is taken. Other columns are ignored. The segments found, a small part of
+    the texts, are written once, as their users read them several times.
     """
     shared = records.sparkSession.sparkContext.broadcast(trained_field())
 
@@ -288,7 +289,8 @@ def find_pii(records: DataFrame, key: str, fields: list[str], author: str | None
             yield pd.DataFrame(rows, columns=["key", "field", "pii_type", "start_pos", "end_pos", "value"])
 
     held = spread(records.select(key, *fields))
-    return held.mapInPandas(search, "key long, field string, pii_type string, start_pos int, end_pos int, value string").withColumnRenamed("key", key)
+    found = held.mapInPandas(search, "key long, field string, pii_type string, start_pos int, end_pos int, value string")
+    return materialize(found, "pii").withColumnRenamed("key", key)
 
 
 def _person_keys(names: DataFrame, column: str) -> DataFrame:
