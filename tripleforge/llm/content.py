@@ -221,7 +221,7 @@ def content_scores(records: DataFrame, labels: DataFrame, max_labels: int = 10_0
     drawn = [F.xxhash64("source_table", "record_id"), "source_table", "record_id"]
     positive = wanted.where("is_abusive = 1").orderBy(*drawn).limit(max_labels // 2)
     wanted = positive.union(wanted.where("is_abusive <> 1").orderBy(*drawn).limit(max_labels // 2))
-    known = records.join(wanted, ["source_table", "record_id"]).dropDuplicates(["source_table", "record_id"]).select("source_table", "record_id", "text", "is_abusive").collect()
+    known = records.join(F.broadcast(wanted), ["source_table", "record_id"]).dropDuplicates(["source_table", "record_id"]).select("source_table", "record_id", "text", "is_abusive").collect()
     known.sort(key=lambda r: (r["source_table"], r["record_id"]))
     model = train_content_model([r["text"] for r in known], [int(r["is_abusive"]) for r in known])
     shared = records.sparkSession.sparkContext.broadcast(model)
