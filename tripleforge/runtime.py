@@ -39,11 +39,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute ``df`` only if its scan has fewer splits than there are cores (one small file, for instance).
+    """Redistribute ``df`` for a Python stage, which costs far more per row than an exchange of few bytes.
 
-    Python stages cost far more per row than the exchange of such a small input. Larger inputs stay as they are.
+    A scan is left as it is unless it has fewer splits than half the cores (one small file, for instance). What comes
+    out of an aggregation or join would be merged into partitions by its size in bytes, so it gets the configured number
+    of partitions. Looking at the plan runs nothing: the number of partitions is asked of scans only.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(x in plan for x in ("Aggregate", "Join", "Window")):
+        return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
