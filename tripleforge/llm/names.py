@@ -51,8 +51,8 @@ NICKNAMES = {
 #: What groups call themselves.
 GROUPS = "brass band|band|big band|choir|chorus|ensemble|orchestra|philharmonic|players|quartet|quintet|sextet|singers|symphony|trio|duo|collective|consort"
 #: Their abbreviations.
-SHORT_GROUPS = {"bd": "band", "chr": "choir", "ch": "choir", "ens": "ensemble", "orch": "orchestra", "phil": "philharmonic", "qrt": "quartet", "qt": "quartet", "tr": "trio", "symph": "symphony"}
-_SHORT = re.compile(rf"\b({'|'.join(SHORT_GROUPS)})\.(?=\W|$)")
+SHORT_GROUPS = {"bd": "band", "chr": "choir", "ch": "choir", "ens": "ensemble", "orch": "orchestra", "phil": "philharmonic", "qrt": "quartet", "qt": "quartet", "tr": "trio", "symph": "symphony", "sngrs": "singers", "plrs": "players"}
+_SHORT = re.compile(rf"\b(?:({'|'.join(SHORT_GROUPS)})\.(?=\W|$)|({'|'.join(k for k in SHORT_GROUPS if len(k) > 3 and k != 'phil')})\b)")
 _GROUP = re.compile(rf"\b({GROUPS})\b")
 _LEAD = re.compile(r"^(?:(?:written|performed|composed|lyrics|music|produced|sung)\s+)?by\s+")
 _QUOTED = re.compile(r"[\"“”(][^\"“”)]*[\"“”)]")
@@ -82,11 +82,12 @@ def parse_name(name: str | None) -> tuple[str, str, str] | None:
 
     kind is 'group', 'full' (a given name in letters), 'initial' (its first letter only) or 'family' (none). Middle
     initials and quoted nicknames are left out, "Family, Given" and "Family Given" are turned round if the given name
-    is a known one, and lead-ins such as "by" are removed. Null for names without letters and for 'traditional'.
+    is a known one, and lead-ins such as "by" are removed. A name of three words or more that begins with "the" is a group
+    of whatever type. Null for names without letters and for 'traditional'.
     """
     text = _LEAD.sub("", " ".join(fold(name or "").split()))
     text = " ".join(_QUOTED.sub(" ", text).split())
-    text = _SHORT.sub(lambda m: SHORT_GROUPS[m[1]], text)
+    text = _SHORT.sub(lambda m: SHORT_GROUPS[m[1] or m[2]], text)
     if not text or text.strip(" .") in ("traditional", "trad"):
         return None
     if m := _GROUP.search(text):
@@ -101,6 +102,8 @@ def parse_name(name: str | None) -> tuple[str, str, str] | None:
     else:
         if not words:
             return None
+        if words[0] == "the" and len(words) > 2:
+            return ("group", " ".join(words[1:-1]), words[-1])
         if len(words) > 1 and words[-1].rstrip(".") in CANONICAL and words[0] not in CANONICAL and not words[0].endswith("."):
             words = [words[-1], words[0]]
         family = words.pop().rstrip(".")
@@ -116,6 +119,14 @@ def typo_distance(a: str, b: str, limit: int = 1) -> int:
     """Edits (insertion, deletion, substitution, swap of neighbours) from a to b within the band; limit + 1 if more."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
+    if a == b:
+        return 0
+    if limit == 1:
+        # what follows the first difference decides
+        i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        if a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]:
+            return 1
+        return 1 if a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :] else 2
     far = limit + 1
     before, row = None, {j: j for j in range(min(len(b), limit) + 1)}
     for i in range(1, len(a) + 1):
