@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleforge.runtime import shared_dir, tuned
+from tripleforge.runtime import scratch_path, tuned
 
 MB = 1 << 20
 
@@ -115,7 +115,7 @@ def graph_catalogue(spark: SparkSession, files: DataFrame, target: str | None =
             yield pd.DataFrame({"file_id": frame["file_id"], "path": frame["path"], "n_triples": [len(r[0]) for r in rows], "digest": [r[1] for r in rows], "triples": [r[0] for r in rows], "error": [r[2] for r in rows]})
 
     plan = plan_packing(*_inventory(files), spark.sparkContext.defaultParallelism, target_bytes)
-    target = target or f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    target = target or scratch_path(spark, "catalogue")
     with tuned(spark, spark__sql__files__maxPartitionBytes=plan.split_bytes, spark__sql__files__openCostInBytes=plan.open_cost):
         packed = files.select("file_id", "path", "content")
         if packed.rdd.getNumPartitions() * 2 <= spark.sparkContext.defaultParallelism:

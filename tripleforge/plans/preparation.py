@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripleforge.operators.compaction import equal_graphs, graph_catalogue, merge_graphs
 from tripleforge.operators.multivalue import delimiter_scores, split_values
 from tripleforge.operators.references import orphan_references, orphan_report, referenced_id
-from tripleforge.runtime import load, shared_dir
+from tripleforge.runtime import load, scratch_path
 
 
 def _catalogue(spark: SparkSession, d: str) -> DataFrame:
@@ -22,9 +22,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
     """Report of consolidating all files: triples delivered, and distinct triples written and verified."""
-    import uuid
-
-    return merge_graphs(_catalogue(spark, d), f"{shared_dir(spark)}/graphs-{uuid.uuid4().hex}")
+    return merge_graphs(_catalogue(spark, d), scratch_path(spark, "graphs"))
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
@@ -28,12 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, remembered for ``discard``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder, once no result reads it any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        deleted += path.getFileSystem(conf).delete(path, True)
+    return deleted
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts lineage and lets several consumers share one computation. The files survive the loss of executors.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
