@@ -195,7 +195,7 @@ def leaked_items(documents: DataFrame, doc_key: str, doc_text: str, items: DataF
 
     All documents are cut into overlapping passages of ``size`` words; candidates are passages whose cosine with an
     item is at least ``threshold`` in the latent space. A stretch of ``run`` words lies wholly in some passage if
-    ``size - run + 1 >= stride``. Null keys and null, empty or wordless texts match nothing; items shorter than
+    ``size - run + 1 >= stride``; ``size`` has to be a multiple of ``stride``. Null keys and null, empty or wordless texts match nothing; items shorter than
     ``run`` words can only be paraphrased; repeated keys give one row. Other columns are ignored.
     """
     held = spread(documents.select(F.col(doc_key).cast("long").alias("doc"), F.col(doc_text).alias("text")).where("doc is not null and text is not null"))
@@ -221,7 +221,7 @@ def _search(texts: DataFrame, items: list[tuple[int, list[str]]], run: int, thre
     for i, (_, words) in enumerate(items):
         for j in range(len(words) - run + 1):
             grams.setdefault(tuple(words[j : j + run]), set()).add(i)
-    shared = texts.sparkSession.sparkContext.broadcast((space.words, queries, items, grams))
+    shared = texts.sparkSession.sparkContext.broadcast((np.vstack([space.words, np.zeros((1, space.words.shape[1]), dtype=np.float32)]), queries, items, grams))
     names = [c.split("`")[1] for c in schema.split(",")[:2]]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,25 +231,31 @@ def _search(texts: DataFrame, items: list[tuple[int, list[str]]], run: int, thre
         numbers = [{w for w in words if w.isdigit()} for _, words in items]
 
         def passages(docs: list[tuple[int, list[str]]]) -> list[tuple]:
-            """Candidate (doc, item) pairs of some documents or parts of one, checked."""
-            flat = np.array([ids[w] for _, words in docs for w in words], dtype=np.int64)
-            ends = np.cumsum([len(words) for _, words in docs])
-            sums = np.zeros((len(flat) + 1, latent.shape[1]), dtype=np.float64)
-            np.cumsum(latent[flat], axis=0, out=sums[1:], dtype=np.float64)
-            starts, lasts, owner = [], [], []
-            for k, (end, (_, words)) in enumerate(zip(ends, docs, strict=True)):
-                begin = end - len(words)
-                own = np.arange(begin, max(begin + 1, end - size + stride), stride)
-                starts.append(own)
-                lasts.append(np.minimum(own + size, end))
-                owner.append(np.full(len(own), k))
-            starts, lasts, owner = np.concatenate(starts), np.concatenate(lasts), np.concatenate(owner)
-            vectors = (sums[lasts] - sums[starts]).astype(np.float32)
-            vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-            cosines = vectors @ queries.T
+            """Candidate (doc, item) pairs of some documents or parts of one, checked.
+
+            Words are summed in blocks of ``stride``, and blocks in passages; documents are filled up with blocks of
+            a word without vector, so that a passage lies in one of them.
+            """
+            filled = [max(size, -(-len(words) // stride) * stride) for _, words in docs]
+            flat = np.full(sum(filled), FEATURES, dtype=np.int64)
+            at, firsts = 0, []
+            for n, (_, words) in zip(filled, docs, strict=True):
+                flat[at : at + len(words)] = [ids[w] for w in words]
+                firsts.append(at // stride)
+                at += n
+            blocks = latent[flat].reshape(-1, stride, latent.shape[1]).sum(axis=1)
+            vectors = blocks.copy()
+            for j in range(1, size // stride):
+                vectors[:-j] += blocks[j:]
+            counts = [(n - size) // stride + 1 for n in filled]
+            owner = np.repeat(np.arange(len(docs)), counts)
+            starts = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            vectors = vectors[np.repeat(firsts, counts) + starts]
+            starts *= stride
+            cosines = (vectors @ queries.T) / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
             hits: dict[tuple[int, int], list] = {}
             for w, i in zip(*np.nonzero(cosines >= threshold), strict=True):
-                hits.setdefault((owner[w], i), []).append((cosines[w, i], starts[w] - (ends[owner[w]] - len(docs[owner[w]][1]))))
+                hits.setdefault((owner[w], i), []).append((cosines[w, i], starts[w]))
             out, runs = [], {}
             for (k, i), places in hits.items():
                 doc, words = docs[k]
