@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tripleforge.llm.hashing import Rolling, code_points, winnow
 from tripleforge.runtime import materialize, spread
 
-#: Phrases per automaton, and characters of text per task that streams past one.
+#: Phrases per automaton, characters of text per task that streams past one, and windows handed on at once.
 SHARD_PHRASES = 5_000
 SHARD_CHARS = 16_000_000
+FLUSH = 500_000
 
 
 def _anchors(texts: DataFrame, gram: int, width: int) -> DataFrame:
@@ -47,8 +48,12 @@ def _occurrences(routed: DataFrame, gram: int, span: int) -> DataFrame:
 
         first, second = Rolling(2), Rolling(3)
         shard, automaton, ready = None, None, False
+
+        def packed(out: list) -> pd.DataFrame:
+            return pd.DataFrame({"h1": np.concatenate([x[2] for x in out]), "h2": np.concatenate([x[3] for x in out]), "doc": np.concatenate([x[0] for x in out]), "pos": np.concatenate([x[1] for x in out])})
+
         for frame in frames:
-            out = []
+            out, held = [], 0
             for s, salt, kind, doc, text in zip(frame["shard"], frame["salt"], frame["kind"], frame["doc"], frame["text"], strict=True):
                 if (s, salt) != shard:
                     shard, automaton, ready = (s, salt), ahocorasick.Automaton(ahocorasick.STORE_INTS), False
@@ -72,8 +77,12 @@ def _occurrences(routed: DataFrame, gram: int, span: int) -> DataFrame:
                 at = np.flatnonzero(np.cumsum(edge)[: n - span + 1] > 0)
                 codes = code_points(text)
                 out.append((np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), first.windows(codes, span)[at].view(np.int64), (second.windows(codes, span)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                held += len(at)
+                if held >= FLUSH:
+                    yield packed(out)
+                    out, held = [], 0
             if out:
-                yield pd.DataFrame({"h1": np.concatenate([x[2] for x in out]), "h2": np.concatenate([x[3] for x in out]), "doc": np.concatenate([x[0] for x in out]), "pos": np.concatenate([x[1] for x in out])})
+                yield packed(out)
 
     return routed.mapInPandas(search, "h1 long, h2 int, doc long, pos int")
 
@@ -104,15 +113,15 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 300, gram: int
     groups = digests.groupBy("digest").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
     single = groups.select("doc").distinct()
     whole = digests.join(groups.where("copies > 1").select("digest"), "digest").select("doc", F.lit(0).alias("start_pos"), F.col("n").alias("end_pos"), F.col("n").alias("n_chars"))
-    texts = held.join(single, "doc", "left_semi")
-    anchors = materialize(_anchors(spread(texts.select("doc", "text")), gram, width), "anchors")
+    # texts are winnowed where they are read; only their phrases are reduced to those of one copy
+    anchors = materialize(_anchors(spread(held.select("doc", "text")), gram, width).join(single, "doc", "left_semi"), "anchors")
     recurring = anchors.groupBy("phrase").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").drop("last")
     found = materialize(anchors.join(recurring, "phrase"), "recurring")
     shards = max(1, -(-recurring.count() // SHARD_PHRASES))
     found = found.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int"))
     own = F.when(F.col("doc") == F.col("owner"), F.struct("shard", "phrase", "pos"))
     routes = found.groupBy("doc").agg(F.collect_set("shard").alias("shards"), F.collect_list(own).alias("own"))
-    routed = texts.join(routes, "doc")
+    routed = held.join(routes, "doc")
     loads = routed.select(F.explode("shards").alias("shard"), "n").groupBy("shard").agg(F.ceil(F.sum("n") / SHARD_CHARS).cast("int").alias("parts"))
     sources = materialize(routed, "routed")
     loads = materialize(loads, "loads")
