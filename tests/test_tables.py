@@ -126,3 +126,13 @@ def test_streaming(spark, tmp_path):
         (tmp_path / "in" / "tt2.ttl").write_text('<http://b> <http://p> "3" .')
     assert {r["g"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"tt1", "tt2"}
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_names_anywhere_in_a_title(spark, tmp_path):
+    from tripleforge.plans import table_queries
+
+    titles = [("v1", "Ann Bell - Red Moon (Official)"), ("v2", "Red Moon"), ("v3", "Moonlight (Red Moon)"), ("v4", "Hundred Moons"), ("v5", None), ("v2", "Red Moon"), ("v6", "Ann - !!!")]
+    spark.createDataFrame(titles, "video_id string, title string").write.parquet(f"{tmp_path}/youtube_videos.parquet")
+    spark.createDataFrame([(" Red Moon ",), ("Red Moon",), ("Moon",), ("!!!",), ("",), (None,)], "title string").write.parquet(f"{tmp_path}/soundtrack_tracks.parquet")
+    got = sorted(map(tuple, table_queries.caption_mentions_anywhere(spark, str(tmp_path)).collect()))
+    assert got == [("v1", "Moon"), ("v1", "Red Moon"), ("v2", "Moon"), ("v2", "Red Moon"), ("v3", "Moon"), ("v3", "Red Moon"), ("v6", "!!!")]

@@ -175,6 +175,16 @@ def caption_contains_entity(spark: SparkSession, d: str) -> DataFrame:
     return linking.mentions(descriptions, names, ["k"], "title", "name").select("video_id", "name")
 
 
+def caption_mentions_anywhere(spark: SparkSession, d: str) -> DataFrame:
+    """As caption_contains_entity, but a name may begin at any word of the title; words are runs of letters and digits."""
+    word = r"[\p{L}\p{N}]+"
+    videos = load(spark, d, "youtube_videos").select("video_id", "title").distinct().where("title is not null")
+    # the empty word is for names without letters and digits
+    words = F.array_distinct(F.array_append(F.regexp_extract_all("title", F.lit(word), F.lit(0)), F.lit("")))
+    names = load(spark, d, "soundtrack_tracks").select(F.trim("title").alias("name")).distinct().where("name <> ''").withColumn("k", F.regexp_extract("name", word, 0))
+    return linking.mentions(videos.withColumn("k", F.explode(words)), names, ["k"], "title", "name").select("video_id", "name").distinct()
+
+
 def skip_existing_increment(spark: SparkSession, d: str) -> DataFrame:
     done = load(spark, d, "content_labels").where("source_table = 'reviews'").select(F.col("record_id").alias("review_id"))
     return linking.skip_existing(load(spark, d, "reviews").select("review_id", "movie_id").distinct(), done, "review_id")
@@ -221,7 +231,7 @@ def qa_entries_flatten(spark: SparkSession, d: str) -> DataFrame:
     return qa_entries(movies.select(doc.alias("text")), "text")
 
 
-_FUNCTIONS = (lexical_property_count, modality_row, modality_summary, modality_breakdown, category_rollup, summary_metrics, top20_by_count, argmax_graph, names_first10_joined, failure_tallies, label_samples, url_id_extract, url_occurrences_vs_unique, strip_query_absolute, title_normalise, human_number_parse, by_pattern_counts, json_path_props, html_breaks, credit_state_machine, video_links, link_relax_cascade, link_best_match_fallback, link_result_classes, link_token_overlap, inject_last_wins, inject_unmatched, caption_contains_entity, skip_existing_increment, external_ids_found, stratified_sample, subset_missing, reviewed_filter, decision_merge, pct_of_total, qa_entries_flatten)
+_FUNCTIONS = (lexical_property_count, modality_row, modality_summary, modality_breakdown, category_rollup, summary_metrics, top20_by_count, argmax_graph, names_first10_joined, failure_tallies, label_samples, url_id_extract, url_occurrences_vs_unique, strip_query_absolute, title_normalise, human_number_parse, by_pattern_counts, json_path_props, html_breaks, credit_state_machine, video_links, link_relax_cascade, link_best_match_fallback, link_result_classes, link_token_overlap, inject_last_wins, inject_unmatched, caption_contains_entity, caption_mentions_anywhere, skip_existing_increment, external_ids_found, stratified_sample, subset_missing, reviewed_filter, decision_merge, pct_of_total, qa_entries_flatten)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _COUNTED = """c AS (SELECT movie_id, unnest(regexp_extract_all(content, 'schema1?:([A-Za-z0-9_]+)', 1)) AS p FROM ttl_files),
@@ -279,6 +289,7 @@ SELECT track_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0
     "inject_last_wins": "WITH l AS (SELECT DISTINCT ON (user_id) user_id, value FROM events WHERE event_type = 'purchase' ORDER BY user_id, ts DESC, event_id DESC) SELECT u.user_id, l.value AS last_value FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l USING (user_id)",
     "inject_unmatched": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09)",
     "caption_contains_entity": "WITH v AS (SELECT DISTINCT video_id, title FROM youtube_videos WHERE title IS NOT NULL), n AS (SELECT DISTINCT trim(title) AS name FROM soundtrack_tracks WHERE title IS NOT NULL) SELECT video_id, name FROM v JOIN n ON split_part(v.title, ' ', 1) = split_part(name, ' ', 1) AND contains(v.title, name)",
+    "caption_mentions_anywhere": r"WITH v AS (SELECT DISTINCT video_id, title FROM youtube_videos WHERE title IS NOT NULL), n AS (SELECT DISTINCT trim(title) AS name FROM soundtrack_tracks WHERE trim(title) <> '') SELECT DISTINCT video_id, name FROM v JOIN n ON list_contains(list_append(regexp_extract_all(v.title, '[\p{L}\p{N}]+'), ''), regexp_extract(name, '[\p{L}\p{N}]+')) AND contains(v.title, name)",
     "skip_existing_increment": "SELECT DISTINCT review_id, movie_id FROM reviews WHERE review_id NOT IN (SELECT record_id FROM content_labels WHERE source_table = 'reviews')",
     "external_ids_found": "SELECT t.name, p.person_id FROM (SELECT DISTINCT producer AS name FROM soundtrack_tracks WHERE producer IS NOT NULL) t LEFT JOIN (SELECT name, min(person_id) AS person_id FROM persons GROUP BY 1) p USING (name)",
     "stratified_sample": "SELECT p_partkey, p_brand FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size = 1 THEN 0 ELSE 1 END, p_partkey * 7919 % 1009, p_partkey) <= 5",
