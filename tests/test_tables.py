@@ -136,3 +136,15 @@ def test_names_anywhere_in_a_title(spark, tmp_path):
     spark.createDataFrame([(" Red Moon ",), ("Red Moon",), ("Moon",), ("!!!",), ("",), (None,)], "title string").write.parquet(f"{tmp_path}/soundtrack_tracks.parquet")
     got = sorted(map(tuple, table_queries.caption_mentions_anywhere(spark, str(tmp_path)).collect()))
     assert got == [("v1", "Moon"), ("v1", "Red Moon"), ("v2", "Moon"), ("v2", "Red Moon"), ("v3", "Moon"), ("v3", "Red Moon"), ("v6", "!!!")]
+
+
+def test_cascade_and_pattern_counts_over_whole_tables(spark, tmp_path):
+    from tripleforge.plans import table_queries
+
+    parts = [(1, "a", "x", 1), (2, "a", "x", 20), (3, "b", "x", 30), (4, "a", "y", 50)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, table_queries.link_relax_cascade_all(spark, str(tmp_path)).collect()), key=repr)
+    assert got == [(1, 2, 0, None), (2, 1, 0, None), (3, 1, 1, None), (3, 2, 1, None), (4, None, None, "no candidates")]
+    docs = [("King of Rome", "en"), ("king of Spain", None), ("King of X", "EN"), ("roi of Y", "fr")]
+    spark.createDataFrame(docs, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["phrase"]: r["n"] for r in table_queries.by_pattern_counts_all(spark, str(tmp_path)).collect()} == {"king": 3, "roi": 1}

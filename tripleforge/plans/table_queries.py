@@ -100,6 +100,12 @@ def by_pattern_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.explode(F.transform(found, F.lower)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
+def by_pattern_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """As by_pattern_counts, over the documents of every language and those without one."""
+    found = F.regexp_extract_all("text", F.lit(r"([A-Za-z]+) of [A-Z]"), F.lit(1))
+    return load(spark, d, "documents").select(F.explode(F.transform(found, F.lower)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+
+
 def json_path_props(spark: SparkSession, d: str) -> DataFrame:
     doc = F.try_parse_json("props")
     return load(spark, d, "events").select("event_id", markup.at_path(doc, "$.k", "bigint").alias("k"), markup.at_path(doc, "$.missing.deep", "string").alias("missing"))
@@ -134,6 +140,22 @@ def link_relax_cascade(spark: SparkSession, d: str) -> DataFrame:
     return found.select("p_partkey", "candidate", "attempt", "error")
 
 
+def link_relax_cascade_all(spark: SparkSession, d: str) -> DataFrame:
+    """As link_relax_cascade, with every part as item and every other part as candidate.
+
+    Parts that are alone with their type and brand are known from counts, so that only they are joined by type.
+    """
+    parts = load(spark, d, "part").select("p_partkey", "p_brand", "p_type")
+    pool = parts.select(F.col("p_partkey").alias("candidate"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"))
+    several = parts.groupBy("p_type", "p_brand").agg(F.count("*").alias("_n")).where("_n > 1")
+    alone = parts.join(several, ["p_type", "p_brand"], "left_anti")
+    one = lambda items, c: items.join(pool, c & (items.p_partkey != pool.candidate)).select("p_partkey", "candidate")
+    near = one(parts, (parts.p_type == pool.t) & (parts.p_brand == pool.b)).withColumn("attempt", F.lit(0))
+    far = one(alone, alone.p_type == pool.t).withColumn("attempt", F.lit(1))
+    out = parts.select("p_partkey").join(near.union(far), "p_partkey", "left")
+    return out.withColumn("error", F.when(F.col("attempt").isNull(), F.lit("no candidates")))
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     customers = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     suppliers = load(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), "s_acctbal")
@@ -231,7 +253,7 @@ def qa_entries_flatten(spark: SparkSession, d: str) -> DataFrame:
     return qa_entries(movies.select(doc.alias("text")), "text")
 
 
-_FUNCTIONS = (lexical_property_count, modality_row, modality_summary, modality_breakdown, category_rollup, summary_metrics, top20_by_count, argmax_graph, names_first10_joined, failure_tallies, label_samples, url_id_extract, url_occurrences_vs_unique, strip_query_absolute, title_normalise, human_number_parse, by_pattern_counts, json_path_props, html_breaks, credit_state_machine, video_links, link_relax_cascade, link_best_match_fallback, link_result_classes, link_token_overlap, inject_last_wins, inject_unmatched, caption_contains_entity, caption_mentions_anywhere, skip_existing_increment, external_ids_found, stratified_sample, subset_missing, reviewed_filter, decision_merge, pct_of_total, qa_entries_flatten)
+_FUNCTIONS = (lexical_property_count, modality_row, modality_summary, modality_breakdown, category_rollup, summary_metrics, top20_by_count, argmax_graph, names_first10_joined, failure_tallies, label_samples, url_id_extract, url_occurrences_vs_unique, strip_query_absolute, title_normalise, human_number_parse, by_pattern_counts, by_pattern_counts_all, json_path_props, html_breaks, credit_state_machine, video_links, link_relax_cascade, link_relax_cascade_all, link_best_match_fallback, link_result_classes, link_token_overlap, inject_last_wins, inject_unmatched, caption_contains_entity, caption_mentions_anywhere, skip_existing_increment, external_ids_found, stratified_sample, subset_missing, reviewed_filter, decision_merge, pct_of_total, qa_entries_flatten)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _COUNTED = """c AS (SELECT movie_id, unnest(regexp_extract_all(content, 'schema1?:([A-Za-z0-9_]+)', 1)) AS p FROM ttl_files),
@@ -270,6 +292,7 @@ ORACLES = {
     "title_normalise": r"SELECT track_id, lower(trim(title, E' \t\r\n')) AS key, regexp_replace(trim(performer, E' \t\r\n'), '\s+', ' ', 'g') AS performer FROM soundtrack_tracks",
     "human_number_parse": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 100 AS votes FROM orders",
     "by_pattern_counts": "SELECT lower(p) AS phrase, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([A-Za-z]+) of [A-Z]', 1)) AS p FROM documents WHERE lang = 'en') GROUP BY 1",
+    "by_pattern_counts_all": "SELECT lower(p) AS phrase, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([A-Za-z]+) of [A-Z]', 1)) AS p FROM documents) GROUP BY 1",
     "json_path_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing FROM events",
     "html_breaks": r"WITH r AS (SELECT DISTINCT review_id, review_body FROM reviews), p AS (SELECT review_id, unnest(string_split(coalesce(review_body, ''), '<br/>')) AS x FROM r) SELECT review_id, count(*) AS n_paragraphs FROM p WHERE trim(x, E' \t\r\n') <> '' GROUP BY 1",
     "credit_state_machine": r"WITH t AS (SELECT DISTINCT track_id, trim(title, E' \t\r\n') AS title, lyrics_by, producer, is_traditional FROM soundtrack_tracks WHERE title IS NOT NULL) SELECT track_id, title, trim(lyrics_by, E' \t') AS lyrics_by, trim(producer, E' \t') AS producer, is_traditional FROM t",
@@ -281,6 +304,9 @@ SELECT video_id, coalesce(regexp_matches(url, '^https?://(?:www\.)?youtube\.com/
 a AS (SELECT i.p_partkey, c.p_partkey AS candidate, 0 AS attempt FROM i JOIN c ON i.p_type = c.p_type AND i.p_brand = c.p_brand UNION ALL SELECT i.p_partkey, c.p_partkey, 1 FROM i JOIN c ON i.p_type = c.p_type),
 k AS (SELECT a.* FROM a JOIN (SELECT p_partkey, min(attempt) AS attempt FROM a GROUP BY 1) USING (p_partkey, attempt))
 SELECT i.p_partkey, candidate, CAST(attempt AS INTEGER) AS attempt, CASE WHEN attempt IS NULL THEN 'no candidates' END AS error FROM i LEFT JOIN k USING (p_partkey)""",
+    "link_relax_cascade_all": """WITH a AS (SELECT i.p_partkey, c.p_partkey AS candidate, 0 AS attempt FROM part i JOIN part c ON i.p_type = c.p_type AND i.p_brand = c.p_brand AND i.p_partkey <> c.p_partkey UNION ALL SELECT i.p_partkey, c.p_partkey, 1 FROM part i JOIN part c ON i.p_type = c.p_type AND i.p_partkey <> c.p_partkey),
+k AS (SELECT a.* FROM a JOIN (SELECT p_partkey, min(attempt) AS attempt FROM a GROUP BY 1) USING (p_partkey, attempt))
+SELECT i.p_partkey, candidate, CAST(attempt AS INTEGER) AS attempt, CASE WHEN attempt IS NULL THEN 'no candidates' END AS error FROM part i LEFT JOIN k USING (p_partkey)""",
     "link_best_match_fallback": f"WITH {_BEST} SELECT c_custkey, s_suppkey, round(coalesce(x, 0.3), 7) AS confidence, x IS NOT NULL AS scored FROM b",
     "link_result_classes": f"WITH {_BEST}, r AS (SELECT customer.c_custkey, s_suppkey, CASE WHEN s_suppkey IS NOT NULL AND x IS NULL THEN 'e' END AS error FROM customer LEFT JOIN b USING (c_custkey)) SELECT count(*) FILTER (s_suppkey IS NOT NULL AND error IS NULL) AS n_success, count(*) FILTER (s_suppkey IS NULL AND error IS NULL) AS n_no_result, count(error) AS n_failure FROM r",
     "link_token_overlap": r"""WITH t AS (SELECT DISTINCT track_id, title, concat_ws(' ', movie_title, coalesce(performer, composer), title) AS q FROM soundtrack_tracks),
