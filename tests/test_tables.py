@@ -148,3 +148,17 @@ def test_cascade_and_pattern_counts_over_whole_tables(spark, tmp_path):
     docs = [("King of Rome", "en"), ("king of Spain", None), ("King of X", "EN"), ("roi of Y", "fr")]
     spark.createDataFrame(docs, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["phrase"]: r["n"] for r in table_queries.by_pattern_counts_all(spark, str(tmp_path)).collect()} == {"king": 3, "roi": 1}
+
+
+def test_names_and_links_of_every_row(spark, tmp_path):
+    from tripleforge.plans import graph_queries, media_queries
+
+    persons = [("nm1", "http://e/nm1", "Ann", ["http://e/tt1/", "http://e/tt2/"]), ("nm2", "http://e/nm2", "Anna", []), ("nm3", "http://e/nm3", None, ["http://e/tt3"])]
+    spark.createDataFrame(persons, "person_id string, url string, name string, performer_in array<string>").write.parquet(f"{tmp_path}/persons.parquet")
+    got = sorted(map(tuple, graph_queries.name_resolution_all(spark, str(tmp_path)).collect()))
+    assert got == [("http://e/nm1", "Ann"), ("http://e/nm2", "Anna"), ("http://e/nm3", "nm3"), ("http://e/tt1/", "tt1"), ("http://e/tt2/", "tt2"), ("http://e/tt3", "tt3")]
+    tracks = [(1, "m", "One"), (2, "m", "Two"), (3, "n", "One")]
+    schema = "track_id long, movie_id string, title string, performer string, composer string, lyrics_by string, producer string"
+    spark.createDataFrame([(*t, None, None, None, None) for t in tracks], schema).write.parquet(f"{tmp_path}/soundtrack_tracks.parquet")
+    assert sorted(map(tuple, media_queries.injected_urls_all(spark, str(tmp_path)).collect())) == [(1, "v/1"), (2, "v/2"), (3, "v/3")]
+    assert sorted(map(tuple, media_queries.injected_unmatched_all(spark, str(tmp_path)).collect())) == [("m", "no such one", "v/1"), ("m", "no such two", "v/2"), ("n", "no such one", "v/3")]
