@@ -206,3 +206,14 @@ def test_find_and_redact(spark):
     assert out[2]["text"] is None and out[3]["text"] == "" and out[4]["author"] == "Dorothy Lebatetralt"
     assert pii.redact(df, private, "comment_id", ["text", "author"]).count() == 5
     assert pii.find_pii(df.limit(0), "comment_id", ["text"]).count() == 0
+
+
+def test_pairs_farther_apart_than_the_window(spark):
+    """Many artists of one title whose names end alike, with a typo at the front of each name, and like titles."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("bcdfgklmnprst", k=7))
+    songs = [(i, "Midnight River", f"{word()} {word()}tist".title(), None) for i in range(150)]
+    slip = lambda a: f"{a.split()[0]} X{a.split()[1][1:]}"
+    videos = [(f"v{i}", f"{slip(a)} - Midnight River", "c", None) for i, _, a, _ in songs] + [(f"w{i}", f"{a} - Midnight Rivre", "c", None) for i, _, a, _ in songs]
+    want = {(i, f"{v}{i}") for i in range(150) for v in "vw"}
+    assert links(spark, songs, videos, 3) == want

@@ -79,16 +79,16 @@ def _reversed(text: str) -> str:
 
 
 def sort_keys(title: str, family: str) -> list[str]:
-    """Composite keys: either end of the artist's name with the title from either end.
+    """Composite keys: either end of the artist's name, and what precedes the last letters, with the title from either end.
 
     A typo in each of the two fields leaves one key that agrees up to a late place, so both records stay neighbours.
     """
-    ends = (family[:4], _reversed(family)[:4])
+    ends = (family[:4], _reversed(family)[:4], family[-8:-4])
     return [f"{n}{end}|{t}" for n, (end, t) in enumerate((e, t) for e in ends for t in (title, _reversed(title)))]
 
 
 def sliding_pairs(records: DataFrame, payload: list[str], compare: Callable, schema: str, width: int) -> DataFrame:
-    """Runs ``compare`` over all pairs of records at most ``width`` places apart in the order of ``key``.
+    """Runs ``compare`` over all pairs of records at most ``width`` places apart in the order of ``key`` and the payload.
 
     ``records`` has a string column key and the payload columns. Ranks are global: places within sorted partitions
     plus the sizes of the partitions before (one count per partition reaches the driver). Buckets of consecutive
@@ -96,7 +96,7 @@ def sliding_pairs(records: DataFrame, payload: list[str], compare: Callable, sch
     ``compare(frame, new)`` gets records in order of rank with the place of the first that is new.
     """
     spark = records.sparkSession
-    placed = records.repartitionByRange("key", *payload[:1]).sortWithinPartitions("key", *payload[:1])
+    placed = records.repartitionByRange("key", *payload).sortWithinPartitions("key", *payload)
     placed = materialize(placed.select("key", *payload, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")), "sorted")
     counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     starts, before = [], 0
@@ -155,7 +155,7 @@ def _compare(frame: pd.DataFrame, new: int, width: int) -> pd.DataFrame:
         at = at[(block[at] == block[at - off]) & (side[at] != side[at - off]) & (bucket[at] == bucket[at - off]) & (native[at] | native[at - off]) & (np.abs(length[at] - length[at - off]) <= 1) & ((head[at] == head[at - off]) | (tail[at] == tail[at - off]))]
         for i in at:
             j = i - off
-            slips = 0 if titles[i] == titles[j] else typo_distance(titles[i], titles[j]) if len(titles[i]) > 5 else 2
+            slips = 0 if titles[i] == titles[j] else typo_distance(titles[i], titles[j]) if max(length[i], length[j]) > 5 else 2
             if slips > 1 or not (artist := _agree(artists[i], artists[j])):
                 continue
             track, video = (i, j) if side[i] == 0 else (j, i)
@@ -163,13 +163,71 @@ def _compare(frame: pd.DataFrame, new: int, width: int) -> pd.DataFrame:
     return pd.DataFrame(songs, columns=["track", "video", "slips", "title_agrees", "artist_agrees"])
 
 
+def _less_a_letter(text: str) -> list[int]:
+    """Hashes of a text and of what is left of it without each of its letters, in time proportional to its length."""
+    base, modulus, before, powers = 1_000_003, (1 << 61) - 1, [0], [1]
+    for c in text:
+        before.append((before[-1] * base + ord(c)) % modulus)
+        powers.append(powers[-1] * base % modulus)
+    n, whole = len(text), before[-1]
+    return list({whole, *((before[i] * powers[n - 1 - i] + whole - before[i + 1] * powers[n - 1 - i]) % modulus for i in range(n))})
+
+
+def _title_pairs(tracks: DataFrame, videos: DataFrame) -> DataFrame:
+    """(title of a track, wanted, slips): all titles of videos that are it, or no track's title and one typo away.
+
+    Titles one typo apart have equal texts among themselves and what a letter less leaves of them.
+    """
+
+    def less(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(i, part) for i, t in zip(frame["id"], frame["title"], strict=True) for part in _less_a_letter(t)]
+            yield pd.DataFrame(rows, columns=["id", "part"])
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[typo_distance(a, b) <= 1 for a, b in zip(frame["title"], frame["wanted"], strict=True)]].assign(slips=1)
+
+    named = lambda df: df.select(F.xxhash64("title").alias("id"), "title")
+    parts = lambda df: named(df).where("length(title) >= 5").mapInPandas(less, "id long, part long")
+    unknown = videos.join(tracks, "title", "left_anti")
+    met = parts(tracks).join(parts(unknown).toDF("other", "part"), "part").select("id", "other").distinct()
+    met = met.join(named(tracks), "id").join(named(unknown).toDF("other", "wanted"), "other").where("greatest(length(title), length(wanted)) > 5").select("title", "wanted")
+    same = tracks.join(videos, "title", "left_semi").select("title", F.col("title").alias("wanted"), F.lit(0).alias("slips"))
+    return same.union(met.mapInPandas(near, "title string, wanted string, slips int"))
+
+
+def equal_pairs(readings_: DataFrame) -> DataFrame:
+    """Pairs of like titles whose family names begin or end alike, however many records lie between them.
+
+    One typo leaves the first or the last two letters of a family name as they were, so only family names with a typo
+    at both ends are left to the sliding window. Adaptive execution splits what frequent titles and names gather.
+    """
+    field = ["rid", "title", "kind", "family", "given"]
+    ends = F.array(F.concat(F.lit("a"), F.substring("family", 1, 2)), F.concat(F.lit("z"), F.substring("family", -2, 2)))
+    side = lambda n: readings_.where(f"side = {n}").select(*field, F.explode(ends).alias("end"))
+    titles = _title_pairs(*(readings_.where(f"side = {n}").select("title").distinct() for n in (0, 1)))
+    videos = side(1).toDF("video", "wanted", "kind_b", "family_b", "given_b", "end").join(titles, "wanted")
+    met = side(0).withColumnRenamed("rid", "track").join(videos, ["title", "end"])
+    met = met.where("(kind = 'group') = (kind_b = 'group') and (end like 'a%' or left(family, 2) <> left(family_b, 2)) and abs(length(family) - length(family_b)) <= 2").where(F.levenshtein("family", "family_b", 4) >= 0)
+
+    def agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ours, theirs = (zip(*(frame[c + x] for c in ("kind", "family", "given")), strict=True) for x in ("", "_b"))
+            out = frame[["track", "video", "slips"]].assign(title_agrees=1 - 0.2 * frame["slips"], artist_agrees=[_agree(a, b) for a, b in zip(ours, theirs, strict=True)])
+            yield out[out["artist_agrees"] > 0]
+
+    columns = ["track", "video", "slips", "kind", "family", "given", "kind_b", "family_b", "given_b"]
+    return met.select(*columns).mapInPandas(agree, "track long, video long, slips int, title_agrees double, artist_agrees double")
+
+
 def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFrame:
     """Tracks and the videos that present them: (track_id, video_id, confidence between 0 and 1).
 
     ``tracks``: track_id, title, artist, film. ``videos``: video_id, title, channel_title, description. A video is
     read in several ways as title and artist; what says it is a cover, lesson, trailer and so on is left out. The
-    distinct readings of both sides are sorted by each composite key, records at most ``width`` places apart are
-    compared by the agreement of title (weight 0.5), artist (0.4) and film (0.1), equal readings standing for all
+    distinct readings of both sides are sorted by each composite key; records at most ``width`` places apart, and at any
+    distance those of like titles whose family names begin or end alike, are compared by the agreement of title (weight 0.5), artist (0.4) and film (0.1), equal readings standing for all
     their records. A title with a typo counts only if it is not itself the title of another track.
 
     A video presents one song, so it is assigned to the song of greatest confidence; as any number of uploads may
@@ -210,7 +268,8 @@ def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFr
 
     payload = "rid long, side int, title string, kind string, family string, given string"
     records = readings_.mapInPandas(keyed, f"key string, {payload}")
-    pairs = materialize(sliding_pairs(records, ["rid", *field], _compare, "track long, video long, slips int, title_agrees double, artist_agrees double", width).distinct(), "pairs")
+    near = sliding_pairs(records, ["title", "family", "given", "kind", "side", "rid"], _compare, "track long, video long, slips int, title_agrees double, artist_agrees double", width)
+    pairs = materialize(near.union(equal_pairs(readings_)).distinct(), "pairs")
     own = rows.select("rid", "id", "film").distinct()
     titles = rows.where("side = 0").select("title").distinct()
     known = rows.where("side = 1").join(titles, "title", "left_semi").select(F.col("rid").alias("video")).distinct()
