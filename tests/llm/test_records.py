@@ -217,3 +217,10 @@ def test_pairs_farther_apart_than_the_window(spark):
     videos = [(f"v{i}", f"{slip(a)} - Midnight River", "c", None) for i, _, a, _ in songs] + [(f"w{i}", f"{a} - Midnight Rivre", "c", None) for i, _, a, _ in songs]
     want = {(i, f"{v}{i}") for i in range(150) for v in "vw"}
     assert links(spark, songs, videos, 3) == want
+
+
+def test_spellings_of_one_artist_are_one_song(spark):
+    names_ = ["Robert Cobbler", "Bob Cobbler", "R. Cobbler", "Robert Cobblre", "Rachel Carpenter", "Richard Carpenter", "R. Carpenter"]
+    tracks = [(i, "Red River", a, None) for i, a in enumerate(names_)] + [(9, "Blue River", "Bob Cobbler", None)]
+    videos = [("a", "Robert Cobbler - Red River", "c", None), ("b", "Richard Carpenter - Red River", "c", None), ("c", "Red River", "x", " ".join(f"Music: Person Number{x}." for x in "abcdef") + " Sung by Rachel Carpenter.")]
+    assert links(spark, tracks, videos) == {(0, "a"), (1, "a"), (2, "a"), (3, "a"), (5, "b"), (4, "c")}

@@ -62,7 +62,7 @@ def readings(title: str | None, channel: str | None, description: str | None) ->
             break
         text = shorter
     parts = [p for p in _BREAK.split(text) if p]
-    others = [m[1] for m in _CREDIT.finditer(description or "")][:4]
+    others = [m[1] for m in _CREDIT.finditer(description or "")]
     others.append(channel_artist(channel))
     out = []
     if len(parts) > 1:
@@ -221,6 +221,45 @@ def equal_pairs(readings_: DataFrame) -> DataFrame:
     return met.select(*columns).mapInPandas(agree, "track long, video long, slips int, title_agrees double, artist_agrees double")
 
 
+def _songs(frame: pd.DataFrame) -> pd.DataFrame:
+    """The song of each track reading of one title: readings whose artists are one entity share the least rid.
+
+    As for spellings of names, full names and groups are one if there is one typo at most, chains of such pairs belong
+    together, and an initial or bare family name joins the only artist that agrees with it, if there is just one.
+    """
+    rids = frame["rid"].tolist()
+    artists = list(zip(frame["kind"], frame["family"], frame["given"], strict=True))
+    parent = list(range(len(rids)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    near: dict[int, list[int]] = {}
+    for i, (kind, family, _) in enumerate(artists):
+        if kind in ("full", "group"):
+            for part in _less_a_letter(family):
+                near.setdefault(part, []).append(i)
+    alike = lambda i: {j for part in _less_a_letter(artists[i][1]) for j in near.get(part, ())}
+    for i, (kind, _, _) in enumerate(artists):
+        if kind in ("full", "group"):
+            for j in alike(i):
+                if j < i and artists[j][0] == kind and _agree(artists[i], artists[j]) >= 0.9:
+                    parent[root(i)] = root(j)
+    for i, (kind, _, _) in enumerate(artists):
+        if kind in ("initial", "family"):
+            met = {(root(j), _agree(artists[i], artists[j])) for j in alike(i)}
+            best = max((a for _, a in met), default=0)
+            fits = {r for r, a in met if a == best} if best > 0 else set()
+            if len(fits) == 1:
+                parent[i] = fits.pop()
+    least: dict[int, int] = {}
+    for i, rid in enumerate(rids):
+        least[root(i)] = min(rid, least.get(root(i), rid))
+    return pd.DataFrame({"track": rids, "entity": [least[root(i)] for i in range(len(rids))]})
+
+
 def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFrame:
     """Tracks and the videos that present them: (track_id, video_id, confidence between 0 and 1).
 
@@ -231,8 +270,8 @@ def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFr
     their records. A title with a typo counts only if it is not itself the title of another track.
 
     A video presents one song, so it is assigned to the song of greatest confidence; as any number of uploads may
-    present one song, this assignment maximises the total confidence. Tracks with the same title and artist are the
-    same song; ties between different songs go to the one whose film agrees, then to the least track_id. Null or
+    present one song, this assignment maximises the total confidence. Tracks with the same title and spellings of one
+    artist are the same song; ties between different songs go to the one whose film agrees, then to the least track_id. Null or
     unreadable titles and artists match nothing; repeated records count once; other columns are ignored.
     """
 
@@ -279,5 +318,6 @@ def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFr
     scored = met.withColumn("confidence", 0.5 * F.col("title_agrees") + 0.4 * F.col("artist_agrees") + 0.1 * film)
     best = scored.groupBy("track_id", "video_id").agg(F.max(F.struct("confidence", "track")).alias("m")).select("track_id", "video_id", "m.confidence", "m.track")
     order = Window.partitionBy("video_id").orderBy(F.desc("confidence"), F.col("track_id").cast("long"))
-    chosen = best.withColumn("song", F.first("track").over(order)).where("track = song")
+    songs = readings_.where("side = 0").groupBy("title").applyInPandas(_songs, "track long, entity long")
+    chosen = best.join(songs, "track").withColumn("song", F.first("entity").over(order)).where("entity = song")
     return chosen.select(F.col("track_id").cast("long").alias("track_id"), "video_id", F.round("confidence", 4).alias("confidence"))
