@@ -195,3 +195,12 @@ def test_token_counts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, body string")
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(df, "doc_id", "body", TOKENIZER).collect()}
     assert got[0] == len(encoder.encode_ordinary(texts[0])) and got[1] == got[2] == 0 and got[4] == len(encoder.encode_ordinary(texts[4])) and got[5] > 1_000 and got[6] >= 50_000
+
+
+def test_part_of_a_long_item(spark):
+    """A stretch of run words of an item of any length is found."""
+    r = random.Random(21)
+    items = [(i, prose(r, n)) for i, n in enumerate((40, 120, 300))]
+    docs = [(10 * i + k, " ".join([prose(r, 50), *q.split()[at : at + 12], prose(r, 50)]), "") for i, q in items for k, at in enumerate((0, 13, len(q.split()) - 12))]
+    want = {(i, 10 * i + k) for i in range(3) for k in range(3)}
+    assert {k for k, x in leaks(spark, docs, items).items() if x["kind"] == "verbatim"} >= want

@@ -194,7 +194,7 @@ def leaked_items(documents: DataFrame, doc_key: str, doc_text: str, items: DataF
     subsequence has ``paraphrase`` of the item's words and the numbers agree. One row per document and item.
 
     All documents are cut into overlapping passages of ``size`` words; candidates are passages whose cosine with an
-    item is at least ``threshold`` in the latent space. A stretch of ``run`` words lies wholly in some passage if
+    item, or with one of the overlapping passages of ``size`` words that it is cut into, is at least ``threshold`` in the latent space. A stretch of ``run`` words lies wholly in some passage if
     ``size - run + 1 >= stride``; ``size`` has to be a multiple of ``stride``. Null keys and null, empty or wordless texts match nothing; items shorter than
     ``run`` words can only be paraphrased; repeated keys give one row. Other columns are ignored.
     """
@@ -216,16 +216,19 @@ def _search(texts: DataFrame, items: list[tuple[int, list[str]]], run: int, thre
     if not items:
         return texts.sparkSession.createDataFrame([], schema)
     space = LatentSpace(texts, [w for _, w in items], size=size)
-    queries = np.stack([space.vector(w) for _, w in items])
+    # passages of an item as long as those of documents, so that a cosine means the same however long the item is
+    cuts = [[*range(0, len(w) - size, stride), max(0, len(w) - size)] for _, w in items]
+    queries = np.stack([space.vector(w[at : at + size]) for (_, w), own in zip(items, cuts, strict=True) for at in own] + [space.vector(w) for _, w in items])
+    asked = np.array([i for i, own in enumerate(cuts) for _ in own] + list(range(len(items))))
     grams: dict[tuple, set[int]] = {}
     for i, (_, words) in enumerate(items):
         for j in range(len(words) - run + 1):
             grams.setdefault(tuple(words[j : j + run]), set()).add(i)
-    shared = texts.sparkSession.sparkContext.broadcast((np.vstack([space.words, np.zeros((1, space.words.shape[1]), dtype=np.float32)]), queries, items, grams))
+    shared = texts.sparkSession.sparkContext.broadcast((np.vstack([space.words, np.zeros((1, space.words.shape[1]), dtype=np.float32)]), queries, asked, items, grams))
     names = [c.split("`")[1] for c in schema.split(",")[:2]]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        latent, queries, items, grams = shared.value
+        latent, queries, asked, items, grams = shared.value
         ids = _Ids()
         longest = max(len(w) for _, w in items)
         numbers = [{w for w in words if w.isdigit()} for _, words in items]
@@ -252,10 +255,12 @@ def _search(texts: DataFrame, items: list[tuple[int, list[str]]], run: int, thre
             starts = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
             vectors = vectors[np.repeat(firsts, counts) + starts]
             starts *= stride
-            cosines = (vectors @ queries.T) / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
+            vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
             hits: dict[tuple[int, int], list] = {}
-            for w, i in zip(*np.nonzero(cosines >= threshold), strict=True):
-                hits.setdefault((owner[w], i), []).append((cosines[w, i], starts[w]))
+            for first in range(0, len(queries), ITEM_BLOCK):
+                cosines = vectors @ queries[first : first + ITEM_BLOCK].T
+                for w, q in zip(*np.nonzero(cosines >= threshold), strict=True):
+                    hits.setdefault((owner[w], asked[first + q]), []).append((cosines[w, q], starts[w]))
             out, runs = [], {}
             for (k, i), places in hits.items():
                 doc, words = docs[k]
