@@ -224,3 +224,10 @@ def test_spellings_of_one_artist_are_one_song(spark):
     tracks = [(i, "Red River", a, None) for i, a in enumerate(names_)] + [(9, "Blue River", "Bob Cobbler", None)]
     videos = [("a", "Robert Cobbler - Red River", "c", None), ("b", "Richard Carpenter - Red River", "c", None), ("c", "Red River", "x", " ".join(f"Music: Person Number{x}." for x in "abcdef") + " Sung by Rachel Carpenter.")]
     assert links(spark, tracks, videos) == {(0, "a"), (1, "a"), (2, "a"), (3, "a"), (5, "b"), (4, "c")}
+
+
+def test_private_people_with_the_initial_of_a_public_one(spark):
+    found = [(1, "Peter Smith"), (2, "Paul Smith"), (3, "P. Smith"), (4, "Bob Jones"), (5, "Rachel Jones"), (6, "Carl Bell"), (7, "Dora Bell"), (8, "C. Bell")]
+    f = spark.createDataFrame([(i, "text", "person_name", v) for i, v in found], "comment_id long, field string, pii_type string, value string")
+    public = spark.createDataFrame([("Paul Smith",), ("Robert Jones",), ("C. Bell",), (None,)], "name string")
+    assert sorted(r["value"] for r in pii.private_pii(f, public, "name").collect()) == ["Dora Bell", "Peter Smith", "Rachel Jones"]

@@ -293,8 +293,13 @@ def find_pii(records: DataFrame, key: str, fields: list[str], author: str | None
     return materialize(found, "pii").withColumnRenamed("key", key)
 
 
-def _person_keys(names: DataFrame, column: str) -> DataFrame:
-    """Each name in a column with the keys of the person it names: family name and initials of the given name."""
+def _person_keys(names: DataFrame, column: str, found: bool) -> DataFrame:
+    """Each name in a column with keys that two names of one person share, one being ``found`` and one not.
+
+    Two full names share family name and given name or its full form; a full name and an initial share the family name
+    and the initial of the given name, as do two initials.
+    """
+    full, initial = ("full", "initial") if not found else ("initial", "full")
 
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -305,18 +310,20 @@ def _person_keys(names: DataFrame, column: str) -> DataFrame:
                     continue
                 kind, family, given = p
                 if kind == "full":
-                    rows += [(name, f"{family}|{g[0]}") for g in {*given_names(given), given}]
+                    forms = {*given_names(given), given}
+                    rows += [(name, f"name|{family}|{g}") for g in forms] + [(name, f"{full}|{family}|{g[0]}") for g in forms]
                 elif kind == "initial":
-                    rows.append((name, f"{family}|{given[0]}"))
+                    rows += [(name, f"{initial}|{family}|{given[0]}"), (name, f"both|{family}|{given[0]}")]
             yield pd.DataFrame(rows, columns=["value", "person"]).drop_duplicates()
 
     return names.select(names[column].alias("value")).where("value is not null").distinct().mapInPandas(keys, "value string, person string")
 
 
 def private_pii(found: DataFrame, public_names: DataFrame, column: str) -> DataFrame:
-    """``found`` without the names of people in ``public_names``: same family name and same initial of the given name."""
-    public = _person_keys(public_names, column).select("person").distinct()
-    named = _person_keys(found.where("pii_type = 'person_name'"), "value").join(public, "person", "left_semi").select("value").distinct()
+    """``found`` without the names of people in ``public_names``: same family name and same given name or short form of
+    it, or its initial where one of the two names has just that."""
+    public = _person_keys(public_names, column, False).select("person").distinct()
+    named = _person_keys(found.where("pii_type = 'person_name'"), "value", True).join(public, "person", "left_semi").select("value").distinct()
     known = named.withColumn("pii_type", F.lit("person_name"))
     return found.join(known, ["value", "pii_type"], "left_anti")
 
