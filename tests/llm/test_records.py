@@ -1,6 +1,8 @@
+import itertools
 import random
 import string
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +88,29 @@ def test_readings(title, channel, description, want):
     assert want in [r[:2] for r in linkage.readings(title, channel, description)]
 
 
+@pytest.mark.parametrize("order", list(itertools.permutations(["Ann Bell", "Red River", "Salt Road OST"])))
+@pytest.mark.parametrize("remark", ["", " | HQ", " (Official Video)", " - Live in Rome"])
+def test_readings_in_any_order(order, remark):
+    for sign in (" - ", " – ", " | "):
+        assert ("Red River", "Ann Bell", "Salt Road") in linkage.readings(sign.join(order) + remark, "x", None)
+    assert ("Red River", "Ann Bell", "Salt Road") in linkage.readings("Ann Bell - Red River [Salt Road] - Live in Rome", "x", None)
+    assert ("Live Forever", "Ann Bell", "") in linkage.readings("Ann Bell - Live Forever", "x", None)
+    assert linkage.readings("Salt Road Soundtrack", "Ann Bell", None)[0][:2] == ("Salt Road Soundtrack", "Ann Bell")
+
+
+def test_assignment_against_brute_force():
+    r = random.Random(3)
+    for _ in range(200):
+        n, m = r.randint(1, 5), r.randint(1, 5)
+        weights = np.array([[r.choice([0, 0, r.random()]) for _ in range(m)] for _ in range(n)])
+        pairs = linkage.assignment(weights)
+        assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+        small, large = sorted((n, m))
+        w = weights if n <= m else weights.T
+        best = max(sum(w[i, p[i]] for i in range(small)) for p in itertools.permutations(range(large), small))
+        assert abs(sum(weights[p] for p in pairs) - best) < 1e-9
+
+
 @pytest.mark.parametrize("title", ["Ann - Song (cover by Bo)", "Song KARAOKE version", "How to play Song guitar lesson", "Film - Official Trailer", "Reacting to Song", None, ""])
 def test_no_readings(title):
     assert linkage.readings(title, "c", None) == []
@@ -226,6 +251,13 @@ def test_spellings_of_one_artist_are_one_song(spark):
     assert links(spark, tracks, videos) == {(0, "a"), (1, "a"), (2, "a"), (3, "a"), (5, "b"), (4, "c")}
 
 
+def test_songs_compete_for_recordings(spark):
+    """Uploads that name only "Cobbler" fit both songs; one song has its own recording already, so the other gets them."""
+    tracks = [(1, "Red River", "Robert Cobbler", "F"), (2, "Red River", "Ann Cobbler", "F")]
+    videos = [("a", "Robert Cobbler - Red River", "c", None), ("b", "Red River", "Cobbler", None), ("d", "Red River", "Cobbler - Topic", None), ("e", "Robert Cobbler - Red River - Live in Rome", "c", None)]
+    assert links(spark, tracks, videos) == {(1, "a"), (1, "e"), (2, "b"), (2, "d")}
+
+
 def test_private_people_with_the_initial_of_a_public_one(spark):
     found = [(1, "Peter Smith"), (2, "Paul Smith"), (3, "P. Smith"), (4, "Bob Jones"), (5, "Rachel Jones"), (6, "Carl Bell"), (7, "Dora Bell"), (8, "C. Bell")]
     f = spark.createDataFrame([(i, "text", "person_name", v) for i, v in found], "comment_id long, field string, pii_type string, value string")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleforge.llm.names import fold, given_names, parse_name, same_given, typo_distance
+from tripleforge.llm.spellings import components
 from tripleforge.runtime import materialize, spread
 
 #: Ranks per bucket of the sliding window; buckets overlap by the width of the window.
@@ -22,11 +24,16 @@ NOT_PRESENTING = re.compile(
     r"\bcover(?:ed)?\b|\bkaraoke\b|\bhow to play\b|\blessons?\b|\btutorial\b|\breact(?:s|ing|ion)?\b|\btrailer\b|\bteaser\b|\bbehind the scenes\b"
     r"|\bending explained\b|\bscore suite\b|\binterview\b|\breview\b|\bparody\b|\bmash-?up\b|\bsheet music\b|\bmaking of\b|\bbacking track\b"
 )
-#: Remarks on how a recording is presented.
-_REMARK = r"(?:official\s*)?(?:music\s*|lyrics?\s*|full\s*)?(?:audio|video|visuali[sz]er|lyrics?|clip|song)|remaster(?:ed)?(?:\s*\d{4})?|(?:\d{4}\s*)?remaster|hd|hq|4k|uhd|\d{3,4}p|live(?:\s.*)?|official"
-_BRACKETED = re.compile(rf"[(\[]\s*(?:{_REMARK})\s*[)\]]", re.IGNORECASE)
+#: Remarks on how a recording is presented, and what a place of performance begins with.
+_REMARK = (
+    r"(?:official\s*)?(?:music\s*|lyrics?\s*|full\s*)?(?:audio|video|visuali[sz]er|lyrics?|clip|song)"
+    r"|remaster(?:ed)?(?:\s*\d{4})?|(?:\d{4}\s*)?remaster|hd|hq|4k|uhd|\d{3,4}p|official"
+)
+_BRACKETED = re.compile(rf"[(\[]\s*(?:{_REMARK}|live(?:\s[^)\]]*)?)\s*[)\]]", re.IGNORECASE)
 _TRAILING = re.compile(rf"\s(?:\||-|–|—|//)\s*(?:{_REMARK})\s*$", re.IGNORECASE)
-_FROM = re.compile(r"\(\s*from\s+[\"“”']?(.*?)[\"“”']?\s*\)|\[([^\]]*)\]\s*$|\s(?:\||-|–|—)\s(.*?)\s+(?:OST|(?:original\s+)?soundtrack)\s*$", re.IGNORECASE)
+_LIVE = re.compile(r"live(?:\s.*)?", re.IGNORECASE)
+_FROM = re.compile(r"\(\s*from\s+[\"“”']?(.*?)[\"“”']?\s*\)|\[([^\]]*)\](?=\s*$|\s+(?:-|–|—|:|//|\||~|•)\s)", re.IGNORECASE)
+_SCORE = re.compile(r"(.*\S)\s+(?:OST|(?:original\s+)?soundtrack)", re.IGNORECASE)
 _BREAK = re.compile(r"\s+(?:-|–|—|:|//|\||~|•)\s+")
 _CREDIT = re.compile(r"(?:performed by|sung by|artist:|music:|composed by|composer:|performer:)\s*(.+?)(?:\.(?=\s+[A-Z]|\s*$)|;|\n|$)", re.IGNORECASE)
 _CHANNEL = re.compile(r"(?:\s*-\s*topic|\s*official(?:\s+channel)?|\s*vevo|(?<=\S)TV|\s+tv|\s+music|\s+channel)\s*$", re.IGNORECASE)
@@ -48,7 +55,12 @@ def channel_artist(channel: str | None) -> str:
 
 
 def readings(title: str | None, channel: str | None, description: str | None) -> list[tuple[str, str, str]]:
-    """Ways to read a video as (song title, artist, film), best first; empty if it does not present a recording."""
+    """Ways to read a video as (song title, artist, film), best first; empty if it does not present a recording.
+
+    Song, artist, film and remarks may stand in any order. A part that names a soundtrack is the film, unless nothing else
+    is left. A part such as "Live in Paris" says where a recording was made; only beside a single other part it
+    may be a title as well.
+    """
     text = " ".join((title or "").split())
     if not text or NOT_PRESENTING.search(fold(text)):
         return []
@@ -62,15 +74,26 @@ def readings(title: str | None, channel: str | None, description: str | None) ->
             break
         text = shorter
     parts = [p for p in _BREAK.split(text) if p]
+    scores = [m[1] for p in parts if (m := _SCORE.fullmatch(p))]
+    if scores and len(scores) < len(parts):
+        film = film or scores[0]
+        parts = [p for p in parts if not _SCORE.fullmatch(p)]
+    places = [p for p in parts if _LIVE.fullmatch(p)]
+    if len(places) < len(parts):
+        parts = [p for p in parts if p not in places]
+    else:
+        places = []
     others = [m[1] for m in _CREDIT.finditer(description or "")]
     others.append(channel_artist(channel))
     out = []
-    if len(parts) > 1:
-        for i, part in enumerate(parts):
-            out += [(other, part, film) for j, other in enumerate(parts) if j != i]
-    if m := re.search(r"^(.+)\s+by\s+(.+)$", text, re.IGNORECASE):
-        out.append((m[1], m[2], film))
-    out += [(p, a, film) for p in (parts if len(parts) > 1 else [text]) for a in others if a]
+    for i, part in enumerate(parts):
+        out += [(other, part, film) for j, other in enumerate(parts) if j != i]
+    for part in parts:
+        if m := re.search(r"^(.+)\s+by\s+(.+)$", part, re.IGNORECASE):
+            out.append((m[1], m[2], film))
+    out += [(p, a, film) for p in parts for a in others if a]
+    if len(parts) == 1:
+        out += [(place, a, film) for place in places for a in (*parts, *others) if a]
     return list(dict.fromkeys(out))
 
 
@@ -221,15 +244,13 @@ def equal_pairs(readings_: DataFrame) -> DataFrame:
     return met.select(*columns).mapInPandas(agree, "track long, video long, slips int, title_agrees double, artist_agrees double")
 
 
-def _songs(frame: pd.DataFrame) -> pd.DataFrame:
-    """The song of each track reading of one title: readings whose artists are one entity share the least rid.
+def artist_entities(artists: list[tuple[str, str, str]]) -> list[int]:
+    """The entity of each (kind, family, given): the place of its first spelling.
 
     As for spellings of names, full names and groups are one if there is one typo at most, chains of such pairs belong
     together, and an initial or bare family name joins the only artist that agrees with it, if there is just one.
     """
-    rids = frame["rid"].tolist()
-    artists = list(zip(frame["kind"], frame["family"], frame["given"], strict=True))
-    parent = list(range(len(rids)))
+    parent = list(range(len(artists)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -246,7 +267,8 @@ def _songs(frame: pd.DataFrame) -> pd.DataFrame:
         if kind in ("full", "group"):
             for j in alike(i):
                 if j < i and artists[j][0] == kind and _agree(artists[i], artists[j]) >= 0.9:
-                    parent[root(i)] = root(j)
+                    a, b = sorted((root(i), root(j)))
+                    parent[b] = a
     for i, (kind, _, _) in enumerate(artists):
         if kind in ("initial", "family"):
             met = {(root(j), _agree(artists[i], artists[j])) for j in alike(i)}
@@ -254,10 +276,112 @@ def _songs(frame: pd.DataFrame) -> pd.DataFrame:
             fits = {r for r, a in met if a == best} if best > 0 else set()
             if len(fits) == 1:
                 parent[i] = fits.pop()
-    least: dict[int, int] = {}
-    for i, rid in enumerate(rids):
-        least[root(i)] = min(rid, least.get(root(i), rid))
-    return pd.DataFrame({"track": rids, "entity": [least[root(i)] for i in range(len(rids))]})
+    return [root(i) for i in range(len(artists))]
+
+
+def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
+    """One-to-one pairs (row, column) of the greatest total weight; weights of 0 are no pairs.
+
+    Shortest augmenting paths with potentials (the Hungarian method), one row after the other.
+    """
+    if weights.shape[0] > weights.shape[1]:
+        return sorted((r, c) for c, r in assignment(weights.T))
+    n, m = weights.shape
+    cost = -weights
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.full(m + 1, -1)
+    for i in range(n):
+        owner[m] = i
+        least, back, done, j = np.full(m + 1, np.inf), np.full(m + 1, m), np.zeros(m + 1, dtype=bool), m
+        while owner[j] >= 0:
+            done[j] = True
+            slack = cost[owner[j]] - u[owner[j]] - v[:m]
+            better = ~done[:m] & (slack < least[:m])
+            least[:m][better], back[:m][better] = slack[better], j
+            open_ = np.where(done[:m], np.inf, least[:m])
+            k = int(open_.argmin())
+            step = open_[k]
+            u[owner[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            j = k
+        while j != m:
+            owner[j] = owner[back[j]]
+            j = back[j]
+        owner[m] = -1
+    return sorted((int(owner[j]), j) for j in range(m) if owner[j] >= 0 and weights[owner[j], j] > 0)
+
+
+def _assigned(edges: list[tuple]) -> list[tuple[int, str, int, int, float]]:
+    """(video, film, song, track, confidence) of one component of like readings.
+
+    ``edges``: (track, video, film named, confidence, title and artist of both). Track readings with one title and one
+    artist are a song, video readings with one title, artist and film a recording. Which artist an initial or bare family
+    name in a video stands for is decided among those of the tracks, too.
+    """
+    ours = {e[0]: (e[4], e[5:8]) for e in edges}
+    theirs = {(e[1], e[2]): (e[8], e[9:12]) for e in edges}
+
+    def grouped(named: dict, extra, besides: list) -> dict:
+        by_title: dict[str, list] = {}
+        for node in sorted(named):
+            by_title.setdefault(named[node][0], []).append(node)
+        out = {}
+        for title, nodes in by_title.items():
+            entities = artist_entities([*besides, *(named[n][1] for n in nodes)])[len(besides) :]
+            for node, e in zip(nodes, entities, strict=True):
+                out[node] = (title, e, extra(node))
+        return out
+
+    song_of, recording_of = grouped(ours, lambda n: 0, []), grouped(theirs, lambda n: n[1], sorted({a for _, a in ours.values()}))
+    songs, recordings = sorted(set(song_of.values())), sorted(set(recording_of.values()))
+    weights = np.zeros((len(songs), len(recordings)))
+    row, column = {s: i for i, s in enumerate(songs)}, {r: i for i, r in enumerate(recordings)}
+    for e in edges:
+        at = row[song_of[e[0]]], column[recording_of[e[1], e[2]]]
+        weights[at] = max(weights[at], e[3])
+    best: dict[int, tuple[int, float]] = {}
+    left = list(range(len(recordings)))
+    while left:
+        pairs = assignment(weights[:, left]) if len(songs) > 1 else [(0, k) for k in range(len(left))]
+        for s, k in pairs:
+            best[left[k]] = (s, float(weights[s, left[k]]))
+        left = [r for r in left if r not in best]
+    members: dict[int, list[int]] = {}
+    for track, s in song_of.items():
+        members.setdefault(row[s], []).append(track)
+    out = []
+    for (video, film), r in recording_of.items():
+        s, confidence = best[column[r]]
+        out += [(video, film, min(members[s]), track, confidence) for track in members[s]]
+    return out
+
+
+def assign_recordings(edges: DataFrame) -> DataFrame:
+    """One-to-one assignment between songs and recordings that maximises the total confidence.
+
+    ``edges``: track, video, named (film), confidence and the readings of both sides. Readings that are connected by
+    edges are one component, found by rounds of joins; a component is as large as its spellings are many, however often
+    its title occurs. As a song may have several recordings (live, remastered, under another film), those left over are
+    assigned again in the same manner until none is left.
+    """
+    pairs = edges.select(F.col("track").alias("a"), F.col("video").alias("b")).distinct()
+    found = components(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), pairs)
+    columns = ["track", "video", "named", "confidence", "title", "kind", "family", "given", "title_b", "kind_b", "family_b", "given_b"]
+    held = edges.join(found.withColumnRenamed("node", "track"), "track").select("component", *columns)
+    held = held.repartition("component").sortWithinPartitions("component")
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["video", "named", "song", "track", "confidence"]
+        rows = itertools.chain.from_iterable(f.itertuples(index=False, name=None) for f in frames)
+        out: list[tuple] = []
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            out += _assigned([r[1:] for r in group])
+            if len(out) >= BUCKET:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    return held.mapInPandas(solve, "video long, named string, song long, track long, confidence double")
 
 
 def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFrame:
@@ -266,13 +390,14 @@ def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFr
     ``tracks``: track_id, title, artist, film. ``videos``: video_id, title, channel_title, description. A video is
     read in several ways as title and artist; what says it is a cover, lesson, trailer and so on is left out. The
     distinct readings of both sides are sorted by each composite key; records at most ``width`` places apart, and at any
-    distance those of like titles whose family names begin or end alike, are compared by the agreement of title (weight 0.5), artist (0.4) and film (0.1), equal readings standing for all
-    their records. A title with a typo counts only if it is not itself the title of another track.
-
-    A video presents one song, so it is assigned to the song of greatest confidence; as any number of uploads may
-    present one song, this assignment maximises the total confidence. Tracks with the same title and spellings of one
-    artist are the same song; ties between different songs go to the one whose film agrees, then to the least track_id. Null or
-    unreadable titles and artists match nothing; repeated records count once; other columns are ignored.
+    distance those of like titles whose family names begin or end alike, are compared by the agreement of title (weight
+    0.5), artist (0.4) and film (0.1), equal readings standing for all their records. A title with a typo counts only if
+    it is not itself the title of another track.
+
+    Uploads of one recording are grouped, songs and recordings are assigned one to one (see ``assign_recordings``), and
+    the assignment is expanded to tracks and uploads. A video that can be read as several recordings keeps the one of
+    greatest confidence, on ties that of the greatest song hash. Null or unreadable titles and artists match nothing;
+    repeated records count once; other columns are ignored.
     """
 
     def read_tracks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,9 +420,9 @@ def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFr
     schema = "side int, id string, title string, kind string, family string, given string, film string"
     a = spread(tracks.select("track_id", "title", "artist", "film").where("track_id is not null and title is not null and artist is not null"))
     b = spread(videos.select("video_id", "title", "channel_title", "description").where("video_id is not null and title is not null"))
-    rows = materialize(a.mapInPandas(read_tracks, schema).union(b.mapInPandas(read_videos, schema)), "readings")
+    rows = a.mapInPandas(read_tracks, schema).union(b.mapInPandas(read_videos, schema))
     field = ["side", "title", "kind", "family", "given"]
-    rows = rows.withColumn("rid", F.xxhash64(*field))
+    rows = materialize(rows.withColumn("rid", F.xxhash64(*field)), "readings")
     readings_ = rows.select("rid", *field).distinct()
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,15 +434,21 @@ def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFr
     records = readings_.mapInPandas(keyed, f"key string, {payload}")
     near = sliding_pairs(records, ["title", "family", "given", "kind", "side", "rid"], _compare, "track long, video long, slips int, title_agrees double, artist_agrees double", width)
     pairs = materialize(near.union(equal_pairs(readings_)).distinct(), "pairs")
-    own = rows.select("rid", "id", "film").distinct()
     titles = rows.where("side = 0").select("title").distinct()
     known = rows.where("side = 1").join(titles, "title", "left_semi").select(F.col("rid").alias("video")).distinct()
     pairs = pairs.where("slips = 0").union(pairs.where("slips > 0").join(known, "video", "left_anti").select(pairs.columns))
-    met = pairs.join(own.toDF("track", "track_id", "film"), "track").join(own.toDF("video", "video_id", "named"), "video")
-    film = F.when((F.col("film") == "") | (F.col("named") == ""), 0.5).when(F.col("film") == F.col("named"), 1.0).otherwise(0.0)
-    scored = met.withColumn("confidence", 0.5 * F.col("title_agrees") + 0.4 * F.col("artist_agrees") + 0.1 * film)
-    best = scored.groupBy("track_id", "video_id").agg(F.max(F.struct("confidence", "track")).alias("m")).select("track_id", "video_id", "m.confidence", "m.track")
-    order = Window.partitionBy("video_id").orderBy(F.desc("confidence"), F.col("track_id").cast("long"))
-    songs = readings_.where("side = 0").groupBy("title").applyInPandas(_songs, "track long, entity long")
-    chosen = best.join(songs, "track").withColumn("song", F.first("entity").over(order)).where("entity = song")
-    return chosen.select(F.col("track_id").cast("long").alias("track_id"), "video_id", F.round("confidence", 4).alias("confidence"))
+    ours = rows.where("side = 0").select(F.col("rid").alias("track"), F.col("film").alias("named")).distinct()
+    theirs = rows.where("side = 1").select(F.col("rid").alias("video"), F.col("film").alias("named")).distinct()
+    filmless = ours.groupBy("track").agg(F.max(F.col("named") == "").alias("filmless"))
+    edges = pairs.join(theirs, "video").join(filmless, "track").join(ours.withColumn("same", F.lit(True)), ["track", "named"], "left")
+    film = F.when((F.col("named") == "") | (F.col("filmless") & F.col("same").isNull()), 0.5).when(F.col("same"), 1.0).otherwise(0.0)
+    edges = edges.withColumn("confidence", F.round(0.5 * F.col("title_agrees") + 0.4 * F.col("artist_agrees") + 0.1 * film, 4))
+    side = lambda n, *names: readings_.where(f"side = {n}").select("rid", "title", "kind", "family", "given").toDF(*names)
+    edges = edges.join(side(0, "track", "title", "kind", "family", "given"), "track").join(side(1, "video", "title_b", "kind_b", "family_b", "given_b"), "video")
+    chosen = materialize(assign_recordings(materialize(edges, "edges")), "assigned")
+    uploads = rows.where("side = 1").select(F.col("rid").alias("video"), F.col("film").alias("named"), F.col("id").alias("video_id")).distinct()
+    best = chosen.select("video", "named", "song", "confidence").distinct().join(uploads, ["video", "named"]).groupBy("video_id").agg(F.max(F.struct("confidence", "song")).alias("m"))
+    own = rows.where("side = 0").select(F.col("rid").alias("track"), F.col("id").alias("track_id")).distinct()
+    song = chosen.select("song", "track").distinct().join(own, "track").select("song", "track_id").distinct()
+    out = best.select("video_id", F.col("m.song").alias("song"), F.col("m.confidence").alias("confidence")).join(song, "song")
+    return out.select(F.col("track_id").cast("long").alias("track_id"), "video_id", "confidence")

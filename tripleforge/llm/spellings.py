@@ -67,20 +67,21 @@ def segment_join(names: DataFrame, column: str = "name", edits: int = 1) -> Data
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node that can be reached. ``edges`` has columns a, b; only one count per round
-    reaches the driver, and each round is written to the shared folder."""
+    reaches the driver, and each round is written to the shared folder.
+
+    A round takes the least label of the neighbours and jumps to the label of the label, which halves the distance.
+    """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(nodes.select("node", F.col("node").alias("component")), "labels")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "labels")
     while True:
-        offered = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "component")
-        least = offered.union(labels).groupBy("node").agg(F.min("component").alias("near"))
-        # jump to the label of the label, which halves the distance
-        jump = least.join(labels.select(F.col("node").alias("near"), F.col("component").alias("far")), "near", "left")
-        moved = jump.select("node", F.least("near", F.coalesce("far", "near")).alias("component"))
-        after = materialize(moved, "labels")
-        changed = after.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = after
-        if not changed:
-            return labels
+        offered = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        held = labels.join(offered, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("near"))
+        jump = held.join(labels.select(F.col("node").alias("near"), F.col("component").alias("far")), "near")
+        after = materialize(jump.select("node", F.least("near", "far").alias("component"), F.col("old") != F.least("near", "far")).toDF("node", "component", "moved"), "labels")
+        labels = after.select("node", "component")
+        if after.where("moved").isEmpty():
+            break
+    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def _attach(weak: DataFrame, strong: DataFrame, on: list[str]) -> DataFrame:
