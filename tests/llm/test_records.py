@@ -207,6 +207,42 @@ def test_field_on_held_out_texts():
     assert hit / (hit + false) > 0.97 and hit / (hit + missed) > 0.93
 
 
+UNLISTED = "Xiaoming Oluwaseun Priya Yuki Siobhan Dmitri Thandiwe Nguyen Aoki Folasade Rajesh Haruto Chukwuemeka Anahera Leilani Kwabena Zoltan Milica Ragnheidur Itziar".split()
+FAMILIES = "Li Adeyemi Raghavan Tanaka O'Leary Volkov Mokoena Tran Kiplagat Okonkwo Bose Szabo Petrovic Aguirre Castellanos Winterbourne Vandermeer Osei Jonsdottir Kapoor".split()
+
+
+def test_names_that_no_list_has():
+    """Given names outside every list of the library, in comments and as authors, beside capitalised words that are no names."""
+    field = pii.trained_field()
+    assert not any(pii._is_given(n) for n in UNLISTED)
+    r = random.Random(11)
+    leads = ["my name is {}", "regards, {}", "ask for {} at the desk", "greetings from {}!", "my teacher {} played this", "cheers, {}", "great film. yours, {}", "contact {} please", "so said my neighbour {}.", "hello, I am {} and I sing"]
+    plain = ["The Salt Orchard is a masterpiece", "I watched Green River twice", "Thank You So Much for this", "Golden Lantern by the sea", "what a scene in New York", "Best Soundtrack Ever", "regards from the cinema", "this is Pure Gold", "I am so Happy Today", "contact the Film Office", "Old Harbour and Grand Hotel"]
+    hit = false = missed = 0
+    for _ in range(600):
+        name = f"{r.choice(UNLISTED)} {r.choice(FAMILIES)}"
+        where, text, want = r.choice([("author", name, True), ("text", r.choice(leads), True), ("text", r.choice(leads), True), ("text", r.choice(plain), False), ("text", r.choice(plain), False)])
+        start = 0 if where == "author" else text.find("{}")
+        text = text.format(name.lower() if r.random() < 0.1 else name)
+        if r.random() < 0.3 and where == "text":
+            before = r.choice(plain) + ". "
+            text, start = before + text, start + len(before)
+        got = {s for s, _, k in field.best(pii.candidates(text, where)) if k == "person_name"}
+        true = {start} if want else set()
+        hit, false, missed = hit + len(got & true), false + len(got - true), missed + len(true - got)
+    assert hit / (hit + false) >= 0.95 and hit / (hit + missed) >= 0.95, (hit, false, missed)
+
+
+def test_long_local_parts_and_street_names():
+    field = pii.trained_field()
+    local = "a" * 100 + ".bell"
+    assert [(k, s) for s, _, k in field.best(pii.candidates(f"write me at {local}@mail.example, thanks", "text"))] == [("email", 12)]
+    street = "Donau" * 20 + "straße"
+    assert [(k, s) for s, _, k in field.best(pii.candidates(f"I live at {street} 131, 36266 Lund", "text"))] == [("street_address", 10)]
+    street = f"Calle de los {'Faroles' * 12}, 109"
+    assert [(k, s) for s, _, k in field.best(pii.candidates(f"I live at {street}, 95996 Lund", "text"))] == [("street_address", 10)]
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [

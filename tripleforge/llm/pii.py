@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -33,7 +34,6 @@ TOP_LEVEL = frozenset("com org net edu gov info biz example test invalid localho
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _AT = re.compile(r"\s?(?:@|[(\[]at[)\]])\s?|\sat\s", re.IGNORECASE)
-_LOCAL = re.compile(r"[\w.+-]*\w[\w.+-]*$")
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[\w-]+)+", re.IGNORECASE)
 _LABEL = re.compile(r"\.|[\s(\[]+dot[\s)\]]+", re.IGNORECASE)
 _DIGITS = re.compile(r"(?<![\w.,:/-])(?<![\w.,:/-][(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{1,12}(?:[ .-]\d{1,8})*(?![\w])(?!,\d)")
@@ -45,10 +45,24 @@ _WORDS = r"[^\W\d_][\w'’.-]*"
 _EN = re.compile(rf"\s?[a-z]?\s(?:{_WORDS}\s){{1,3}}(?:street|st|road|rd|lane|ln|avenue|ave|close|terrace|ter|drive|dr|court|ct|place|square|sq|crescent|grove|gardens|mews|boulevard|blvd|parade|row|walk)\b\.?", re.IGNORECASE)
 _FR = re.compile(rf"\s?(?:bis|ter|[a-z])?,?\s(?:rue|avenue|av\.|boulevard|bd|impasse|chemin|place|allée|quai|cours|route|passage)\s(?:de\sla\s|de\sl['’]|des\s|du\s|de\s|d['’])?{_WORDS}", re.IGNORECASE)
 _DE = ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ufer", "damm")
-_ES = re.compile(rf"(?<!\w)(?:calle|c/|plaza|avenida|avda\.|paseo|camino|via|piazza|praça|rua)\s?(?:de\slas?\s|de\slos\s|del\s|de\s|da\s|do\s)?{_WORDS}(?:\s{_WORDS})?,?\s(?:n[º°]\s?)?$", re.IGNORECASE)
+_ES = re.compile(
+    rf"(?<!\w)(?:calle|c/|plaza|avenida|avda\.|paseo|camino|via|piazza|praça|rua)\s?(?:de\slas?\s|de\slos\s|del\s|de\s|da\s|do\s)?{_WORDS}(?:\s{_WORDS})?,?\s(?:n[º°]\s?)?(?=\d)",
+    re.IGNORECASE,
+)
 #: Flat, postal code and town after a street; the town has to begin with a capital letter.
 _TAIL = re.compile(r"(?:,?\s(?:[Aa]pt|[Ff]lat|[Uu]nit|APT|FLAT)\.?\s\w+)?(?:,\s\d{4,5})?(?:,?\s(?-i:[A-ZÀ-Þ])[^\W\d_]+(?!\s[a-z]+\s[a-z]))?")
-_INITIAL = (re.compile(r"(?<!\w)[^\W\d_]\.\s?(?:[^\W\d_]\.\s?)?[^\W\d_]{4,}(?:-[^\W\d_]+)*"), re.compile(r"(?<!\w)[^\W\d_]{4,}(?:-[^\W\d_]+)*,\s[^\W\d_]\."))
+_INITIAL = (
+    re.compile(r"(?<!\w)[^\W\d_]\.\s?(?:[^\W\d_]\.\s?)?(?:[^\W\d_]{4,}|(?-i:[A-ZÀ-Þ])[^\W\d_]{1,2}(?!\w))(?:-[^\W\d_]+)*"),
+    re.compile(r"(?<!\w)[^\W\d_]{4,}(?:-[^\W\d_]+)*,\s[^\W\d_]\."),
+)
+#: Two words that both begin with a capital letter, or with an initial between them.
+_CAPITALS = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞŁŠŽĐ][^\W\d_]+(?:['’-][^\W\d_]+)* {1,2}(?:[A-Z]\.? )?[A-ZÀ-ÖØ-ÞŁŠŽĐ][^\W\d_]")
+#: Words after which people give a name, written in whatever case.
+_LED = re.compile(
+    r"(?<!\w)(?:(?:name(?:'s| is)|called|named|i am|i'm|signed|regards|greetings from|sincerely|cheers|yours|love|contact|ask for|written by|thanks to|ms|mrs|mr|dr|prof"
+    r"|(?:aunt|uncle|teacher|neighbou?r|cousin|friend|colleague|boss|landlord|doctor|nurse|dentist|brother|sister|wife|husband|mother|father|mom|mum|dad))[\s,.:;–—-]+)(?=[^\W\d_]{2})",
+    re.IGNORECASE,
+)
 _FUNCTION = frozenset("a an the of in on at to and or for from with my your his her our their is was i you it this that who me by as but so no not out off over up see all".split())
 
 
@@ -62,10 +76,13 @@ def _context(text: str, start: int, end: int) -> list[str]:
 def _emails(text: str, out: list) -> None:
     for m in _AT.finditer(text):
         domain = _DOMAIN.match(text, m.end())
-        local = _LOCAL.search(text[max(0, m.start() - 64) : m.start()])
-        if not domain or not local:
+        start = m.start()
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        name = text[start : m.start()].lstrip(".-+")
+        if not domain or not name:
             continue
-        start, name = m.start() - len(local[0].lstrip(".-+")), local[0].lstrip(".-+")
+        start = m.start() - len(name)
         labels = [x.lower() for x in _LABEL.split(domain[0]) if x]
         while len(labels) > 2 and labels[-1] not in TOP_LEVEL and any(x in TOP_LEVEL for x in labels[1:-1]):
             labels.pop()
@@ -95,6 +112,7 @@ def _numbers(text: str, out: list) -> None:
 
 
 def _addresses(text: str, out: list) -> None:
+    spanish = {m.end(): m.start() for m in _ES.finditer(text)}
     for m in _NUMBER.finditer(text):
         i, j = m.span()
         right = _EN.match(text, j) or _FR.match(text, j)
@@ -105,16 +123,18 @@ def _addresses(text: str, out: list) -> None:
             end = _TAIL.match(text, right.end()).end()
             out.append((i, end, "street_address", features + _context(text, i, end)))
             continue
-        left = text[max(0, i - 48) : i]
-        stem = left.rstrip()
-        if stem != left and stem.lower().endswith(_DE):
-            start = i - len(left) + max(stem.rfind(" "), stem.rfind("\n")) + 1
-            word = text[start : start + len(stem) - max(stem.rfind(" "), stem.rfind("\n")) - 1].lower()
+        end = i
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and not text[start - 1].isspace():
+            start -= 1
+        word = text[start:end].lower()
+        if end < i and word.endswith(_DE):
             j = _TAIL.match(text, j).end()
             out.append((start, j, "street_address", ["address", "form de", f"bare {word in _DE}", *_context(text, start, j)]))
-        elif es := _ES.search(left):
-            start = i - len(left) + es.start()
-            j = _TAIL.match(text, j).end()
+        elif i in spanish:
+            start, j = spanish[i], _TAIL.match(text, j).end()
             out.append((start, j, "street_address", ["address", "form es", *_context(text, start, j)]))
 
 
@@ -122,30 +142,49 @@ def _case(text: str) -> str:
     return "title" if text.istitle() else "upper" if text.isupper() else "lower" if text.islower() else "mixed"
 
 
-def _name_features(text: str, start: int, end: int, form: str, given: str, family: str, field: str) -> list[str]:
+@functools.lru_cache(100_000)
+def _is_given(word: str) -> bool:
+    return fold(word) in GIVEN
+
+
+def _name_features(text: str, start: int, end: int, form: str, given: str, family: str, field: str, led: bool = False) -> list[str]:
     name = text[start:end]
     own = family.split("-")[-1].lower()
     whole = not _WORD.search(text[:start]) and not _WORD.search(text[end:]) if field == "author" else False
-    known = fold(given) in GIVEN
-    return ["name", f"{field} {form} {known}", f"case {_case(name)} {known}", f"whole {whole} {known}", f"function {own in _FUNCTION or given.lower() in _FUNCTION}", f"size {min(len(own), 8)}", f"form {form}", *(f"{field} {c}" for c in _context(text, start, end))]
+    known = _is_given(given)
+    context = _context(text, start, end)
+    before, after = text[max(0, start - 24) : start].split(), text[end : end + 24].split()
+    run = f"{_case(before[-1]) if before else '-'} {_case(after[0]) if after else '-'}"
+    features = ["name", f"{field} {form} {known}", f"case {_case(name)} {known}", f"whole {whole} {known}", f"function {own in _FUNCTION or given.lower() in _FUNCTION}", f"size {min(len(own), 8)}", f"form {form}", f"led {led} {_case(name)} {known}"]
+    return features + [f"{field} {c}" for c in context] + [f"{known} {c}" for c in context[:2]] + [f"run {run} {known}"]
 
 
 def _names(text: str, words: list, field: str, out: list) -> None:
+    """Runs of two words that may be a name: capitalised, after a lead-in, with a known given name, or in an author.
+
+    A known given name is a feature like others, not a condition.
+    """
+    led = {m.end() for m in _LED.finditer(text)}
     for k, (w, i, j) in enumerate(words):
-        known = fold(w) in GIVEN
-        if k + 1 < len(words) and (known or field == "author"):
+        known, capital = _is_given(w), w[0].isupper()
+        free = known or field == "author" or i in led and k + 1 < len(words) and words[k + 1][0][0].isupper() == capital
+        if k + 1 < len(words) and (free or capital):
             v, a, b = words[k + 1]
             gap = text[j:a]
-            if gap in (" ", "  ") and len(v) > 2:
-                out.append((i, b, "person_name", _name_features(text, i, b, "given family", w, v, field)))
-            elif known and k + 2 < len(words) and len(v) == 1 and gap == " " and text[b : words[k + 2][1]] in (". ", " "):
+            if gap in (" ", "  ") and (len(v) > 2 or len(v) > 1 and v[0].isupper()):
+                if free or len(w) > 1 and v[0].isupper():
+                    out.append((i, b, "person_name", _name_features(text, i, b, "given family", w, v, field, i in led)))
+            elif k + 2 < len(words) and len(v) == 1 and gap == " " and text[b : words[k + 2][1]] in (". ", " "):
                 u, _, e = words[k + 2]
-                out.append((i, e, "person_name", _name_features(text, i, e, "given m family", w, u, field)))
+                if known or len(w) > 1 and text[b] == "." and v.isupper() and u[0].isupper():
+                    out.append((i, e, "person_name", _name_features(text, i, e, "given m family", w, u, field, i in led)))
+            elif gap == ", " and len(w) > 3 and not _is_given(v) and (i in led or field == "author") and capital and v[0].isupper():
+                out.append((i, b, "person_name", _name_features(text, i, b, "family, given", v, w, field, i in led)))
         if known and k and len(words[k - 1][0]) > 3:
             v, a, b = words[k - 1]
             if text[b:i] == ", ":
                 out.append((a, j, "person_name", _name_features(text, a, j, "family, given", w, v, field)))
-            elif text[b:i] == " " and fold(v) not in GIVEN:
+            elif text[b:i] == " " and not _is_given(v):
                 out.append((a, j, "person_name", _name_features(text, a, j, "family given", w, v, field)))
     if "." in text:
         for form, pattern in zip(("i family", "family, i"), _INITIAL, strict=True):
@@ -163,14 +202,11 @@ def candidates(text: str, field: str) -> list[tuple[int, int, str, list[str]]]:
         _numbers(text, out)
         _addresses(text, out)
     words = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text)]
-    if field == "author" or "." in text or not _LOWER_GIVEN.isdisjoint([w.lower() for w, _, _ in words]):
+    if field == "author" or "." in text or _CAPITALS.search(text) or any(_is_given(w) for w, _, _ in words) or _LED.search(text):
         _names(text, words, field, out)
     return out
 
 
-_LOWER_GIVEN = frozenset(x for g in GIVEN for x in (g,)) | frozenset("jürgen søren zoë björn josé ana inés sofía maría agnès hélène françois rené andré thérèse".split())
-
-
 class Field:
     """The random field: a weight per feature and type; text outside segments scores nothing."""
 

@@ -12,7 +12,7 @@ LEADS = {
     "phone": ["call me", "tel.", "text", "ring", "my number:", "whatsapp me on", "phone:", "mobile", "fax", "reach me on", "sms", "or"],
     "identity_number": ["my SSN is", "SSN:", "soc sec", "social security no.", "passport no.", "passport:", "my national insurance is", "NI number", "NINO:", "DNI", "my id card number is", "id:", "Ausweis", "carte d'identité", ""],
     "street_address": ["I live at", "come by,", "we meet at", "ship it to", "pick up at", "my place is", "send it to", "kid from", "moved to", "or"],
-    "person_name": ["my name is", "greetings from", "regards,", "—", "ask for", "my teacher", "by my neighbour", "cheers,", "my aunt", "I am", "yours,", "danced by my neighbour", "contact", "or my teacher"],
+    "person_name": ["my name is", "greetings from", "regards,", "—", "—", "—", "ask for", "my teacher", "by my neighbour", "cheers,", "my aunt", "I am", "yours,", "danced by my neighbour", "contact", "or my teacher"],
 }
 TAILS = ["", ".", "!", " please", " thanks", ", anytime", "; see you", " or so", "?"]
 AUTHOR_LEADS = ["", "", "", "", "★", "🎬 ", "DJ-free ", "the real ", "it's "]
@@ -29,9 +29,39 @@ PLAIN = [
 AUTHORS = ["hidden.river##", "@green_meadow", "TheSilentBaker##", "broken-signal", "quiet tunnel", "hire me", "the official channel", "music lover", "film club W", "band: ", "W fan"]
 STREETS = ["Oak", "Mill", "Church", "Station", "Rose", "Wren", "Heron", "Larch", "Cooper", "Saltmarsh", "King", "Foundry"]
 _SYLLABLES = ["ba", "del", "mor", "quin", "ser", "tho", "lum", "gri", "wes", "har", "pen", "ol", "ve", "rik", "san", "dor", "ney", "cob", "mel", "fen", "yar", "zib", "net", "rask"]
+_SOUNDS = ["xi", "ao", "lu", "wa", "se", "un", "pri", "ya", "kho", "dmi", "tri", "nge", "aki", "yo", "hu", "jin", "fa", "ri", "za", "ta", "mi", "ko", "ade", "chi"]
 _ENDINGS = ["son", "ton", "ley", "field", "berg", "mann", "wood", "shaw", "worth", "well", "ski", "ez", "hurst", "thorpe", "gate", "bottom", "by", "mire", "lund", "strand", "beck", "in", "ard"]
 
 
+#: Words around names and titles that are nobody's personal data, and what relatives and strangers do.
+_AROUND = "in of and while with for into after before like about on under plus than from hums plays meets watching reading the this that pressing scenes bars theme ending version colour staging narration sound regret longing".split()
+_ADJECTIVES = "Hollow Golden Pure Silent Broken Northern Velvet Frozen Crooked Paper Distant Old Green Wooden Pathetic Restless Tidal Scarlet".split()
+_NOUNS = "Meadow Lantern Orchard Beekeeper Harbour River Lighthouse Clockmaker Teacher Shoreline Suspicion Rubbish Bridge Glacier Ferry Violinist Archive Mirror".split()
+_LEADING = "my teacher;my neighbour;my aunt;my uncle;my grandfather;I am;contact;ask for;cheers;regards from".split(";")
+_POINTING = "this is;what is;regards from;contact the;I am in;watching;back to".split(";")
+_DOES = "whistled this;hums it;grandfather sang this;loves this film;cried here;is so happy;played it twice;and brother laughed;who left early;still plays it;was right about this;never liked it".split(";")
+
+
+def _word(r: random.Random) -> str:
+    return "".join(r.choices(_SYLLABLES + _SOUNDS, k=r.choice([1, 2, 2]))).capitalize()
+
+
+def _title(r: random.Random) -> str:
+    """A title or other capitalised words in the manner of titles."""
+    adjective, noun = (r.choice(x) if r.random() < 0.6 else _word(r) for x in (_ADJECTIVES, _NOUNS))
+    kinds = [f"{adjective} {noun}", f"The {noun}", f"My {noun}", f"{_word(r)}, My {noun}", f"{adjective} {noun}: The {_word(r)} Years", f"A {noun} for {_word(r)}", f"{noun} of {_word(r)}", f"{adjective} {_word(r)} {noun}", f"{adjective} {noun} > everything else"]
+    return r.choice(kinds)
+
+
+def _untitled(r: random.Random) -> str:
+    """Ordinary wording with titles, and lead-ins that no name follows."""
+    if r.random() < 0.25:
+        lead, what = r.choice([(_LEADING, _DOES), (_LEADING, _DOES), (_POINTING, [_title(r)])])
+        return f"{r.choice(lead)} {r.choice(what)} {r.choice(_AROUND)} {_title(r)}"
+    around = lambda: " ".join(r.choice(_AROUND) if r.random() < 0.7 else _word(r).lower() for _ in range(r.randint(0, 3)))
+    return " ".join(x for x in (around(), _title(r), around(), _title(r) if r.random() < 0.3 else "") if x)
+
+
 def _digits(r: random.Random, pattern: str) -> str:
     return "".join(str(r.randint(1 if i == 0 else 0, 9)) if c == "#" else c for i, c in enumerate(pattern))
 
@@ -47,7 +77,8 @@ def _cased(r: random.Random, text: str) -> str:
 
 
 def _name(r: random.Random) -> str:
-    given = r.choice(_GIVEN).title() if r.random() < 0.97 else "".join(r.choices(_SYLLABLES, k=2)).capitalize()
+    # a third of the given names is made up, so that the field learns to do without a known one
+    given = r.choice(_GIVEN).title() if r.random() < 0.67 else "".join(r.choices(_SYLLABLES + _SOUNDS, k=r.choice([2, 2, 3]))).capitalize()
     family, x = _family(r), r.random()
     text = f"{given} {family}" if x < 0.72 else f"{family}, {given}" if x < 0.84 else f"{given[0]}. {family}" if x < 0.95 else f"{family}, {given[0]}." if x < 0.96 else f"{given} {r.choice('ABCDEFGH')}. {family}"
     return _cased(r, text)
@@ -79,6 +110,9 @@ def _value(r: random.Random, kind: str) -> str:
 
 
 def _plain(r: random.Random) -> str:
+    if r.random() < 0.4:
+        text = _untitled(r)
+        return text.upper() if r.random() < 0.15 else _cased(r, text)
     text = _digits(r, r.choice(PLAIN))
     while "N" in text.replace("NI", "").replace("No", "").replace("TRN", "") and " N" in f" {text}":
         text = f" {text}".replace(" N", f" {_name(r)}", 1)[1:]
@@ -87,7 +121,7 @@ def _plain(r: random.Random) -> str:
     return _cased(r, text.replace("W", f"{r.choice(['The Salt', 'Old', 'Green', 'A'])} {r.choice(STREETS)}"))
 
 
-def labelled_texts(n: int = 3_000, seed: int = 5) -> list[tuple[str, str, set[tuple[int, int, str]]]]:
+def labelled_texts(n: int = 4_000, seed: int = 5) -> list[tuple[str, str, set[tuple[int, int, str]]]]:
     """(text, field kind, true segments) of ``n`` comments and half as many author names."""
     r, out = random.Random(seed), []
     for _ in range(n):
