@@ -59,8 +59,7 @@ _INITIAL = (
 _CAPITALS = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞŁŠŽĐ][^\W\d_]+(?:['’-][^\W\d_]+)* {1,2}(?:[A-Z]\.? )?[A-ZÀ-ÖØ-ÞŁŠŽĐ][^\W\d_]")
 #: Words after which people give a name, written in whatever case.
 _LED = re.compile(
-    r"(?<!\w)(?:(?:name(?:'s| is)|called|named|i am|i'm|signed|regards|greetings from|sincerely|cheers|yours|love|contact|ask for|written by|thanks to|ms|mrs|mr|dr|prof"
-    r"|(?:aunt|uncle|teacher|neighbou?r|cousin|friend|colleague|boss|landlord|doctor|nurse|dentist|brother|sister|wife|husband|mother|father|mom|mum|dad))[\s,.:;–—-]+)(?=[^\W\d_]{2})",
+    r"(?<!\w)(?:name(?:'s| is)|called|named|i am|i'm|signed|regards|greetings from|sincerely|cheers|yours|contact|ask for|thanks to|ms|mrs|mr|dr|prof)[\s,.:;–—-]+(?=[^\W\d_]{2})",
     re.IGNORECASE,
 )
 _FUNCTION = frozenset("a an the of in on at to and or for from with my your his her our their is was i you it this that who me by as but so no not out off over up see all".split())
