@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tripleforge.llm import leakage, packing
+from tripleforge.llm import shared_spans as shared_spans_module
 from tripleforge.llm.hashing import Rolling, code_points, sliding_min, winnow
 from tripleforge.llm.shared_spans import shared_shares, shared_spans
 
@@ -82,6 +83,19 @@ def test_spans_of_a_passage_most_texts_hold(spark):
     assert len(got) == 80 and all(b - a >= len(hot) for _, a, b in got)
 
 
+def test_spans_with_split_shards_and_regions(spark, monkeypatch):
+    """Many parts per shard and many regions per text give the same runs."""
+    monkeypatch.setattr(shared_spans_module, "SHARD_CHARS", 500)
+    monkeypatch.setattr(shared_spans_module, "SHARD_PHRASES", 3)
+    monkeypatch.setattr(shared_spans_module, "REGION", 64)
+    r = random.Random(12)
+    hot, docs = prose(r, 60), []
+    for i in range(30):
+        a = r.randrange(80)
+        docs.append((i, prose(r, 10) + hot[a : a + r.randrange(70, 300)] + prose(r, 10)))
+    assert found_spans(spark, docs) == brute_spans(docs, 60)
+
+
 def test_spans_of_odd_tables(spark):
     assert found_spans(spark, []) == []
     df = spark.createDataFrame([(None, "x" * 100, 1, 2), (1, "x" * 100, 1, 2), (1, "x" * 100, 3, 4)], "doc_id long, body string, pos int, doc int")
