@@ -153,6 +153,33 @@ def test_leaks_against_brute_force(spark):
     assert {k for k, r_ in leaks(spark, docs, items).items() if r_["kind"] == "verbatim"} == want
 
 
+def test_rows_do_not_depend_on_blocks_of_items(spark, monkeypatch):
+    r = random.Random(4)
+    items = [(i, prose(r, 25)) for i in range(12)]
+    docs = [(k, f"{prose(r, 30)} {' '.join(items[k % 12][1].split()[3:18])} {prose(r, 30)}", "") for k in range(40)]
+    want = leaks(spark, docs, items)
+    monkeypatch.setattr(leakage, "QUERY_BLOCK", 7)
+    got = leaks(spark, docs, items)
+    plain = lambda x: {k: (r_["kind"], r_["run_words"], r_["lcs_words"], round(r_["cosine"], 3)) for k, r_ in x.items()}
+    assert plain(got) == plain(want) and {k for k, x in want.items() if x["kind"] == "verbatim"} >= {(k % 12, k) for k in range(40)}
+
+
+def test_recall_of_rewordings(spark):
+    """Items with every sixth word exchanged, so that few long stretches are left, in texts of other words."""
+    r = random.Random(6)
+    items = [(i, prose(r, 25)) for i in range(60)]
+    docs, reworded = [], {}
+    for i, text in items:
+        words = text.split()
+        for j in range(r.randrange(6), len(words), 6):
+            words[j] = f"other{r.randrange(50)}"
+        reworded[i] = " ".join(words)
+        docs += [(i, f"{prose(r, 60)} {reworded[i]} {prose(r, 60)}", ""), (1_000 + i, prose(r, 140), "")]
+    found = leaks(spark, docs, items)
+    assert sum((i, i) in found for i, _ in items) / len(items) >= 0.9
+    assert sum(i != d for i, d in found) <= 2
+
+
 def test_paraphrase_and_empty(spark):
     item = "which pilot hands ivo the golden ferry before the premiere and how many of the 146 guests notice the promise"
     reworded = "they ask which pilot gives ivo the golden ferry before its premiere and how many of those 146 guests notice a promise made"

@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleforge.runtime import spread
+from tripleforge.runtime import materialize, spread
 
 #: Words are hashed to this many features; all matrices below have this many rows at every size of input.
 FEATURES = 1 << 13
-#: Items that are searched at once; more items are searched in blocks of as many.
-ITEM_BLOCK = 5_000
+#: Vectors of passages of items that are broadcast at once; more are searched in further passes over the hashed words.
+QUERY_BLOCK = 50_000
 #: Words whose latent vectors are held at once.
 CHUNK = 1 << 15
 #: Partial matrices that one task adds up.
@@ -42,23 +42,37 @@ class _Ids(dict):
         return i
 
 
-def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many of all documents each feature occurs, and the number of documents."""
+def hashed_words(texts: DataFrame) -> DataFrame:
+    """(id, words): the features of each text's words in order, two bytes each. ``texts``: id, text."""
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = _Ids()
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "words": [np.array([ids[w] for w in words_of(t)], dtype="<u2").tobytes() for t in frame["text"]]})
+
+    return texts.mapInPandas(hashed, "id long, words binary")
+
+
+def _features(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, dtype="<u2").astype(np.int64)
+
+
+def _document_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of all texts each feature occurs, and the number of texts."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, n, seen = _Ids(), 0, np.zeros(FEATURES, dtype=np.int64)
+        n, seen = 0, np.zeros(FEATURES, dtype=np.int64)
         for frame in frames:
-            for text in frame["text"]:
-                own = {ids[w] for w in words_of(text)}
-                seen[list(own)] += 1
+            for own in frame["words"]:
+                seen[np.unique(np.frombuffer(own, dtype="<u2"))] += 1
                 n += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"feature": np.append(at, -1), "n": np.append(seen[at], n)})
 
-    rows = texts.mapInPandas(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = words.select("words").mapInPandas(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(FEATURES + 1, dtype=np.int64)
     for r in rows:
-        out[r["feature"]] += r["n"]  # -1 is the last place: the number of documents
+        out[r["feature"]] += r["n"]  # -1 is the last place: the number of texts
     return out[:-1], int(out[-1])
 
 
@@ -84,14 +98,14 @@ def _gram_times(features: np.ndarray, weights: np.ndarray, right: np.ndarray, ou
     out[flat[starts]] += np.add.reduceat(parts, starts, axis=0)
 
 
-def _multiply(texts: DataFrame, idf: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    """A'(A right) over the passages of all documents; partial sums are added in a tree."""
-    shared = texts.sparkSession.sparkContext.broadcast((idf, right.astype(np.float32)))
+def _multiply(words: DataFrame, idf: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """A'(A right) over the passages of all texts; partial sums are added in a tree."""
+    shared = words.sparkSession.sparkContext.broadcast((idf, right.astype(np.float32)))
     width, blocks = right.shape[1], 16
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, right = shared.value
-        ids, out, held, n = _Ids(), np.zeros((FEATURES, width), dtype=np.float64), [], 0
+        out, held, n = np.zeros((FEATURES, width), dtype=np.float64), [], 0
 
         def flush() -> None:
             if held:
@@ -99,8 +113,7 @@ def _multiply(texts: DataFrame, idf: np.ndarray, right: np.ndarray, size: int) -
                 held.clear()
 
         for frame in frames:
-            for text in frame["text"]:
-                own = np.array([ids[w] for w in words_of(text)], dtype=np.int64)
+            for own in map(_features, frame["words"]):
                 for i in range(0, len(own), CHUNK):
                     held.append(_rows(own[i : i + CHUNK], idf, size))
                     n += len(held[-1][0]) * size
@@ -117,7 +130,7 @@ def _multiply(texts: DataFrame, idf: np.ndarray, right: np.ndarray, size: int) -
         return pd.DataFrame({"block": frame["block"][:1], "part": frame["part"][:1] // FAN_IN, "sum": [total.astype(np.float32).tobytes()]})
 
     schema = "block int, part int, sum binary"
-    sums, parts = texts.mapInPandas(part, schema), texts.rdd.getNumPartitions()
+    sums, parts = words.select("words").mapInPandas(part, schema), words.rdd.getNumPartitions()
     while True:
         sums = sums.groupBy("block", F.expr(f"part div {FAN_IN}").alias("_g")).applyInPandas(add, schema)
         if parts <= FAN_IN:
@@ -133,36 +146,39 @@ def _multiply(texts: DataFrame, idf: np.ndarray, right: np.ndarray, size: int) -
 class LatentSpace:
     """Latent semantic space of the passages of a corpus, together with the texts to be searched for.
 
-    Inverse document frequencies and the randomised singular value decomposition (a Gaussian sketch refined by one
-    power iteration) are computed over all passages of all documents. The items enter as further rows of the matrix,
-    with the weight of ``item_share`` of the corpus, because wording that only they have would otherwise be lost in
-    directions of little variance.
+    Inverse document frequencies and the randomised singular value decomposition are computed over all passages of all
+    documents, in one pass each: a Gaussian sketch of A'A gives its Nyström approximation, whose singular vectors are
+    those of A. The items enter as further rows of the matrix, with the weight of ``item_share`` of the corpus, because
+    wording that only they have would otherwise be lost in directions of little variance. ``words`` and ``items`` are
+    tables of hashed words, both read by executors only.
     """
 
-    def __init__(self, texts: DataFrame, items: list[list[str]], rank: int = 128, size: int = 16, item_share: float = 1.0):
-        frequencies, n = _document_frequencies(texts)
+    def __init__(self, words: DataFrame, items: DataFrame, rank: int = 96, size: int = 16, item_share: float = 1.0):
+        frequencies, n = _document_frequencies(words)
         self.idf = np.log((1 + n) / (1 + frequencies)) + 1e-3
-        ids = _Ids()
-        rows = [_rows(np.array([ids[w] for w in words], dtype=np.int64), self.idf, size) for words in items if words]
-        features, weights = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros((0, size), dtype=np.int64), np.zeros((0, size), dtype=np.float32))
-        right = np.random.default_rng(17).standard_normal((FEATURES, rank + 16))
-        for _ in range(2):
-            basis = np.linalg.qr(right)[0]
-            corpus, own = _multiply(texts, self.idf, basis, size), np.zeros((FEATURES, rank + 16))
-            _gram_times(features, weights, basis.astype(np.float32), own) if len(features) else None
-            scale = item_share * np.trace(basis.T @ corpus) / max(1e-9, np.trace(basis.T @ own))
-            right = corpus + max(1.0, scale) * own
-        small = basis.T @ right
-        values, vectors = np.linalg.eigh((small + small.T) / 2)
-        self.words = (self.idf[:, None] * (basis @ vectors[:, ::-1][:, :rank])).astype(np.float32)
-
-    def vector(self, words: list[str]) -> np.ndarray:
+        sketch = np.linalg.qr(np.random.default_rng(17).standard_normal((FEATURES, rank + 16)))[0]
+        corpus, own = _multiply(words, self.idf, sketch, size), _multiply(items, self.idf, sketch, size)
+        scale = item_share * np.trace(sketch.T @ corpus) / max(1e-9, np.trace(sketch.T @ own))
+        right = corpus + max(1.0, scale) * own
+        # a shift keeps the factorisation stable; it is taken off the eigenvalues again, which only order the directions
+        right = right + 1e-6 * max(1e-9, np.linalg.norm(right)) * sketch
+        core = sketch.T @ right
+        values, vectors = np.linalg.eigh((core + core.T) / 2)
+        root = vectors / np.sqrt(np.maximum(values, 1e-9 * max(1e-9, values.max())))
+        directions = np.linalg.svd(right @ root, full_matrices=False)[0]
+        self.words = (self.idf[:, None] * directions[:, :rank]).astype(np.float32)
+
+    def vector(self, features: np.ndarray) -> np.ndarray:
         """Latent vector of unit length."""
-        ids = _Ids()
-        v = self.words[[ids[w] for w in words]].sum(axis=0) if words else np.zeros(self.words.shape[1])
+        v = self.words[features].sum(axis=0) if len(features) else np.zeros(self.words.shape[1])
         return (v / max(1e-9, np.linalg.norm(v))).astype(np.float32)
 
 
+def _cuts(n: int, size: int, step: int) -> list[int]:
+    """Where the passages of an item of ``n`` words begin: every ``step`` words, the last one ending with the item."""
+    return sorted({*range(0, max(1, n - size + 1), step), max(0, n - size)})
+
+
 def longest_run(a: list[str], b: list[str]) -> int:
     """Words in the longest stretch that both lists have, in order and without gaps."""
     best, before = 0, {}
@@ -189,61 +205,78 @@ def leaked_items(documents: DataFrame, doc_key: str, doc_text: str, items: DataF
     """Documents with passages of items, fully, partly or reworded.
 
     Columns: doc_key, item_key (bigint), cosine (best passage), run_words (longest stretch of equal words), lcs_words
-    (longest common subsequence of item and passage), answered (the numbers of the item are in the passage), kind:
-    'verbatim' if at least ``run`` consecutive words of the item occur in the text, else 'paraphrase' if the common
-    subsequence has ``paraphrase`` of the item's words and the numbers agree. One row per document and item.
-
-    All documents are cut into overlapping passages of ``size`` words; candidates are passages whose cosine with an
-    item, or with one of the overlapping passages of ``size`` words that it is cut into, is at least ``threshold`` in the latent space. A stretch of ``run`` words lies wholly in some passage if
-    ``size - run + 1 >= stride``; ``size`` has to be a multiple of ``stride``. Null keys and null, empty or wordless texts match nothing; items shorter than
-    ``run`` words can only be paraphrased; repeated keys give one row. Other columns are ignored.
+    (longest common subsequence of item and passage), answered (the numbers of the item are in the passage; true if it
+    has none), kind: 'verbatim' if at least ``run`` consecutive words of the item occur in the text, else 'paraphrase' if
+    the common subsequence has ``paraphrase`` of the item's words and the numbers agree. One row per document and item.
+
+    All documents are cut into overlapping passages of ``size`` words, as are the items; candidates are passages whose
+    cosine with one of an item is at least ``threshold`` in the latent space, which is fitted once to all documents
+    and all items. A stretch of ``run`` words lies wholly in some passage of the document if ``size - run + 1 >= stride``;
+    ``size`` has to be a multiple of ``stride``. Texts are taken apart once; after that hashed words are read, for
+    frequencies, for the decomposition, and once per ``QUERY_BLOCK`` passages of items. Only documents with candidates
+    are joined with their texts again and compared word by word, each with its own items.
+
+    Null keys and null, empty or wordless texts match nothing; items shorter than ``run`` words can only be paraphrased;
+    repeated keys give one row. Other columns are ignored.
     """
-    held = spread(documents.select(F.col(doc_key).cast("long").alias("doc"), F.col(doc_text).alias("text")).where("doc is not null and text is not null"))
-    wanted = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    texts = documents.select(F.col(doc_key).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null")
+    wanted = materialize(items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null").distinct(), "items")
+    # the same key may have several texts, so that an item is a row of its own here
+    asked = materialize(wanted.select("id", "text", F.xxhash64("id", "text").alias("row")), "items")
+    words = materialize(hashed_words(spread(texts)).where("length(words) > 0"), "words")
+    item_words = materialize(hashed_words(asked.select(F.col("row").alias("id"), "text")).where("length(words) > 0"), "words")
     schema = f"`{doc_key}` long, `{item_key}` long, cosine double, run_words int, lcs_words int, answered boolean, kind string"
-    blocks = max(1, -(-wanted.count() // ITEM_BLOCK))
-    out = None
+    if item_words.isEmpty():
+        return documents.sparkSession.createDataFrame([], schema)
+    space = LatentSpace(words, item_words, size=size)
+    passages = _item_passages(item_words, space, size, size // 2)
+    blocks = max(1, -(-passages.count() // QUERY_BLOCK))
+    found = None
     for block in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item", "text").collect()
-        found = _search(held, [(r["item"], words_of(r["text"])) for r in rows], run, threshold, paraphrase, size, stride, schema)
-        out = found if out is None else out.union(found)
-    best = [F.max("cosine").alias("cosine"), F.max("run_words").alias("run_words"), F.max("lcs_words").alias("lcs_words"), F.max("answered").alias("answered"), F.max("kind").alias("kind")]
-    return out.groupBy(doc_key, item_key).agg(*best)
-
-
-def _search(texts: DataFrame, items: list[tuple[int, list[str]]], run: int, threshold: float, paraphrase: float, size: int, stride: int, schema: str) -> DataFrame:
-    items = [x for x in items if x[1]]
-    if not items:
-        return texts.sparkSession.createDataFrame([], schema)
-    space = LatentSpace(texts, [w for _, w in items], size=size)
-    # passages of an item as long as those of documents, so that a cosine means the same however long the item is
-    cuts = [[*range(0, len(w) - size, stride), max(0, len(w) - size)] for _, w in items]
-    queries = np.stack([space.vector(w[at : at + size]) for (_, w), own in zip(items, cuts, strict=True) for at in own] + [space.vector(w) for _, w in items])
-    asked = np.array([i for i, own in enumerate(cuts) for _ in own] + list(range(len(items))))
-    grams: dict[tuple, set[int]] = {}
-    for i, (_, words) in enumerate(items):
-        for j in range(len(words) - run + 1):
-            grams.setdefault(tuple(words[j : j + run]), set()).add(i)
-    shared = texts.sparkSession.sparkContext.broadcast((np.vstack([space.words, np.zeros((1, space.words.shape[1]), dtype=np.float32)]), queries, asked, items, grams))
-    names = [c.split("`")[1] for c in schema.split(",")[:2]]
+        rows = passages.where(F.pmod(F.xxhash64("row", "at"), F.lit(blocks)) == block).collect()
+        one = _candidates(words, space, rows, threshold, size, stride)
+        found = one if found is None else found.union(one)
+    longest = int(item_words.agg(F.max(F.length("words") / 2)).first()[0])
+    pairs = materialize(found.groupBy("doc", "row").agg(F.max(F.struct("cosine", "at")).alias("best"), F.flatten(F.collect_list("places")).alias("places")), "candidates")
+    pairs = pairs.join(asked.withColumnRenamed("id", "item").withColumnRenamed("text", "wanted"), "row")
+    whole = texts.join(pairs.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("item", "wanted", "best", "places")).alias("own")), "id")
+    best = [F.max(c).alias(c) for c in ("cosine", "run_words", "lcs_words", "answered", "kind")]
+    return _checked(whole, run, paraphrase, size, longest, schema).groupBy(doc_key, item_key).agg(*best)
+
+
+def _item_passages(item_words: DataFrame, space: LatentSpace, size: int, step: int) -> DataFrame:
+    """(row, at, vector) of every passage of every item."""
+    shared = item_words.sparkSession.sparkContext.broadcast(space)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        space = shared.value
+        for frame in frames:
+            rows = [(row, at, space.vector(own[at : at + size]).tobytes()) for row, own in zip(frame["id"], map(_features, frame["words"]), strict=True) for at in _cuts(len(own), size, step)]
+            yield pd.DataFrame(rows, columns=["row", "at", "vector"])
+
+    return materialize(item_words.mapInPandas(cut, "row long, at int, vector binary"), "passages")
+
+
+def _candidates(words: DataFrame, space: LatentSpace, queries: list, threshold: float, size: int, stride: int) -> DataFrame:
+    """(doc, row, cosine, at, places): documents with passages like those of an item, the best and all of their places."""
+    vectors = np.stack([np.frombuffer(q["vector"], dtype=np.float32) for q in queries])
+    latent = np.vstack([space.words, np.zeros((1, space.words.shape[1]), dtype=np.float32)])
+    shared = words.sparkSession.sparkContext.broadcast((latent, vectors, np.array([q["row"] for q in queries])))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        latent, queries, asked, items, grams = shared.value
-        ids = _Ids()
-        longest = max(len(w) for _, w in items)
-        numbers = [{w for w in words if w.isdigit()} for _, words in items]
+        latent, queries, owners = shared.value
 
-        def passages(docs: list[tuple[int, list[str]]]) -> list[tuple]:
-            """Candidate (doc, item) pairs of some documents or parts of one, checked.
+        def near(docs: list[tuple[int, int, np.ndarray]]) -> list[tuple]:
+            """Candidates of some documents or parts of one (document, place of the part, features).
 
             Words are summed in blocks of ``stride``, and blocks in passages; documents are filled up with blocks of
             a word without vector, so that a passage lies in one of them.
             """
-            filled = [max(size, -(-len(words) // stride) * stride) for _, words in docs]
+            filled = [max(size, -(-len(own) // stride) * stride) for _, _, own in docs]
             flat = np.full(sum(filled), FEATURES, dtype=np.int64)
             at, firsts = 0, []
-            for n, (_, words) in zip(filled, docs, strict=True):
-                flat[at : at + len(words)] = [ids[w] for w in words]
+            for n, (_, _, own) in zip(filled, docs, strict=True):
+                flat[at : at + len(own)] = own
                 firsts.append(at // stride)
                 at += n
             blocks = latent[flat].reshape(-1, stride, latent.shape[1]).sum(axis=1)
@@ -255,50 +288,62 @@ def _search(texts: DataFrame, items: list[tuple[int, list[str]]], run: int, thre
             starts = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
             vectors = vectors[np.repeat(firsts, counts) + starts]
             starts *= stride
-            vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
+            # lengths go to the threshold: the product is compared before it is divided
+            least = threshold * np.maximum(1e-9, np.linalg.norm(vectors, axis=1))
             hits: dict[tuple[int, int], list] = {}
-            for first in range(0, len(queries), ITEM_BLOCK):
-                cosines = vectors @ queries[first : first + ITEM_BLOCK].T
-                for w, q in zip(*np.nonzero(cosines >= threshold), strict=True):
-                    hits.setdefault((owner[w], asked[first + q]), []).append((cosines[w, q], starts[w]))
-            out, runs = [], {}
-            for (k, i), places in hits.items():
-                doc, words = docs[k]
-                item, wanted = items[i]
-                if k not in runs:
-                    runs[k] = {}
-                own = runs[k]
-                verbatim = False
-                for _, at in places:
-                    for j in range(max(0, at - size), min(len(words) - run, at + size) + 1):
-                        if j not in own:
-                            own[j] = grams.get(tuple(words[j : j + run]), ())
-                        verbatim = verbatim or i in own[j]
-                cosine, at = max(places)
-                near = words[max(0, at - longest) : at + size + longest]
-                answered = numbers[i] <= set(near)
-                if verbatim:
-                    whole = words[max(0, min(p for _, p in places) - longest) : max(p for _, p in places) + size + longest]
-                    out.append((doc, item, float(cosine), longest_run(wanted, whole), common_subsequence(wanted, whole), answered, "verbatim"))
-                elif answered and (lcs := common_subsequence(wanted, near)) >= paraphrase * len(wanted):
-                    out.append((doc, item, float(cosine), longest_run(wanted, near), lcs, True, "paraphrase"))
-            return out
+            for first in range(0, len(queries), 4_096):
+                products = vectors @ queries[first : first + 4_096].T
+                for w, q in zip(*np.nonzero(products >= least[:, None]), strict=True):
+                    hits.setdefault((int(owner[w]), int(owners[first + q])), []).append((float(products[w, q] / least[w] * threshold), int(starts[w])))
+            return [(docs[k][0], row, *max((c, p + docs[k][1]) for c, p in places), sorted({p + docs[k][1] for _, p in places})) for (k, row), places in hits.items()]
 
         for frame in frames:
             out, held, n = [], [], 0
-            for doc, text in zip(frame["doc"], frame["text"], strict=True):
-                words = words_of(text)
-                # parts of a very long text overlap by as much as a check may look at
-                for i in range(0, max(1, len(words)), CHUNK):
-                    piece = words[max(0, i - 2 * longest - size) : i + CHUNK]
-                    if piece:
-                        held.append((doc, piece))
-                        n += len(piece)
+            for doc, own in zip(frame["id"], map(_features, frame["words"]), strict=True):
+                for i in range(0, len(own), CHUNK):
+                    at = max(0, i - size)
+                    held.append((doc, at, own[at : i + CHUNK]))
+                    n += len(held[-1][2])
                     if n >= CHUNK:
-                        out += passages(held)
+                        out += near(held)
                         held, n = [], 0
             if held:
-                out += passages(held)
+                out += near(held)
+            yield pd.DataFrame(out, columns=["doc", "row", "cosine", "at", "places"])
+
+    return words.mapInPandas(search, "doc long, row long, cosine double, at int, places array<int>")
+
+
+def _checked(whole: DataFrame, run: int, paraphrase: float, size: int, longest: int, schema: str) -> DataFrame:
+    """Candidates compared word by word. ``whole``: id, text, and own, the items that may be in the text."""
+    names = [c.split("`")[1] for c in schema.split(",")[:2]]
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple] = {}
+
+        def item(text: str) -> tuple[list[str], set[tuple], set[str]]:
+            if text not in known:
+                if len(known) > 10_000:
+                    known.clear()  # a cache only
+                words = words_of(text)
+                known[text] = words, {tuple(words[j : j + run]) for j in range(len(words) - run + 1)}, {w for w in words if w.isdigit()}
+            return known[text]
+
+        for frame in frames:
+            out = []
+            for doc, text, own in zip(frame["id"], frame["text"], frame["own"], strict=True):
+                words = words_of(text)
+                for one in own:
+                    wanted, grams, numbers = item(one["wanted"])
+                    places, at = one["places"], one["best"]["at"]
+                    around = sorted({j for p in places for j in range(max(0, p - size), min(len(words) - run, p + size) + 1)}) if grams else []
+                    near = words[max(0, at - longest) : at + size + longest]
+                    answered = numbers <= set(near)
+                    if any(tuple(words[j : j + run]) in grams for j in around):
+                        area = words[max(0, min(places) - longest) : max(places) + size + longest]
+                        out.append((doc, one["item"], one["best"]["cosine"], longest_run(wanted, area), common_subsequence(wanted, area), answered, "verbatim"))
+                    elif answered and (lcs := common_subsequence(wanted, near)) >= paraphrase * len(wanted):
+                        out.append((doc, one["item"], one["best"]["cosine"], longest_run(wanted, near), lcs, True, "paraphrase"))
             yield pd.DataFrame(out, columns=[*names, "cosine", "run_words", "lcs_words", "answered", "kind"])
 
-    return texts.mapInPandas(search, schema)
+    return whole.select("id", "text", "own").mapInPandas(check, schema)
