@@ -160,7 +160,8 @@ def test_rows_do_not_depend_on_blocks_of_items(spark, monkeypatch):
     want = leaks(spark, docs, items)
     monkeypatch.setattr(leakage, "QUERY_BLOCK", 7)
     got = leaks(spark, docs, items)
-    plain = lambda x: {k: (r_["kind"], r_["run_words"], r_["lcs_words"], round(r_["cosine"], 3)) for k, r_ in x.items()}
+    plain = lambda x: {k: (r_["kind"], r_["run_words"], r_["lcs_words"]) for k, r_ in x.items()}
+    assert all(abs(x["cosine"] - want[k]["cosine"]) < 0.01 for k, x in got.items())
     assert plain(got) == plain(want) and {k for k, x in want.items() if x["kind"] == "verbatim"} >= {(k % 12, k) for k in range(40)}
 
 

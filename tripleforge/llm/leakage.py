@@ -153,7 +153,7 @@ class LatentSpace:
     tables of hashed words, both read by executors only.
     """
 
-    def __init__(self, words: DataFrame, items: DataFrame, rank: int = 96, size: int = 16, item_share: float = 1.0):
+    def __init__(self, words: DataFrame, items: DataFrame, rank: int = 64, size: int = 16, item_share: float = 1.0):
         frequencies, n = _document_frequencies(words)
         self.idf = np.log((1 + n) / (1 + frequencies)) + 1e-3
         sketch = np.linalg.qr(np.random.default_rng(17).standard_normal((FEATURES, rank + 16)))[0]
@@ -333,16 +333,20 @@ def _checked(whole: DataFrame, run: int, paraphrase: float, size: int, longest:
             out = []
             for doc, text, own in zip(frame["id"], frame["text"], frame["own"], strict=True):
                 words = words_of(text)
+                places = sorted({p for one in own for p in one["places"]})
+                around = {j for p in places for j in range(max(0, p - size), min(len(words) - run, p + size) + 1)}
+                there = {tuple(words[j : j + run]) for j in around}
                 for one in own:
                     wanted, grams, numbers = item(one["wanted"])
                     places, at = one["places"], one["best"]["at"]
-                    around = sorted({j for p in places for j in range(max(0, p - size), min(len(words) - run, p + size) + 1)}) if grams else []
                     near = words[max(0, at - longest) : at + size + longest]
-                    answered = numbers <= set(near)
-                    if any(tuple(words[j : j + run]) in grams for j in around):
+                    close = set(near)
+                    answered = numbers <= close
+                    if not grams.isdisjoint(there):
                         area = words[max(0, min(places) - longest) : max(places) + size + longest]
                         out.append((doc, one["item"], one["best"]["cosine"], longest_run(wanted, area), common_subsequence(wanted, area), answered, "verbatim"))
-                    elif answered and (lcs := common_subsequence(wanted, near)) >= paraphrase * len(wanted):
+                    # words of the item that are near at all bound the common subsequence
+                    elif answered and sum(w in close for w in wanted) >= paraphrase * len(wanted) and (lcs := common_subsequence(wanted, near)) >= paraphrase * len(wanted):
                         out.append((doc, one["item"], one["best"]["cosine"], longest_run(wanted, near), lcs, True, "paraphrase"))
             yield pd.DataFrame(out, columns=[*names, "cosine", "run_words", "lcs_words", "answered", "kind"])
 
