@@ -1,6 +1,7 @@
 import itertools
 import random
 import string
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,28 @@ def test_entities(spark):
     assert got == sorted(map(sorted, [one, other, third, group, ["Nunisupesk"]]))
 
 
+def test_given_keys():
+    """Whatever given names are accepted as one share a key."""
+    r = random.Random(9)
+    known = [*names.NICKNAMES, *[x for v in names.NICKNAMES.values() for x in v.split()]]
+    slip = lambda w: r.choice([w, w[: (i := r.randrange(len(w)))] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "y" + w[i + 1 :], w[: max(0, i - 1)] + w[i : i + 1] + w[max(0, i - 1) : i] + w[i + 1 :]])
+    for _ in range(3_000):
+        a = r.choice(known)
+        b = slip(r.choice([a, r.choice([*names.given_names(a)]), r.choice(known)]))
+        if b and names.same_given(a, b) <= 1:
+            assert spellings.given_keys("full", a) & spellings.given_keys("full", b)
+
+
+def test_many_given_names_of_one_family(spark):
+    """Work grows with the number of names, not with its square: the pairs compared are those that share a key."""
+    r = random.Random(14)
+    spelled = sorted({"".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)).title() for _ in range(20_000)})
+    df = spark.createDataFrame([(f"{g} Smithson",) for g in spelled], "who string")
+    began = time.time()
+    assert spellings.name_entities(df, "who").select("entity").distinct().count() == len(spelled)
+    assert time.time() - began < 120
+
+
 def test_entities_of_nothing(spark):
     assert entities(spark, []) == [] and entities(spark, [None, "traditional"]) == []
     assert entities(spark, ["X. Only", "Only, X."]) == [["Only, X.", "X. Only"]]

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleforge.llm.names import parse_name, same_given, typo_distance
+from tripleforge.llm.names import given_names, parse_name, same_given, typo_distance
 from tripleforge.runtime import materialize, spread
 
-#: A family name shorter than this is only compared for equality.
+#: A family name shorter than this is only compared for equality: one letter of four is too much to be called a typo
+#: (Cole and Dole, Kim and Lim), and no cut of it leaves segments that say anything.
 LEAST = 5
 
 
@@ -90,6 +91,18 @@ def _attach(weak: DataFrame, strong: DataFrame, on: list[str]) -> DataFrame:
     return met.where("component = other").drop("other")
 
 
+def given_keys(kind: str, given: str) -> set[str]:
+    """Keys of a given name such that two that ``same_given`` accepts share one; a group has just its type.
+
+    Keys that begin with = are full forms, which equal names and short forms of one name share. The others are the
+    forms of four letters or more, whole and without each letter: names one typo apart share one of them.
+    """
+    if kind == "group":
+        return {f"={given}"}
+    forms = {given, *given_names(given)}
+    return {f"={f}" for f in forms} | {f[:i] + f[i + 1 :] for f in forms if len(f) >= 4 for i in range(len(f))} | {f for f in forms if len(f) >= 4}
+
+
 def name_entities(names: DataFrame, column: str) -> DataFrame:
     """(name, entity) of every distinct spelling that names somebody.
 
@@ -105,14 +118,16 @@ def name_entities(names: DataFrame, column: str) -> DataFrame:
             rows = [(name, *p, f"{p[0][0]}|{p[1]}|{p[2]}") for name in frame["name"] if (p := parse_name(name))]
             yield pd.DataFrame(rows, columns=["name", "kind", "family", "given", "node"])
 
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for node, kind, family, given in zip(frame["node"], frame["kind"], frame["family"], frame["given"], strict=True):
+                rows += [(node, kind, family, given, key) for key in given_keys(kind, given)]
+            yield pd.DataFrame(rows, columns=["node", "kind", "family", "given", "key"])
+
     def compatible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keep = []
-            for kind, family, given, other, name in zip(frame["kind"], frame["family"], frame["given"], frame["family2"], frame["given2"], strict=True):
-                if kind == "group":
-                    keep.append(given == name)
-                else:
-                    keep.append(same_given(given, name) + (family != other) <= 1)
+            keep = [kind == "group" or same_given(a, b) + (f != g) <= 1 for kind, f, a, g, b in zip(frame["kind"], frame["family"], frame["given"], frame["family2"], frame["given2"], strict=True)]
             yield frame.loc[keep, ["a", "b"]]
 
     distinct = names.select(F.col(column).alias("name")).where(f"`{column}` is not null").distinct()
@@ -120,14 +135,16 @@ def name_entities(names: DataFrame, column: str) -> DataFrame:
     nodes = parsed.select("node", "kind", "family", "given").distinct()
     near = materialize(segment_join(nodes, "family"), "near")
     both = near.union(near.select("b", "a"))
-    alike = both.union(nodes.select(F.col("family").alias("a"), F.col("family").alias("b")).distinct()).toDF("family", "family2")
     strong = nodes.where("kind in ('full', 'group')")
-    left = strong.withColumnRenamed("node", "a")
-    right = strong.select(F.col("node").alias("b"), F.col("kind"), F.col("family").alias("family2"), F.col("given").alias("given2"))
-    pairs = left.join(alike, "family").join(right, ["family2", "kind"]).where("a < b")
-    # given names that cannot agree are dropped before Python sees them
-    pairs = pairs.where((F.col("kind") == "full") | (F.col("given") == F.col("given2")))
-    edges = pairs.select("kind", "family", "given", "family2", "given2", "a", "b").mapInPandas(compatible, "a string, b string")
+    # the family name and the given name are one key, so that a frequent family name is no group of its own
+    keys = materialize(strong.mapInPandas(keyed, "node string, kind string, family string, given string, key string"), "keys")
+    right = keys.select(F.col("node").alias("b"), F.col("kind"), F.col("family").alias("family2"), F.col("given").alias("given2"), F.col("key"))
+    equal = keys.withColumnRenamed("node", "a").join(right.withColumn("family", F.col("family2")), ["family", "kind", "key"]).where("a < b")
+    # with a typo in the family name there is none left for the given name: full forms have to agree
+    whole_keys = keys.where("key like '=%'").withColumnRenamed("node", "a").join(both.toDF("family", "family2"), "family")
+    near_ = whole_keys.join(right.where("key like '=%'"), ["family2", "kind", "key"]).where("a < b")
+    columns = ["kind", "family", "given", "family2", "given2", "a", "b"]
+    edges = equal.select(*columns).union(near_.select(*columns)).distinct().mapInPandas(compatible, "a string, b string")
     whole = components(strong.select("node"), edges)
     members = strong.join(whole, "node").where("kind = 'full'").select("family", F.substring("given", 1, 1).alias("given"), "component")
     nick = strong.join(whole, "node").where("kind = 'full'")
