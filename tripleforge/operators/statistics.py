@@ -20,12 +20,15 @@ def typed_counts(triples: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def role_counts(triples: DataFrame, roles: dict[str, str], of_type: str | None = None) -> DataFrame:
-    """Distinct objects per role and graph; only of subjects of ``of_type`` if given."""
+    """Distinct objects per role and graph; only of subjects of ``of_type`` if given.
+
+    Repetitions are removed once for all roles; what is left is counted with partial sums.
+    """
     rows = triples.where(F.col("p").isin([expand(p) for p in roles.values()]))
     if of_type:
         typed = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == expand(of_type))).select("g", "s")
         rows = rows.join(typed, ["g", "s"], "left_semi")
-    return rows.groupBy("g").agg(*[F.count_distinct(F.when(F.col("p") == expand(p), F.col("o"))).alias(c) for c, p in roles.items()])
+    return rows.select("g", "p", "o").distinct().groupBy("g").agg(*[F.count_if(F.col("p") == expand(p)).alias(c) for c, p in roles.items()])
 
 
 def any_value(triples: DataFrame, predicate: str, alias: str) -> DataFrame:
@@ -81,8 +84,14 @@ def tallies(df: DataFrame, classes: dict[str, Column]) -> DataFrame:
 
 
 def samples(df: DataFrame, key: str, text: str, order: str, n: int = 5, width: int = 200) -> DataFrame:
-    """The first ``n`` texts of each key, cut to ``width``, with the number of all of them."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    rows = df.withColumn("_n", place).withColumn("_all", F.count("*").over(Window.partitionBy(key)))
-    kept = rows.where(F.col("_n") <= n).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", F.substring(text, 1, width).alias("t")))).alias("_s"), F.max("_all").alias("n_all"))
-    return kept.select(key, "n_all", F.transform("_s", lambda x: x.t).alias("samples"))
+    """The first ``n`` texts of each key, cut to ``width``, with the number of all of them.
+
+    Ranks are taken within slices of a key first, so that no task gets all rows of a frequent one.
+    """
+    held = df.select(key, F.col(order).alias("_o"), F.substring(text, 1, width).alias("t"))
+    first = F.row_number().over(Window.partitionBy(key, F.pmod(F.xxhash64("_o"), F.lit(64))).orderBy("_o"))
+    some = held.withColumn("_n", first).where(F.col("_n") <= n).drop("_n")
+    rows = some.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_o"))).where(F.col("_n") <= n)
+    kept = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "t"))).alias("_s"))
+    counts = df.groupBy(key).agg(F.count("*").alias("n_all"))
+    return kept.join(counts.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).select(key, "n_all", F.transform("_s", lambda x: x.t).alias("samples"))

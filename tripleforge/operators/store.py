@@ -35,6 +35,15 @@ def expand_column(term: Column, prefixes: dict[str, str] | None = None) -> Colum
     return F.when(term.startswith("http") | ~term.contains(":") | base.isNull(), term).otherwise(F.concat(base, F.regexp_replace(term, "^[^:]*:", "")))
 
 
+def qname(iri: Column, prefixes: dict[str, str] | None = None) -> Column:
+    """IRIs to prefixed names, by row, with the longest namespace that fits; what fits none stays as it is."""
+    out = iri
+    for prefix, base in sorted((PREFIXES | (prefixes or {})).items(), key=lambda x: len(x[1])):
+        local = F.substring(iri, len(base) + 1, 1 << 30)
+        out = F.when(iri.startswith(base) & local.rlike(r"^[\w.-]+$"), F.concat(F.lit(prefix + ":"), local)).otherwise(out)
+    return out
+
+
 def canonical_id(iri: Column) -> Column:
     """The id within an entity's IRI (``…/title/tt1/``, ``…/name/nm1?x``), or the IRI itself: joins graphs that write
     IRIs with and without slash."""
@@ -48,11 +57,19 @@ def _cells(values: Column, predicate: str, datatype: str | None) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(predicate).alias("p"), v.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("o_dt")))
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only reads, filters and computes, so that reading it again for another column costs no more."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(x in plan for x in ("Aggregate", "Join", "Window", "Sort", "Distinct", "Deduplicate", "Repartition", "Generate", "Python", "Pandas"))
+
+
 def lift(df: DataFrame, graph: Column, subject: Column, properties: dict[str, Column | str], rdf_type: str | None = None, iris: tuple[str, ...] = ()) -> DataFrame:
     """Rows of a table as triples: one per row and property that is not null.
 
     ``properties`` maps predicates to columns; array columns give one triple per element. Predicates in ``iris`` have
-    IRIs as objects, all others literals of the column's type. Everything happens in one pass over the table.
+    IRIs as objects, all others literals of the column's type. Of a plain scan the triples are a union with one branch
+    per predicate: a pattern with a bound predicate then keeps only that branch, and the scan reads only its columns. What
+    is computed (an aggregate, a join) is taken apart in one pass instead.
     """
     cells = []
     columns = {p: F.col(c) if isinstance(c, str) else c for p, c in properties.items()}
@@ -60,13 +77,23 @@ def lift(df: DataFrame, graph: Column, subject: Column, properties: dict[str, Co
     for (p, c), (_, kind) in zip(columns.items(), probe.dtypes, strict=True):
         element = kind[6:-1] if kind.startswith("array<") else kind
         datatype = PREFIXES["xsd"] + ("decimal" if element.startswith("decimal") else _XSD.get(element, "string"))
-        values = c if kind.startswith("array<") else F.array(c)
-        cells.append(_cells(values.cast("array<string>"), expand(p), None if p in iris else datatype))
+        cells.append((expand(p), c.cast("array<string>") if kind.startswith("array<") else c.cast("string"), kind.startswith("array<"), None if p in iris else datatype))
     if rdf_type:
-        cells.append(F.array(F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(expand(rdf_type)).alias("o"), F.lit("I").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"))))
-    every = F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<struct<p:string,o:string,o_kind:string,o_dt:string>>")) for c in cells]))
-    rows = df.select(graph.cast("string").alias("g"), subject.cast("string").alias("s"), F.explode(every).alias("t"))
-    return rows.where("t.o is not null and s is not null").select("g", "s", F.lit("I").alias("s_kind"), "t.p", "t.o", "t.o_kind", "t.o_dt", F.lit(None).cast("string").alias("o_lang"))
+        cells.append((RDF_TYPE, F.lit(expand(rdf_type)), False, None))
+    if not cells:
+        cells.append((RDF_TYPE, F.lit(None).cast("string"), False, None))
+    g, s = graph.cast("string").alias("g"), subject.cast("string").alias("s")
+    constant = lambda p, datatype: [F.lit(p).alias("p"), F.lit("I" if datatype is None else "L").alias("o_kind"), F.lit(datatype).cast("string").alias("o_dt")]
+    if _is_scan(df):
+        rows = None
+        for p, c, several, datatype in cells:
+            own = df.select(g, s, (F.explode(c) if several else c).alias("o"), *constant(p, datatype))
+            rows = own if rows is None else rows.union(own)
+    else:
+        values = [_cells(c if several else F.array(c), p, datatype) for p, c, several, datatype in cells]
+        every = F.flatten(F.array(*[F.coalesce(v, F.array().cast("array<struct<p:string,o:string,o_kind:string,o_dt:string>>")) for v in values]))
+        rows = df.select(g, s, F.explode(every).alias("t")).select("g", "s", "t.o", "t.p", "t.o_kind", "t.o_dt")
+    return rows.where("o is not null and s is not null").select("g", "s", F.lit("I").alias("s_kind"), "p", "o", "o_kind", "o_dt", F.lit(None).cast("string").alias("o_lang"))
 
 
 def as_graph(triples: DataFrame) -> DataFrame:
@@ -74,9 +101,14 @@ def as_graph(triples: DataFrame) -> DataFrame:
     return triples.dropDuplicates(COLUMNS)
 
 
-def write_store(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Triples in one folder per predicate, sorted by subject, so that a pattern reads only its own predicate."""
-    triples.select(*COLUMNS).repartition("p", F.pmod(F.xxhash64("g", "s"), F.lit(32))).sortWithinPartitions("p", "s").write.mode(mode).partitionBy("p").parquet(path)
+def write_store(triples: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 10_000_000) -> None:
+    """Triples in one folder per predicate, sorted by subject, so that a pattern reads only its own predicate.
+
+    A predicate goes to as many tasks as its triples need, so that no task gets all of a frequent one.
+    """
+    tasks = triples.groupBy("p").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows_per_file)).cast("int").alias("_tasks"))
+    rows = triples.select(*COLUMNS).join(tasks, "p").withColumn("_part", F.pmod(F.xxhash64("g", "s"), F.col("_tasks")))
+    rows.repartition("p", "_part").sortWithinPartitions("p", "s").select(*COLUMNS).write.mode(mode).partitionBy("p").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripleforge.operators import comparison, patterns, statistics
 from tripleforge.operators.linking import same_as
-from tripleforge.operators.store import as_graph, canonical_id, lift, to_ntriples
+from tripleforge.operators.store import as_graph, canonical_id, lift, qname, to_ntriples
 from tripleforge.plans import sparql
 from tripleforge.runtime import load, spread
 from tripleforge.sources.turtle import turtle_triples
@@ -48,7 +48,7 @@ def _key(column: str):
 
 def bgp_orders_per_nation(spark: SparkSession, d: str) -> DataFrame:
     t = _lifted(spark, d, "customer", "nation", "orders")
-    found = patterns.join(patterns.join(patterns.scan(t, "?o", f"<{EX}customer>", "?c"), patterns.scan(t, "?c", f"<{EX}nation>", "?n")), patterns.scan(t, "?n", f"<{EX}name>", "?name"))
+    found = patterns.join(patterns.join(patterns.scan(t, "?o", f"<{EX}customer>", "?c", unique=True), patterns.scan(t, "?c", f"<{EX}nation>", "?n", unique=True)), patterns.scan(t, "?n", f"<{EX}name>", "?name", unique=True))
     return found.groupBy("name").agg(F.count("*").alias("n_orders"))
 
 
@@ -59,26 +59,26 @@ def bgp_star_customer(spark: SparkSession, d: str) -> DataFrame:
 
 def bgp_optional_orders(spark: SparkSession, d: str) -> DataFrame:
     t = _lifted(spark, d, "customer", "orders")
-    urgent = patterns.join(patterns.scan(t, "?o", f"<{EX}customer>", "?c"), patterns.scan(t, "?o", f"<{EX}priority>", '"1-URGENT"'))
-    rows = patterns.optional(patterns.scan(t, "?c", f"<{EX}name>", "?name"), urgent)
+    urgent = patterns.join(patterns.scan(t, "?o", f"<{EX}customer>", "?c", unique=True), patterns.scan(t, "?o", f"<{EX}priority>", '"1-URGENT"', unique=True))
+    rows = patterns.optional(patterns.scan(t, "?c", f"<{EX}name>", "?name", unique=True), urgent)
     return rows.groupBy("name").agg(F.count("o").alias("n_urgent"))
 
 
 def bgp_minus_no_orders(spark: SparkSession, d: str) -> DataFrame:
     t = _lifted(spark, d, "customer", "orders")
-    urgent = patterns.join(patterns.scan(t, "?o", f"<{EX}customer>", "?c"), patterns.scan(t, "?o", f"<{EX}priority>", '"1-URGENT"'))
-    return patterns.minus(patterns.scan(t, "?c", f"<{EX}segment>", "?segment"), urgent).select(_key("c").alias("c_custkey"), "segment")
+    urgent = patterns.join(patterns.scan(t, "?o", f"<{EX}customer>", "?c", unique=True), patterns.scan(t, "?o", f"<{EX}priority>", '"1-URGENT"', unique=True))
+    return patterns.minus(patterns.scan(t, "?c", f"<{EX}segment>", "?segment", unique=True), urgent).select(_key("c").alias("c_custkey"), "segment")
 
 
 def bgp_union_parties(spark: SparkSession, d: str) -> DataFrame:
     t = _lifted(spark, d, "customer", "supplier")
-    named = lambda kind: patterns.join(patterns.scan(t, "?x", "rdf:type", f"<{EX}{kind}>"), patterns.scan(t, "?x", f"<{EX}name>", "?name"))
+    named = lambda kind: patterns.join(patterns.scan(t, "?x", "rdf:type", f"<{EX}{kind}>", unique=True), patterns.scan(t, "?x", f"<{EX}name>", "?name", unique=True))
     return patterns.union(named("Customer"), named("Supplier")).select("name")
 
 
 def bgp_filter_typed(spark: SparkSession, d: str) -> DataFrame:
     text = _PREFIX + "SELECT ?name ?size WHERE { ?p ex:name ?name ; ex:size ?size ; ex:price ?price . FILTER(?size >= 40 && ?price < 1200) }"
-    return sparql.select(_lifted(spark, d, "part"), text).select("name", F.col("size").cast("int").alias("p_size"))
+    return sparql.select(_lifted(spark, d, "part"), text, unique=True).select("name", F.col("size").cast("int").alias("p_size"))
 
 
 def bgp_exists(spark: SparkSession, d: str) -> DataFrame:
@@ -86,32 +86,57 @@ def bgp_exists(spark: SparkSession, d: str) -> DataFrame:
     lines = load(spark, d, "lineitem").select(_iri("supplier", "l_suppkey").alias("s"), "l_quantity").where("l_quantity >= 50").select("s").distinct()
     large = lines.select(_all().alias("g"), "s", F.lit("I").alias("s_kind"), F.lit(EX + "large").alias("p"), F.lit("true").alias("o"), F.lit("L").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
     text = _PREFIX + 'SELECT ?name WHERE { ?s ex:name ?name . FILTER EXISTS { ?s ex:large "true" } }'
-    return sparql.select(t.union(large), text).select("name")
+    return sparql.select(t.union(large), text, unique=True).select("name")
 
 
 def bgp_group_having(spark: SparkSession, d: str) -> DataFrame:
     text = _PREFIX + "SELECT ?c (COUNT(?o) AS ?n) WHERE { ?o ex:customer ?c . } GROUP BY ?c HAVING (COUNT(?o) >= 12)"
-    return sparql.select(_lifted(spark, d, "orders"), text).select(_key("c").alias("o_custkey"), F.col("n").cast("long").alias("n_orders"))
+    return sparql.select(_lifted(spark, d, "orders"), text, unique=True).select(_key("c").alias("o_custkey"), F.col("n").cast("long").alias("n_orders"))
 
 
 def bgp_order_limit(spark: SparkSession, d: str) -> DataFrame:
     text = _PREFIX + "SELECT ?o ?total WHERE { ?o ex:total ?total } ORDER BY DESC(?total) ?o LIMIT 15"
-    return sparql.select(_lifted(spark, d, "orders"), text).select(_key("o").alias("o_orderkey"), F.col("total").cast("double").alias("o_totalprice"))
+    return sparql.select(_lifted(spark, d, "orders"), text, unique=True).select(_key("o").alias("o_orderkey"), F.col("total").cast("double").alias("o_totalprice"))
 
 
 def bgp_path_region(spark: SparkSession, d: str) -> DataFrame:
     text = _PREFIX + "SELECT ?region (COUNT(?s) AS ?n) WHERE { ?r ^(ex:nation/ex:inRegion) ?s ; ex:name ?region . ?s a ex:Supplier } GROUP BY ?region"
-    return sparql.select(_lifted(spark, d, "supplier", "nation", "region"), text).select("region", F.col("n").cast("long").alias("n_suppliers"))
+    return sparql.select(_lifted(spark, d, "supplier", "nation", "region"), text, unique=True).select("region", F.col("n").cast("long").alias("n_suppliers"))
 
 
 def bgp_bind_values(spark: SparkSession, d: str) -> DataFrame:
     text = _PREFIX + 'SELECT ?name ?double WHERE { VALUES ?segment { "BUILDING" "MACHINERY" } ?c ex:segment ?segment ; ex:name ?name ; ex:balance ?b BIND(?b * 2 AS ?double) FILTER(?b > 9000) }'
-    return sparql.select(_lifted(spark, d, "customer"), text).select("name", F.round(F.col("double").cast("double"), 2).alias("twice"))
+    return sparql.select(_lifted(spark, d, "customer"), text, unique=True).select("name", F.round(F.col("double").cast("double"), 2).alias("twice"))
 
 
 def bgp_distinct_brands(spark: SparkSession, d: str) -> DataFrame:
     text = _PREFIX + "SELECT DISTINCT ?brand WHERE { ?p ex:brand ?brand ; ex:size ?s FILTER(?s IN (1, 2, 3)) }"
-    return sparql.select(_lifted(spark, d, "part"), text).select("brand")
+    return sparql.select(_lifted(spark, d, "part"), text, unique=True).select("brand")
+
+
+def bgp_subselect(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose largest order is above 400,000, with that order's total: a query within a query."""
+    text = _PREFIX + "SELECT ?name ?most WHERE { ?c ex:name ?name . { SELECT ?c (MAX(?total) AS ?most) WHERE { ?o ex:customer ?c ; ex:total ?total } GROUP BY ?c } FILTER(?most > 400000) }"
+    return sparql.select(_lifted(spark, d, "customer", "orders"), text, unique=True).select("name", F.col("most").cast("double").alias("most"))
+
+
+def bgp_group_expression(spark: SparkSession, d: str) -> DataFrame:
+    """Orders per first word of their priority."""
+    text = _PREFIX + 'SELECT ?level (COUNT(?o) AS ?n) WHERE { ?o ex:priority ?p } GROUP BY (STRBEFORE(?p, "-") AS ?level)'
+    return sparql.select(_lifted(spark, d, "orders"), text, unique=True).select("level", F.col("n").cast("long").alias("n_orders"))
+
+
+def bgp_optional_then_join(spark: SparkSession, d: str) -> DataFrame:
+    """A variable that an OPTIONAL may leave unbound is bound by a later pattern: rows without it meet every supplier's nation."""
+    text = _PREFIX + "SELECT ?c ?n (COUNT(?s) AS ?k) WHERE { ?c ex:segment ?g OPTIONAL { ?c ex:nation ?n . FILTER(?b > 9990) . ?c ex:balance ?b } ?s ex:nation ?n . ?s a ex:Supplier . FILTER(?g = \"BUILDING\") } GROUP BY ?c ?n"
+    rows = sparql.select(_lifted(spark, d, "customer", "supplier"), text, unique=True)
+    return rows.select(_key("c").alias("c_custkey"), _key("n").alias("n_nationkey"), F.col("k").cast("long").alias("n_suppliers"))
+
+
+def qnames(spark: SparkSession, d: str) -> DataFrame:
+    """Prefixed names of predicates and their triples."""
+    t = _lifted(spark, d, "customer", "nation")
+    return t.groupBy(qname(F.col("p"), {"ex": EX}).alias("property")).agg(F.count("*").alias("n"))
 
 
 def path_plus_reachability(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +231,7 @@ def turtle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select(_key("s").alias("p_partkey"), F.col("o").alias("p_name"))
 
 
-QUERIES = {f.__name__: f for f in (bgp_orders_per_nation, bgp_star_customer, bgp_optional_orders, bgp_minus_no_orders, bgp_union_parties, bgp_filter_typed, bgp_exists, bgp_group_having, bgp_order_limit, bgp_path_region, bgp_bind_values, bgp_distinct_brands, path_plus_reachability, value_any_deterministic, triples_per_graph, role_distinct_counts, typed_node_counts, name_resolution, name_resolution_all, graph_diff_metrics, graph_diff_sides, decimal_normalise_diff, iri_canonical_join, query_coverage, sameas_links, turtle_roundtrip)}
+QUERIES = {f.__name__: f for f in (bgp_orders_per_nation, bgp_star_customer, bgp_optional_orders, bgp_minus_no_orders, bgp_union_parties, bgp_filter_typed, bgp_exists, bgp_group_having, bgp_order_limit, bgp_path_region, bgp_bind_values, bgp_distinct_brands, bgp_subselect, bgp_group_expression, bgp_optional_then_join, qnames, path_plus_reachability, value_any_deterministic, triples_per_graph, role_distinct_counts, typed_node_counts, name_resolution, name_resolution_all, graph_diff_metrics, graph_diff_sides, decimal_normalise_diff, iri_canonical_join, query_coverage, sameas_links, turtle_roundtrip)}
 
 _CANON = "coalesce(nullif(regexp_extract({0}, '/(?:title|name|company)/((?:tt|nm|co)[0-9]+)(?:[/?#].*)?$', 1), ''), {0})"
 _SIDES = """WITH a AS (SELECT DISTINCT o_orderkey, unnest([{'p': 'status', 'v': o_orderstatus}, {'p': 'priority', 'v': o_orderpriority}]) AS x FROM orders WHERE o_orderstatus <> 'P'),
@@ -225,6 +250,11 @@ ORACLES = {
     "bgp_path_region": "SELECT r_name AS region, count(*) AS n_suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     "bgp_bind_values": "SELECT c_name AS name, round(c_acctbal * 2, 2) AS twice FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 9000",
     "bgp_distinct_brands": "SELECT DISTINCT p_brand AS brand FROM part WHERE p_size IN (1, 2, 3)",
+    "bgp_subselect": "SELECT c_name AS name, max(o_totalprice) AS most FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name HAVING max(o_totalprice) > 400000",
+    "bgp_group_expression": "SELECT split_part(o_orderpriority, '-', 1) AS level, count(*) AS n_orders FROM orders GROUP BY 1",
+    "bgp_optional_then_join": """WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal > 9990 THEN c_nationkey END AS n FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT c_custkey, CAST(s_nationkey AS BIGINT) AS n_nationkey, count(*) AS n_suppliers FROM c JOIN supplier ON n IS NULL OR n = s_nationkey GROUP BY ALL""",
+    "qnames": "SELECT p AS property, CASE WHEN p IN ('ex:inRegion') THEN n ELSE c END AS n FROM (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM nation) AS n), (SELECT unnest(['ex:segment', 'ex:balance', 'ex:nation', 'ex:inRegion']) AS p) UNION ALL SELECT unnest(['ex:name', 'rdf:type']), (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation)",
     "path_plus_reachability": f"""WITH RECURSIVE e AS (SELECT DISTINCT movie_id AS a, {_CANON.format('iri')} AS b FROM (SELECT movie_id, unnest(min(is_similar_to)) AS iri FROM movies GROUP BY movie_id) WHERE iri IS NOT NULL),
 f AS (SELECT b FROM e WHERE a = 'tt900000015' UNION SELECT e.b FROM f JOIN e ON f.b = e.a),
 t AS (SELECT a FROM e WHERE b = 'tt900000003' UNION SELECT e.a FROM t JOIN e ON t.a = e.b)

@@ -1,9 +1,9 @@
 """SPARQL SELECT text to DataFrame plans, query files, and coverage of queries over graphs.
 
 A query runs over all graphs of a triple table at once: ``g`` is part of every join and group, so each graph answers
-for itself. Supported: basic patterns with ``;`` and ``,``, property paths (/ ^ | + * ?), FILTER, OPTIONAL, UNION,
-MINUS, [NOT] EXISTS, BIND, VALUES, sub-groups, DISTINCT, GROUP BY, HAVING, aggregates, ORDER BY, LIMIT and OFFSET.
-Federation, language functions and other query forms raise SparqlError.
+for itself; a variable ?g is called ``g_``. Supported: basic patterns with ``;`` and ``,``, property paths (/ ^ | + * ?), FILTER, OPTIONAL, UNION,
+MINUS, [NOT] EXISTS, BIND, VALUES, sub-groups, sub-queries, DISTINCT, GROUP BY variables and expressions, HAVING,
+aggregates, ORDER BY, LIMIT and OFFSET. Federation, functions of datatype and language and other query forms raise SparqlError.
 """
 
 from __future__ import annotations
@@ -45,6 +45,14 @@ class Query:
     prefixes: dict = field(default_factory=dict)
 
 
+@dataclass
+class _State:
+    """Variables made up so far, and whether the triples are a set."""
+
+    count: int = 0
+    unique: bool = False
+
+
 class _Parser:
     def __init__(self, text: str):
         self.tokens, at = [], 0
@@ -54,7 +62,8 @@ class _Parser:
                 raise SparqlError(f"unexpected text: {text[at : at + 30]!r}")
             at = m.end()
             if m.lastgroup != "skip":
-                self.tokens.append((m.lastgroup, m[0]))
+                # the column g is the graph
+                self.tokens.append((m.lastgroup, "?g_" if m.lastgroup == "var" and m[0][1:] == "g" else m[0]))
         self.at = 0
 
     def peek(self, ahead: int = 0) -> tuple[str, str]:
@@ -82,8 +91,8 @@ class _Parser:
         if not self.take(sign):
             raise SparqlError(f"{sign!r} expected, not {self.peek()[1]!r}")
 
-    def query(self) -> Query:
-        q = Query(prefixes=dict(PREFIXES))
+    def query(self, prefixes: dict | None = None) -> Query:
+        q = Query(prefixes=dict(prefixes or PREFIXES))
         while self.word("prefix"):
             name, iri = self.next()[1], self.next()[1]
             q.prefixes[name[:-1]] = iri[1:-1]
@@ -103,11 +112,11 @@ class _Parser:
                 q.columns.append(("?" + self.next()[1][1:], e))
                 self.need(")")
         self.word("where")
-        q.where = self.group()
-        while self.peek()[0] != "end":
+        q.where = self.group(q.prefixes)
+        while self.peek()[0] != "end" and not (prefixes and self.peek() == ("sign", "}")):
             if self.word("group", "by"):
-                while self.peek()[0] == "var":
-                    q.group.append("?" + self.next()[1][1:])
+                while self.peek()[0] == "var" or self.peek() == ("sign", "(") or self.peek()[0] in ("word", "name") and self.peek()[1].lower() != "having" and self.peek(1) == ("sign", "("):
+                    q.group.append(self.grouping(len(q.group)))
             elif self.word("having"):
                 q.having.append(self.primary())
             elif self.word("order", "by"):
@@ -123,23 +132,38 @@ class _Parser:
                 raise SparqlError(f"unexpected {self.peek()[1]!r}")
         return q
 
-    def group(self) -> list:
+    def grouping(self, place: int) -> tuple[str, tuple | None]:
+        """A variable, or an expression with the name it gets."""
+        if self.peek()[0] == "var":
+            return ("?" + self.next()[1][1:], None)
+        if not self.take("("):
+            return (f"?_g{place}", self.primary())
+        e = self.expression()
+        name = "?" + self.next()[1][1:] if self.word("as") else f"?_g{place}"
+        self.need(")")
+        return (name, e)
+
+    def group(self, prefixes: dict) -> list:
         self.need("{")
         out: list = []
+        if self.peek()[0] == "word" and self.peek()[1].lower() == "select":
+            out.append(("select", self.query(prefixes)))
+            self.need("}")
+            return out
         while not self.take("}"):
             if self.take("."):
                 continue
             if self.word("filter"):
                 if self.word("not", "exists"):
-                    out.append(("exists", self.group(), True))
+                    out.append(("exists", self.group(prefixes), True))
                 elif self.word("exists"):
-                    out.append(("exists", self.group(), False))
+                    out.append(("exists", self.group(prefixes), False))
                 else:
                     out.append(("filter", self.primary()))
             elif self.word("optional"):
-                out.append(("optional", self.group()))
+                out.append(("optional", self.group(prefixes)))
             elif self.word("minus"):
-                out.append(("minus", self.group()))
+                out.append(("minus", self.group(prefixes)))
             elif self.word("bind"):
                 self.need("(")
                 e = self.expression()
@@ -152,9 +176,9 @@ class _Parser:
             elif self.word("service") or self.word("graph"):
                 raise SparqlError("SERVICE and GRAPH are not supported")
             elif self.peek() == ("sign", "{"):
-                branches = [self.group()]
+                branches = [self.group(prefixes)]
                 while self.word("union"):
-                    branches.append(self.group())
+                    branches.append(self.group(prefixes))
                 out.append(("union", branches))
             elif self.peek()[0] == "end":
                 raise SparqlError("'}' expected")
@@ -377,6 +401,14 @@ def _compile(e: tuple, have: set[str], prefixes: dict, aggregates: dict | None =
     if name == "strafter":
         a, b = as_text(args[0]), as_text(args[1])
         return F.when(F.contains(a, b), F.substring(a, F.instr(a, _literal(args[1])) + len(_literal(args[1])), F.length(a))).otherwise(F.lit("")), "text"
+    if name == "strbefore":
+        a, b = as_text(args[0]), as_text(args[1])
+        return F.when(F.contains(a, b), F.substring(a, 1, F.instr(a, _literal(args[1])) - 1)).otherwise(F.lit("")), "text"
+    if name == "substr":
+        a, start = as_text(args[0]), as_number(args[1]).cast("int")
+        return F.substring(a, start, as_number(args[2]).cast("int") if len(args) > 2 else F.length(a)), "text"
+    if name in ("month", "day"):
+        return F.regexp_extract(as_text(args[0]), r"^-?\d{4,}-(\d{2})-(\d{2})", 1 if name == "month" else 2).try_cast("double"), "number"
     if name == "coalesce":
         return F.coalesce(*[as_text(a) for a in args]), "term"
     if name == "if":
@@ -403,15 +435,15 @@ def _bound(edges: DataFrame, term: str, prefixes: dict) -> DataFrame:
     return edges.select(GRAPH).distinct().withColumn("a", F.lit(_text(term, prefixes)))
 
 
-def _path(triples: DataFrame, s: str, path: tuple, o: str, prefixes: dict, fresh: list[int]) -> DataFrame:
+def _path(triples: DataFrame, s: str, path: tuple, o: str, prefixes: dict, fresh: _State) -> DataFrame:
     op = path[0]
     if op == "term":
-        return algebra.scan(triples, s, path[1], o, prefixes)
+        return algebra.scan(triples, s, path[1], o, prefixes, fresh.unique)
     if op == "^":
         return _path(triples, o, path[1], s, prefixes, fresh)
     if op == "/":
-        fresh[0] += 1
-        middle = f"?_m{fresh[0]}"
+        fresh.count += 1
+        middle = f"?_m{fresh.count}"
         both = algebra.join(_path(triples, s, path[1], middle, prefixes, fresh), _path(triples, middle, path[2], o, prefixes, fresh))
         return both.drop(middle[1:])
     if op == "|":
@@ -440,7 +472,7 @@ def _path(triples: DataFrame, s: str, path: tuple, o: str, prefixes: dict, fresh
     return out.select(GRAPH, *[F.col(c).alias(v[1:]) for v, c in names.items()])
 
 
-def _evaluate(triples: DataFrame, elements: list, prefixes: dict, fresh: list[int]) -> tuple[DataFrame, set[str]]:
+def _evaluate(triples: DataFrame, elements: list, prefixes: dict, fresh: _State) -> tuple[DataFrame, set[str]]:
     """Solutions of a group and its variables that may be unbound."""
     out: DataFrame | None = None
     loose: set[str] = set()
@@ -454,6 +486,11 @@ def _evaluate(triples: DataFrame, elements: list, prefixes: dict, fresh: list[in
             out = both(out, _path(triples, e[1], e[2], e[3], prefixes, fresh), loose)
         elif e[0] == "filter":
             filters.append(e[1])
+        elif e[0] == "select":
+            inner = _select(triples, e[1], fresh)
+            loose_ = set(algebra.variables(inner))
+            out = both(out, inner, loose | loose_)
+            loose |= loose_
         elif e[0] == "union":
             parts = [_evaluate(triples, b, prefixes, fresh) for b in e[1]]
             names = [set(algebra.variables(p)) for p, _ in parts]
@@ -494,13 +531,21 @@ def _evaluate(triples: DataFrame, elements: list, prefixes: dict, fresh: list[in
     return out, loose
 
 
-def select(triples: DataFrame, text: str | Query) -> DataFrame:
+def select(triples: DataFrame, text: str | Query, unique: bool = False) -> DataFrame:
     """Solutions of a query for every graph: columns ``g`` and the selected variables.
 
+    ``unique`` says that no triple is there twice, which saves a shuffle per pattern.
+
     Numbers that the query computes are doubles, all other values text; ORDER BY, LIMIT and OFFSET hold per graph.
     """
-    q = parse(text) if isinstance(text, str) else text
-    solutions, _ = _evaluate(triples, q.where, q.prefixes, [0])
+    return _select(triples, parse(text) if isinstance(text, str) else text, _State(unique=unique))
+
+
+def _select(triples: DataFrame, q: Query, fresh: _State) -> DataFrame:
+    solutions, _ = _evaluate(triples, q.where, q.prefixes, fresh)
+    for name, e in q.group:
+        if e is not None:
+            solutions = solutions.withColumn(name[1:], _compile(e, set(algebra.variables(solutions)), q.prefixes)[0].cast("string"))
     have = set(algebra.variables(solutions))
     names = sorted(v for v in have if not v.startswith("_")) if "*" in q.columns else []
     columns = [(f"?{n}", None) for n in names] if "*" in q.columns else q.columns
@@ -512,7 +557,7 @@ def select(triples: DataFrame, text: str | Query) -> DataFrame:
     order = [(_compile(e, known, q.prefixes, aggregates), down) for e, down in q.order]
     if grouped:
         measures = [_measure(e, have, q.prefixes).alias(name) for e, name in aggregates.items()]
-        keys = [GRAPH, *(v[1:] for v in q.group)]
+        keys = [GRAPH, *(v[1:] for v, _ in q.group)]
         solutions = solutions.groupBy(*keys).agg(*measures) if measures else solutions.select(*keys).distinct()
         for h in having:
             solutions = solutions.where(F.coalesce(h.cast("boolean"), F.lit(False)))
