@@ -54,6 +54,25 @@ def select(html: str | None, tag: str | None = None, css_class: str | None = Non
     return out
 
 
+def headings(html: str | None, text: str, ways: tuple[tuple[str | None, str | None, bool], ...] = (("h3", "title", False), ("h3", None, False), (None, "title", True))) -> list[int]:
+    """Places of the elements that head a section called ``text``, by the first way that finds any.
+
+    A way is a tag or none, a part of the class or none, and whether the text need only contain ``text``.
+    """
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    for tag, part, contained in ways:
+        found = []
+        for i, (name, own, _, texts) in enumerate(tree.nodes):
+            said = " ".join("".join(texts).split())
+            if (not tag or name == tag) and (not part or part in own.get("class", "")) and (text in said if contained else said == text):
+                found.append(i)
+        if found:
+            return found
+    return []
+
+
 def linked_ids(html: str | None, section: str, pattern: str, climb: int = 10) -> list[str]:
     """Ids (first group of ``pattern``) in the links below the nearest ancestor, at most ``climb`` levels up, of an
     element with text or id ``section`` that has such links at all."""
@@ -105,6 +124,12 @@ def at_path(document: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(document, path, kind)
 
 
+def of_type(document: Column, path: str, kind: str) -> Column:
+    """The entries at a path, a list or a single one, whose @type is ``kind`` or a list that has it."""
+    has = lambda x: F.coalesce(F.array_contains(F.transform(as_list(x, "$['@type']"), lambda t: t.cast("string")), kind), F.lit(False))
+    return F.filter(as_list(document, path), has)
+
+
 def as_list(document: Column, path: str) -> Column:
     """A value that is a list or a single item, as array of variants; null if missing."""
     value = F.try_variant_get(document, path, "variant")

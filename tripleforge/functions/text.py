@@ -11,8 +11,11 @@ SPACE = r"[\s\u0085   -     　]"
 #: Forms of entity ids in URLs.
 ID_PATTERNS = {"title": r"/title/(tt\d+)", "title_strict": r"/title/(tt\d{7,8})", "name": r"/name/(nm\d+)/", "any": r"/(tt\d+|nm\d+|co\d+)/", "image": r"/(rm\d+)/"}
 
-#: Credits of the form "X by" that are counted; some contain others on purpose.
-CREDIT_PHRASES = ["written", "performed", "produced", "composed", "arranged", "music", "lyrics", "words", "sung", "recorded", "conducted", "published", "licensed", "remixed", "mixed", "engineered", "played", "adapted", "orchestrated"]
+#: Credits of the form "X by" that are counted, as regular expressions; the last one matches what others do, too.
+CREDIT_PHRASES = [
+    "Music", "Lyrics", "Written", "Performed", "Produced", "Arranged", "Conducted", "Orchestrated", "Sung", "Vocals",
+    "Composed", "Score", "Words", "Mixed", "Engineered", "Remixed", "Programming", r"Additional[\s\w]+", r"[\w\s]+",
+]
 
 
 def strip(text: Column) -> Column:
@@ -81,17 +84,45 @@ def digits(text: Column) -> Column:
 
 
 def credited_name(line: Column, prefix: str) -> Column:
-    """The name in a credit line such as ``Music by A (as B) and Arranged by C``."""
-    name = F.regexp_replace(line, f"(?i)^{prefix}\\s*", "")
-    for tail in (r"\s*\(as [^)]*\)", r"(?i)\s+and arranged\b.*$", r"\s+and\b.*$", r"\s+&.*$"):
-        name = F.regexp_replace(name, tail, "")
-    return strip(name)
+    """The name in a credit line such as ``Music by A (as B) and Arranged by C``: without the prefix, what the person is
+    credited as, and everything from "and" or "&" on."""
+    return strip(F.regexp_replace(line, rf"(?i:^{prefix}\s*)|\s*\(as [^)]+\)|(?:\s+and|\s*&).*$", ""))
 
 
 def credit_phrases(text: Column, phrases: list[str] | None = None) -> Column:
-    """All 'X by' phrases of a text in lower case, in order of the list of phrases."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(f"(?i)\\b({p} by)\\b"), F.lit(1)), F.lower) for p in phrases or CREDIT_PHRASES]
-    return F.flatten(F.array(*found))
+    """All 'X by' phrases of a text as they are written, in order of the list of phrases; overlaps come out repeatedly.
+
+    A phrase that begins with a class of characters starts where a run of them does: later starts find nothing more.
+    """
+    start = lambda p: r"(?<![\w\s])" if p.startswith("[") else ""
+    return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?iU){start(p)}({p} by)"), F.lit(1)) for p in phrases or CREDIT_PHRASES]))
+
+
+def label_key(label: Column) -> Column:
+    """A credit label in the form in which labels are compared: what precedes a colon, in lower case, single spaces, no
+    'by' at the end."""
+    return F.regexp_replace(squeeze(F.lower(F.substring_index(label, ":", 1))), r"\s+by$", "")
+
+
+def label_roles(label: Column) -> Column:
+    """The single roles of a compound label such as ``Written and Produced by`` or ``Music/Lyrics``."""
+    parts = F.split(label_key(label), r"\s*(?:,|/|&|\band\b)\s*")
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
+
+
+def candidate_text(title: Column, channel: Column, description: Column, comments: Column, description_width: int = 500, n_comments: int = 5, comment_width: int = 80) -> Column:
+    """What a matcher is told of a candidate video: title, channel, a cut description and the first comments, cut as well.
+
+    ``comments`` is an array of structures with author and text; parts that are missing are left out.
+    """
+    part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c))
+    first = F.transform(F.slice(F.coalesce(comments, F.array().cast("array<struct<author:string,text:string>>")), 1, n_comments), lambda c: F.concat(F.lit("- "), F.coalesce(c["author"], F.lit("?")), F.lit(": "), F.substring(F.coalesce(c["text"], F.lit("")), 1, comment_width)))
+    return F.concat_ws("\n", part("Title", title), part("Channel", channel), part("Description", F.substring(description, 1, description_width)), F.array_join(first, "\n"))
+
+
+def iso_text(time: Column) -> Column:
+    """A time in ISO 8601 with microseconds, in the session's zone."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
 def search_query(title: Column, performer: Column, composer: Column, film: Column, add_performer: bool = True, add_film: bool = True) -> Column:

@@ -23,10 +23,14 @@ def normalised(triples: DataFrame, prefixes: dict[str, str] | None = None) -> Da
     Blank nodes become one constant, so structure hanging on them is compared by content only; prefixed names become
     IRIs; decimals lose their zeros; a literal is its text, datatype and language.
     """
+    return _normal(triples, prefixes).distinct()
+
+
+def _normal(triples: DataFrame, prefixes: dict[str, str] | None, *kept: str) -> DataFrame:
     node = lambda kind, term: F.when(kind == "B", F.lit("_blank")).otherwise(expand_column(term, prefixes))
     value = F.when(F.col("o_dt").isin(_NUMBERS[:1]), decimal_text(F.col("o"))).otherwise(F.col("o"))
     literal = F.concat_ws("|", value, F.coalesce("o_dt", F.lit(PREFIXES["xsd"] + "string")), F.coalesce("o_lang", F.lit("")))
-    return triples.select(node(F.col("s_kind"), F.col("s")).alias("s"), expand_column(F.col("p"), prefixes).alias("p"), F.when(F.col("o_kind") == "L", literal).otherwise(node(F.col("o_kind"), F.col("o"))).alias("o")).distinct()
+    return triples.select(*[F.col(c) for c in kept], node(F.col("s_kind"), F.col("s")).alias("s"), expand_column(F.col("p"), prefixes).alias("p"), F.when(F.col("o_kind") == "L", literal).otherwise(node(F.col("o_kind"), F.col("o"))).alias("o"))
 
 
 def difference(truth: DataFrame, tested: DataFrame) -> DataFrame:
@@ -56,6 +60,13 @@ def agreement(truth: DataFrame, tested: DataFrame) -> DataFrame:
     )
 
 
+def originals(triples: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(s, p, o, original_s, original_p, original_o): each normalised triple with the least of those it stands for."""
+    raw = triples.select(F.struct(F.col("s").alias("original_s"), F.col("p").alias("original_p"), F.col("o").alias("original_o")).alias("_r"), *triples.columns)
+    kept = _normal(raw, prefixes, "_r")
+    return kept.groupBy("s", "p", "o").agg(F.min("_r").alias("_r")).select("s", "p", "o", "_r.*")
+
+
 def grouped_by_subject(triples: DataFrame) -> DataFrame:
     """(s, n, lines): the predicates and objects of each subject in sorted order."""
     return triples.groupBy("s").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat_ws(" ", "p", "o"))).alias("lines"))

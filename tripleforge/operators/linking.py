@@ -33,8 +33,9 @@ def best_matches(candidates: DataFrame, key: str, rank: str, scorer: Callable[[]
     by ``rank`` is taken with confidence ``fallback``; ties go to the least rank. Scores outside [0, 1] are clipped."""
     score = scorer() if callable(scorer) else scorer
     rows = candidates.withColumn("confidence", F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score.cast("double")))))
-    order = Window.partitionBy(key).orderBy(F.desc_nulls_last("confidence"), F.col(rank))
-    first = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    # the least of (no score, score from the greatest down, rank), so that partial aggregates do most of the work
+    place = F.struct(F.col("confidence").isNull().alias("n"), (-F.col("confidence")).alias("c"), F.col(rank).alias("r"))
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), place).alias("_b")).select(key, "_b.*").select(*rows.columns)
     return first.withColumn("scored", F.col("confidence").isNotNull()).withColumn("confidence", F.coalesce("confidence", F.lit(fallback)))
 
 
@@ -83,6 +84,29 @@ def same_as(rows: DataFrame, uri: str, external: str, base: str = "http://www.wi
     return kept.select(s.alias("s"), F.lit(PREFIXES["owl"] + "sameAs").alias("p"), F.concat(F.lit(base), F.trim(external)).alias("o")).distinct()
 
 
+def same_as_counts(rows: DataFrame, uri: str, external: str) -> DataFrame:
+    """How many rows ``same_as`` uses and how many it leaves out, before repeated ones are removed."""
+    used = (F.trim(F.coalesce(uri, F.lit(""))) != "") & (F.trim(F.coalesce(external, F.lit(""))) != "")
+    return rows.agg(F.count_if(used).alias("n_processed"), F.count_if(~used).alias("n_skipped"))
+
+
+def numbered_tracks(tracks: DataFrame, group: str, order: list[str], start: DataFrame | None = None) -> DataFrame:
+    """Tracks with their place in their group, from 0. With ``start`` (group, start) only those from there on come out,
+    which resumes an interrupted job; groups that ``start`` lacks begin at 0."""
+    out = tracks.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    if start is None:
+        return out
+    return out.join(start.select(group, "start"), group, "left").where("place >= coalesce(start, 0)").drop("start")
+
+
+def paired_graphs(movies: DataFrame, soundtracks: DataFrame, graph: str = "g") -> DataFrame:
+    """(graph, error): the graphs of both kinds by id; the error says which of the two is missing, null if neither is."""
+    left = movies.select(graph).distinct().withColumn("_m", F.lit(True))
+    right = soundtracks.select(graph).distinct().withColumn("_s", F.lit(True))
+    error = F.when(F.col("_m").isNull(), "movie graph not found").when(F.col("_s").isNull(), "soundtrack graph not found")
+    return left.join(right, graph, "full").select(graph, error.alias("error"))
+
+
 def mentions(texts: DataFrame, entities: DataFrame, on: list[str], text: str, name: str) -> DataFrame:
     """Texts and the entities of the same group whose name they contain (case matters). Groups keep this from being a
     join of everything with everything."""

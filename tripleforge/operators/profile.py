@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 #: The properties of each modality.
 MODALITIES = {
-    "text": ["name", "abstract", "description", "caption", "reviewBody", "keywords", "genre", "inLanguage", "contentRating", "alternateName", "jobTitle", "characterName", "birthPlace", "award"],
-    "image": ["image", "ImageObject"],
+    "text": [
+        "name", "abstract", "description", "reviewBody", "caption", "keywords", "genre", "inLanguage", "contentRating", "alternateName",
+        "characterName", "jobTitle", "currency", "unitCode",
+    ],
+    "image": ["ImageObject", "thumbnail"],
     "video": ["VideoObject"],
-}
+}
 
 
 def lexical_counts(texts: DataFrame, key: str, text: str, pattern: str = r"schema1?:(\w+)") -> DataFrame:
@@ -24,7 +27,7 @@ def lexical_counts(texts: DataFrame, key: str, text: str, pattern: str = r"schem
 
 def triple_counts(triples: DataFrame, base: str = "http://schema.org/") -> DataFrame:
     """(g, property, n): triples per predicate and nodes per type, by local name."""
-    local = lambda c: F.when(c.startswith(base), F.substring(c, len(base) + 1, 200)).otherwise(c)
+    local = lambda c: F.when(c.startswith(base), F.substring(c, len(base) + 1, 1 << 30)).otherwise(c)
     typed = (F.col("p").endswith("#type")) & (F.col("o_kind") == "I")
     name = F.when(typed, local(F.col("o"))).otherwise(local(F.col("p")))
     return triples.groupBy("g", name.alias("property")).agg(F.count("*").alias("n"))
@@ -32,7 +35,7 @@ def triple_counts(triples: DataFrame, base: str = "http://schema.org/") -> DataF
 
 def category_totals(counts: DataFrame, categories: DataFrame, count: str = "n") -> DataFrame:
     """Totals per category and property, per category, and over all (nulls mark the totals)."""
-    return counts.join(F.broadcast(categories), "property").rollup("category", "property").agg(F.sum(count).cast("long").alias("total"))
+    return counts.join(categories, "property").rollup("category", "property").agg(F.sum(count).cast("long").alias("total"))
 
 
 def modality_rows(entities: DataFrame, counts: DataFrame, key: str, modalities: dict[str, list[str]] | None = None) -> DataFrame:
@@ -51,6 +54,38 @@ def modality_rows(entities: DataFrame, counts: DataFrame, key: str, modalities:
     return out
 
 
+def audio_counts(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, audio_clips_with_links, audio_soundtracks_total) of JSON lists of link results: the entries, and those whose
+    best match has an address or an id. Missing text, invalid JSON and other documents count as empty lists."""
+    document = F.try_parse_json(text)
+    entries = F.when(F.schema_of_variant(document).startswith("ARRAY"), F.try_variant_get(document, "$", "array<variant>"))
+    there = lambda x, path: F.coalesce(F.try_variant_get(x, path, "string"), F.lit("")) != ""
+    linked = F.filter(entries, lambda x: there(x, "$.best_match.url") | there(x, "$.best_match.video_id"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return files.select(key, F.when(entries.isNotNull(), size(linked)).otherwise(0).alias("audio_clips_with_links"), F.when(entries.isNotNull(), size(entries)).otherwise(0).alias("audio_soundtracks_total"))
+
+
+def with_audio(rows: DataFrame, audio: DataFrame, key: str) -> DataFrame:
+    """Modality rows with the audio counts of their entity, zeros where there are none, and a flag."""
+    out = rows.join(audio, key, "left").na.fill(0, ["audio_clips_with_links", "audio_soundtracks_total"])
+    return out.withColumn("has_audio", F.col("audio_soundtracks_total") > 0)
+
+
+def label_categories(labels: DataFrame, label: str, categories: DataFrame) -> DataFrame:
+    """(label, role, category, matched, is_compound): every role of every label with its category.
+
+    ``categories``: role (as ``label_key`` writes it) and category. A label that is listed as a whole is one role even if
+    it looks compound; unknown roles have no category.
+    """
+    from tripleforge.functions.text import label_key, label_roles
+
+    known = categories.select(F.col("role"), F.col("category")).distinct()
+    distinct = labels.select(F.col(label).alias("label")).where("label is not null").distinct().withColumn("_key", label_key(F.col("label")))
+    whole = distinct.join(known.select(F.col("role").alias("_key"), F.lit(True).alias("_whole")).distinct(), "_key", "left")
+    roles = whole.select("label", F.explode_outer(F.when(F.col("_whole"), F.array("_key")).otherwise(label_roles(F.col("label")))).alias("role"), (F.col("_whole").isNull() & (F.size(label_roles(F.col("label"))) > 1)).alias("is_compound"))
+    return roles.join(known, "role", "left").select("label", "role", "category", F.col("category").isNotNull().alias("matched"), "is_compound")
+
+
 def modality_summary(rows: DataFrame, modalities: list[str]) -> DataFrame:
     """Per modality the entities with it, their share in percent (null without entities) and the mean total."""
     measures = [x for m in modalities for x in (F.count_if(f"has_{m}").alias(f"n_{m}"), F.avg(f"{m}_total").alias(f"mean_{m}"))]

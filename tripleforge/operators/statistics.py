@@ -31,6 +31,19 @@ def role_counts(triples: DataFrame, roles: dict[str, str], of_type: str | None =
     return rows.select("g", "p", "o").distinct().groupBy("g").agg(*[F.count_if(F.col("p") == expand(p)).alias(c) for c, p in roles.items()])
 
 
+def first_of_type(triples: DataFrame, of_type: str) -> DataFrame:
+    """(g, s): one subject of a type per graph, the least where there are several."""
+    return triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == expand(of_type))).groupBy("g").agg(F.min("s").alias("s"))
+
+
+def first_object(triples: DataFrame, predicate: str, literal: bool | None = None) -> DataFrame:
+    """(g, s, value): one object per subject, the least; only literals or only nodes if asked for."""
+    rows = triples.where(F.col("p") == expand(predicate))
+    if literal is not None:
+        rows = rows.where(F.col("o_kind") == "L" if literal else F.col("o_kind") != "L")
+    return rows.groupBy("g", "s").agg(F.min("o").alias("value"))
+
+
 def any_value(triples: DataFrame, predicate: str, alias: str) -> DataFrame:
     """One object per graph and subject where any would do; the least, so that results repeat."""
     return triples.where(F.col("p") == expand(predicate)).groupBy("g", "s").agg(F.min("o").alias(alias))

@@ -168,14 +168,8 @@ def typed_node_counts(spark: SparkSession, d: str) -> DataFrame:
     return statistics.typed_counts(_lifted(spark, d, "region", "nation", "supplier"), {"n_regions": EX + "Region", "n_nations": EX + "Nation", "n_suppliers": EX + "Supplier"})
 
 
-def name_resolution(spark: SparkSession, d: str) -> DataFrame:
-    persons = load(spark, d, "persons").dropDuplicates(["person_id"])
-    t = lift(persons, _all(), F.col("url"), {"schema:name": F.when(F.length("name") % 2 == 0, F.col("name")), "schema:performerIn": F.get("performer_in", F.lit(0))}, None, ("schema:performerIn",))
-    return statistics.resolved_names(t).select("s", "name")
-
-
 def name_resolution_all(spark: SparkSession, d: str) -> DataFrame:
-    """As name_resolution, with every name and every element of performer_in."""
+    """Names of persons and of what they performed in."""
     persons = load(spark, d, "persons").dropDuplicates(["person_id"])
     t = lift(persons, _all(), F.col("url"), {"schema:name": "name", "schema:performerIn": "performer_in"}, None, ("schema:performerIn",))
     return statistics.resolved_names(t).select("s", "name")
@@ -231,7 +225,7 @@ def turtle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select(_key("s").alias("p_partkey"), F.col("o").alias("p_name"))
 
 
-QUERIES = {f.__name__: f for f in (bgp_orders_per_nation, bgp_star_customer, bgp_optional_orders, bgp_minus_no_orders, bgp_union_parties, bgp_filter_typed, bgp_exists, bgp_group_having, bgp_order_limit, bgp_path_region, bgp_bind_values, bgp_distinct_brands, bgp_subselect, bgp_group_expression, bgp_optional_then_join, qnames, path_plus_reachability, value_any_deterministic, triples_per_graph, role_distinct_counts, typed_node_counts, name_resolution, name_resolution_all, graph_diff_metrics, graph_diff_sides, decimal_normalise_diff, iri_canonical_join, query_coverage, sameas_links, turtle_roundtrip)}
+QUERIES = {f.__name__: f for f in (bgp_orders_per_nation, bgp_star_customer, bgp_optional_orders, bgp_minus_no_orders, bgp_union_parties, bgp_filter_typed, bgp_exists, bgp_group_having, bgp_order_limit, bgp_path_region, bgp_bind_values, bgp_distinct_brands, bgp_subselect, bgp_group_expression, bgp_optional_then_join, qnames, path_plus_reachability, value_any_deterministic, triples_per_graph, role_distinct_counts, typed_node_counts, name_resolution_all, graph_diff_metrics, graph_diff_sides, decimal_normalise_diff, iri_canonical_join, query_coverage, sameas_links, turtle_roundtrip)}
 
 _CANON = "coalesce(nullif(regexp_extract({0}, '/(?:title|name|company)/((?:tt|nm|co)[0-9]+)(?:[/?#].*)?$', 1), ''), {0})"
 _SIDES = """WITH a AS (SELECT DISTINCT o_orderkey, unnest([{'p': 'status', 'v': o_orderstatus}, {'p': 'priority', 'v': o_orderpriority}]) AS x FROM orders WHERE o_orderstatus <> 'P'),
@@ -265,9 +259,6 @@ t AS (SELECT movie_id, 'name' AS p, name AS o FROM m UNION SELECT movie_id, 'gen
 SELECT movie_id, count(*) AS n_triples, count(DISTINCT p) AS n_predicates FROM t WHERE o IS NOT NULL GROUP BY 1""",
     "role_distinct_counts": "SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_suppliers, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1",
     "typed_node_counts": "SELECT 'all' AS g, (SELECT count(*) FROM region) AS n_regions, (SELECT count(*) FROM nation) AS n_nations, (SELECT count(*) FROM supplier) AS n_suppliers",
-    "name_resolution": r"""WITH p AS (SELECT DISTINCT ON (person_id) url, name, performer_in[1] AS f FROM persons ORDER BY person_id),
-n AS (SELECT url AS s FROM p WHERE length(name) % 2 = 0 OR f IS NOT NULL UNION SELECT f FROM p WHERE f IS NOT NULL)
-SELECT s, coalesce((SELECT min(p.name) FROM p WHERE p.url = s AND length(p.name) % 2 = 0), split_part(regexp_replace(s, '/+$', ''), '/', -1)) AS name FROM n""",
     "name_resolution_all": r"""WITH p AS (SELECT DISTINCT ON (person_id) url, name, performer_in FROM persons ORDER BY person_id),
 f AS (SELECT unnest(performer_in) AS s FROM p WHERE url IS NOT NULL),
 n AS (SELECT url AS s FROM p WHERE url IS NOT NULL AND (name IS NOT NULL OR len(list_filter(performer_in, lambda x: x IS NOT NULL)) > 0) UNION SELECT s FROM f WHERE s IS NOT NULL),

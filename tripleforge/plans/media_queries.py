@@ -40,23 +40,8 @@ def soundtrack_statistics(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("g").alias("movie_id"), "n_recordings", "n_compositions", "n_performers", "n_producers", "n_composers", "n_lyricists", "performers")
 
 
-def _injected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    links = _tracks(spark, d).where("track_id % 2 = 0").select(F.col("movie_id").alias("g"), F.upper("title").alias("title"), F.concat(F.lit("v/"), "track_id").alias("url"), F.col("track_id").alias("pos"))
-    lost = links.where("pos % 10 = 0").withColumn("title", F.concat(F.lit("no such "), "title"))
-    return media.inject_urls(_soundtracks(spark, d), links.union(lost))
-
-
-def injected_urls(spark: SparkSession, d: str) -> DataFrame:
-    done = _injected(spark, d)[0].where(F.col("p") == "http://schema.org/url")
-    return done.select(F.substring_index("s", "/", -1).cast("long").alias("track_id"), F.col("o").alias("url"))
-
-
-def injected_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    return _injected(spark, d)[1].select(F.col("g").alias("movie_id"), "key", "url")
-
-
 def _injected_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """As _injected, with a link of its own title and one of a title that no recording has for every track."""
+    """Two links for every track: one of its own title, and one of a title that no recording has."""
     links = _tracks(spark, d).select(F.col("movie_id").alias("g"), F.upper("title").alias("title"), F.concat(F.lit("v/"), "track_id").alias("url"), F.col("track_id").alias("pos"))
     return media.inject_urls(_soundtracks(spark, d), links.union(links.withColumn("title", F.concat(F.lit("no such "), "title"))))
 
@@ -81,7 +66,7 @@ def file_statistics(spark: SparkSession, d: str) -> DataFrame:
     return media.file_statistics(load(spark, d, "ttl_files"), "file_id", "content")
 
 
-QUERIES = {f.__name__: f for f in (soundtrack_records, soundtrack_statistics, injected_urls, injected_unmatched, injected_urls_all, injected_unmatched_all, video_comments, file_statistics)}
+QUERIES = {f.__name__: f for f in (soundtrack_records, soundtrack_statistics, injected_urls_all, injected_unmatched_all, video_comments, file_statistics)}
 
 _T = "t AS (SELECT DISTINCT track_id, movie_id, title, performer, composer, lyrics_by, producer FROM soundtrack_tracks WHERE title IS NOT NULL AND movie_id IS NOT NULL)"
 _L = _T + r""", l AS (SELECT movie_id, lower(trim(upper(title), E' \t\r\n')) AS key, 'v/' || track_id AS url, track_id AS pos FROM t WHERE track_id % 2 = 0
@@ -95,8 +80,6 @@ ORACLES = {
     "soundtrack_statistics": f"""WITH {_T}, n AS (SELECT movie_id, performer, row_number() OVER (PARTITION BY movie_id ORDER BY performer) AS i FROM (SELECT DISTINCT movie_id, performer FROM t WHERE performer IS NOT NULL)),
 p AS (SELECT movie_id, string_agg(performer, '; ' ORDER BY performer) FILTER (i <= 10) || CASE WHEN max(i) > 10 THEN '...' ELSE '' END AS performers FROM n GROUP BY 1)
 SELECT movie_id, count(DISTINCT track_id) AS n_recordings, count(DISTINCT track_id) AS n_compositions, count(DISTINCT performer) AS n_performers, count(DISTINCT producer) AS n_producers, count(DISTINCT composer) AS n_composers, count(DISTINCT lyrics_by) AS n_lyricists, any_value(performers) AS performers FROM t LEFT JOIN p USING (movie_id) GROUP BY 1""",
-    "injected_urls": f"WITH {_L} SELECT track_id, url FROM n JOIN f USING (movie_id, key)",
-    "injected_unmatched": f"WITH {_L} SELECT movie_id, key, url FROM f WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.movie_id = f.movie_id AND n.key = f.key)",
     "injected_urls_all": f"WITH {_LA} SELECT track_id, url FROM n JOIN f USING (movie_id, key)",
     "injected_unmatched_all": f"WITH {_LA} SELECT movie_id, key, url FROM f WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.movie_id = f.movie_id AND n.key = f.key)",
     "video_comments": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY like_count DESC NULLS LAST, comment_id) AS i FROM (SELECT DISTINCT video_id, comment_id, like_count FROM youtube_comments))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tripleforge.plans import graph_queries, media_queries, preparation, table_queries
+from tripleforge.plans import detail_queries, graph_queries, media_queries, preparation, table_queries
 
-_MODULES = [graph_queries, table_queries, media_queries, preparation]
+_MODULES = [graph_queries, table_queries, media_queries, detail_queries, preparation]
 
 
 def queries() -> dict:

@@ -94,14 +94,8 @@ def human_number_parse(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", text.human_number(typed).alias("votes"))
 
 
-def by_pattern_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").where("lang = 'en'")
-    found = F.regexp_extract_all("text", F.lit(r"([A-Za-z]+) of [A-Z]"), F.lit(1))
-    return docs.select(F.explode(F.transform(found, F.lower)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
-
-
 def by_pattern_counts_all(spark: SparkSession, d: str) -> DataFrame:
-    """As by_pattern_counts, over the documents of every language and those without one."""
+    """Words before "of" and a capital letter, over all documents."""
     found = F.regexp_extract_all("text", F.lit(r"([A-Za-z]+) of [A-Z]"), F.lit(1))
     return load(spark, d, "documents").select(F.explode(F.transform(found, F.lower)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
@@ -131,17 +125,8 @@ def video_links(spark: SparkSession, d: str) -> DataFrame:
     return videos.select("video_id", text.is_video_link(F.col("url")).alias("is_link"), text.has_link(F.col("url"), F.col("video_id")).alias("has_link"), text.duration_seconds(F.col("duration")).alias("seconds"), F.date_format(text.mixed_date(F.col("published_at")), "yyyy-MM-dd").alias("published"))
 
 
-def link_relax_cascade(spark: SparkSession, d: str) -> DataFrame:
-    parts = load(spark, d, "part").where("p_size <= 3").select("p_partkey", "p_brand", "p_type", "p_size")
-    pool = load(spark, d, "part").where("p_size > 45").select(F.col("p_partkey").alias("candidate"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"))
-    one = lambda c: parts.join(pool, c).select("p_partkey", "candidate")
-    same_type, same_brand = parts.p_type == pool.t, parts.p_brand == pool.b
-    found = linking.relaxed_candidates(parts, "p_partkey", [one(same_type & same_brand), one(same_type)])
-    return found.select("p_partkey", "candidate", "attempt", "error")
-
-
 def link_relax_cascade_all(spark: SparkSession, d: str) -> DataFrame:
-    """As link_relax_cascade, with every part as item and every other part as candidate.
+    """Every part as item and every other part as candidate, first of its type and brand, then of its type.
 
     Parts that are alone with their type and brand are known from counts, so that only they are joined by type.
     """
@@ -191,14 +176,8 @@ def inject_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "supplier").join(lines.distinct(), "s_suppkey", "left_anti").select("s_suppkey", "s_name")
 
 
-def caption_contains_entity(spark: SparkSession, d: str) -> DataFrame:
-    descriptions = load(spark, d, "youtube_videos").dropDuplicates(["video_id"]).where("title is not null").select("video_id", F.split("title", " ")[0].alias("k"), "title")
-    names = load(spark, d, "soundtrack_tracks").where("title is not null").select(F.trim("title").alias("name")).distinct().withColumn("k", F.split("name", " ")[0])
-    return linking.mentions(descriptions, names, ["k"], "title", "name").select("video_id", "name")
-
-
 def caption_mentions_anywhere(spark: SparkSession, d: str) -> DataFrame:
-    """As caption_contains_entity, but a name may begin at any word of the title; words are runs of letters and digits."""
+    """Names anywhere in the titles of videos; a name may begin at any word, a run of letters and digits."""
     word = r"[\p{L}\p{N}]+"
     videos = load(spark, d, "youtube_videos").select("video_id", "title").distinct().where("title is not null")
     # the empty word is for names without letters and digits
@@ -253,7 +232,7 @@ def qa_entries_flatten(spark: SparkSession, d: str) -> DataFrame:
     return qa_entries(movies.select(doc.alias("text")), "text")
 
 
-_FUNCTIONS = (lexical_property_count, modality_row, modality_summary, modality_breakdown, category_rollup, summary_metrics, top20_by_count, argmax_graph, names_first10_joined, failure_tallies, label_samples, url_id_extract, url_occurrences_vs_unique, strip_query_absolute, title_normalise, human_number_parse, by_pattern_counts, by_pattern_counts_all, json_path_props, html_breaks, credit_state_machine, video_links, link_relax_cascade, link_relax_cascade_all, link_best_match_fallback, link_result_classes, link_token_overlap, inject_last_wins, inject_unmatched, caption_contains_entity, caption_mentions_anywhere, skip_existing_increment, external_ids_found, stratified_sample, subset_missing, reviewed_filter, decision_merge, pct_of_total, qa_entries_flatten)
+_FUNCTIONS = (lexical_property_count, modality_row, modality_summary, modality_breakdown, category_rollup, summary_metrics, top20_by_count, argmax_graph, names_first10_joined, failure_tallies, label_samples, url_id_extract, url_occurrences_vs_unique, strip_query_absolute, title_normalise, human_number_parse, by_pattern_counts_all, json_path_props, html_breaks, credit_state_machine, video_links, link_relax_cascade_all, link_best_match_fallback, link_result_classes, link_token_overlap, inject_last_wins, inject_unmatched, caption_mentions_anywhere, skip_existing_increment, external_ids_found, stratified_sample, subset_missing, reviewed_filter, decision_merge, pct_of_total, qa_entries_flatten)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _COUNTED = """c AS (SELECT movie_id, unnest(regexp_extract_all(content, 'schema1?:([A-Za-z0-9_]+)', 1)) AS p FROM ttl_files),
@@ -291,7 +270,6 @@ ORACLES = {
     "strip_query_absolute": "SELECT movie_id, split_part('https://www.reelgraph.example' || regexp_replace(iri, '^https?://[^/]*', ''), '?', 1) AS url FROM (SELECT movie_id, unnest(is_similar_to) AS iri FROM movies)",
     "title_normalise": r"SELECT track_id, lower(trim(title, E' \t\r\n')) AS key, regexp_replace(trim(performer, E' \t\r\n'), '\s+', ' ', 'g') AS performer FROM soundtrack_tracks",
     "human_number_parse": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 100 AS votes FROM orders",
-    "by_pattern_counts": "SELECT lower(p) AS phrase, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([A-Za-z]+) of [A-Z]', 1)) AS p FROM documents WHERE lang = 'en') GROUP BY 1",
     "by_pattern_counts_all": "SELECT lower(p) AS phrase, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([A-Za-z]+) of [A-Z]', 1)) AS p FROM documents) GROUP BY 1",
     "json_path_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing FROM events",
     "html_breaks": r"WITH r AS (SELECT DISTINCT review_id, review_body FROM reviews), p AS (SELECT review_id, unnest(string_split(coalesce(review_body, ''), '<br/>')) AS x FROM r) SELECT review_id, count(*) AS n_paragraphs FROM p WHERE trim(x, E' \t\r\n') <> '' GROUP BY 1",
@@ -300,10 +278,6 @@ ORACLES = {
 SELECT video_id, coalesce(regexp_matches(url, '^https?://(?:www\.)?youtube\.com/watch\?v=[A-Za-z0-9_-]+'), false) AS is_link, true AS has_link,
   CASE WHEN regexp_matches(duration, '^PT([0-9]+H)?([0-9]+M)?([0-9]+S)?$') THEN coalesce(TRY_CAST(regexp_extract(duration, '([0-9]+)H', 1) AS BIGINT), 0) * 3600 + coalesce(TRY_CAST(regexp_extract(duration, '([0-9]+)M', 1) AS BIGINT), 0) * 60 + coalesce(TRY_CAST(regexp_extract(duration, '([0-9]+)S', 1) AS BIGINT), 0) END AS seconds,
   strftime(coalesce(TRY_CAST(nullif(regexp_extract(published_at, '^([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS DATE), CAST(try_strptime(published_at, '%d/%m/%Y') AS DATE), CAST(try_strptime(published_at, '%d %b %Y') AS DATE)), '%Y-%m-%d') AS published FROM v""",
-    "link_relax_cascade": """WITH i AS (SELECT * FROM part WHERE p_size <= 3), c AS (SELECT * FROM part WHERE p_size > 45),
-a AS (SELECT i.p_partkey, c.p_partkey AS candidate, 0 AS attempt FROM i JOIN c ON i.p_type = c.p_type AND i.p_brand = c.p_brand UNION ALL SELECT i.p_partkey, c.p_partkey, 1 FROM i JOIN c ON i.p_type = c.p_type),
-k AS (SELECT a.* FROM a JOIN (SELECT p_partkey, min(attempt) AS attempt FROM a GROUP BY 1) USING (p_partkey, attempt))
-SELECT i.p_partkey, candidate, CAST(attempt AS INTEGER) AS attempt, CASE WHEN attempt IS NULL THEN 'no candidates' END AS error FROM i LEFT JOIN k USING (p_partkey)""",
     "link_relax_cascade_all": """WITH a AS (SELECT i.p_partkey, c.p_partkey AS candidate, 0 AS attempt FROM part i JOIN part c ON i.p_type = c.p_type AND i.p_brand = c.p_brand AND i.p_partkey <> c.p_partkey UNION ALL SELECT i.p_partkey, c.p_partkey, 1 FROM part i JOIN part c ON i.p_type = c.p_type AND i.p_partkey <> c.p_partkey),
 k AS (SELECT a.* FROM a JOIN (SELECT p_partkey, min(attempt) AS attempt FROM a GROUP BY 1) USING (p_partkey, attempt))
 SELECT i.p_partkey, candidate, CAST(attempt AS INTEGER) AS attempt, CASE WHEN attempt IS NULL THEN 'no candidates' END AS error FROM part i LEFT JOIN k USING (p_partkey)""",
@@ -314,7 +288,6 @@ w AS (SELECT track_id, list_distinct(list_filter(regexp_split_to_array(lower(tit
 SELECT track_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0), 6) AS score FROM w""",
     "inject_last_wins": "WITH l AS (SELECT DISTINCT ON (user_id) user_id, value FROM events WHERE event_type = 'purchase' ORDER BY user_id, ts DESC, event_id DESC) SELECT u.user_id, l.value AS last_value FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l USING (user_id)",
     "inject_unmatched": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09)",
-    "caption_contains_entity": "WITH v AS (SELECT DISTINCT video_id, title FROM youtube_videos WHERE title IS NOT NULL), n AS (SELECT DISTINCT trim(title) AS name FROM soundtrack_tracks WHERE title IS NOT NULL) SELECT video_id, name FROM v JOIN n ON split_part(v.title, ' ', 1) = split_part(name, ' ', 1) AND contains(v.title, name)",
     "caption_mentions_anywhere": r"WITH v AS (SELECT DISTINCT video_id, title FROM youtube_videos WHERE title IS NOT NULL), n AS (SELECT DISTINCT trim(title) AS name FROM soundtrack_tracks WHERE trim(title) <> '') SELECT DISTINCT video_id, name FROM v JOIN n ON list_contains(list_append(regexp_extract_all(v.title, '[\p{L}\p{N}]+'), ''), regexp_extract(name, '[\p{L}\p{N}]+')) AND contains(v.title, name)",
     "skip_existing_increment": "SELECT DISTINCT review_id, movie_id FROM reviews WHERE review_id NOT IN (SELECT record_id FROM content_labels WHERE source_table = 'reviews')",
     "external_ids_found": "SELECT t.name, p.person_id FROM (SELECT DISTINCT producer AS name FROM soundtrack_tracks WHERE producer IS NOT NULL) t LEFT JOIN (SELECT name, min(person_id) AS person_id FROM persons GROUP BY 1) p USING (name)",

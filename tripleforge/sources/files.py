@@ -29,6 +29,13 @@ def entity_id(path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(path, r"/((?:tt|nm)\d+)/", 1), F.lit("")), F.nullif(F.regexp_extract(path, r"((?:tt|nm)\d+)[^/]*$", 1), F.lit("")))
 
 
+def listed_entities(files: DataFrame, prefix: str = "tt") -> DataFrame:
+    """(g): the entities of a listing of files (column path), by the directories in their paths whose whole name is the prefix
+    and digits; other directories are left out."""
+    found = F.regexp_extract_all("path", F.lit(f"(?<=/)({prefix}[0-9]+)(?=/)"), F.lit(1))
+    return files.select(F.explode(found).alias("g")).distinct()
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line) of text files; a missing path gives no lines."""
     jvm = spark.sparkContext._jvm
@@ -76,7 +83,10 @@ def remove_first_entries(entries: DataFrame, removed: DataFrame) -> DataFrame:
 
 def setting_lines(spark: SparkSession, path: str) -> list[str]:
     """Lines of a small settings file without blanks and comments; fails if there are none."""
-    lines = [r["line"].strip() for r in read_lines(spark, path).limit(10_000).collect()]
+    rows = read_lines(spark, path).limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError(f"{path} has more than 100,000 lines, which are no settings")
+    lines = [r["line"].strip() for r in rows]
     kept = [x for x in lines if x and not x.startswith("#")]
     if not kept:
         raise ValueError(f"{path} holds no settings")

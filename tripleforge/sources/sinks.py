@@ -26,7 +26,22 @@ def write_graph(triples: DataFrame, path: str, verify: bool = True) -> int:
 def write_table(df: DataFrame, path: str, decimals: dict[str, int] | None = None) -> None:
     """CSV with header; nulls are empty, and the columns in ``decimals`` have that many places."""
     columns = [F.format_string(f"%.{decimals[c]}f", F.col(c)).alias(c) if c in (decimals or {}) else F.col(c).cast("string").alias(c) for c in df.columns]
-    df.select(*[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(columns, df.columns, strict=True)]).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.select(*[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(columns, df.columns, strict=True)]).write.mode("overwrite").options(header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def result_rows(results: DataFrame) -> DataFrame:
+    """Link results in the layout of twelve columns in which they are exchanged.
+
+    ``results``: title, performer, composer, movie_title, search_query, url, video_title, channel_title, confidence,
+    view_count, like_count, error. Nulls become empty texts, the confidence has two places.
+    """
+    confidence = F.format_string("%.2f", F.col("confidence"))
+    columns = {
+        "Song Title": F.col("title"), "Performer": F.col("performer"), "Composer": F.col("composer"), "Movie": F.col("movie_title"), "Search Query": F.col("search_query"),
+        "YouTube URL": F.col("url"), "Video Title": F.col("video_title"), "Channel": F.col("channel_title"), "Confidence": F.when(F.col("confidence").isNotNull(), confidence),
+        "Views": F.col("view_count").cast("string"), "Likes": F.col("like_count").cast("string"), "Error": F.col("error"),
+    }
+    return results.select(*[F.coalesce(c, F.lit("")).alias(name) for name, c in columns.items()])
 
 
 def write_documents(df: DataFrame, path: str) -> None:
