@@ -62,3 +62,9 @@ def test_scores_are_bounded(spark):
     df = spark.createDataFrame([(p,) for p in PLAIN], "packed string").withColumn("s", F.lit(1))
     for r in delimiter_scores(df, "packed", ["s"]).collect():
         assert 0 <= r["score"] <= 1
+
+
+def test_rare_delimiters_separate_where_no_other_does(spark):
+    rows = [*PLAIN * 60, "one * two * three", "red *star*; blue"]
+    got = values(spark, rows)
+    assert [v for _, v in got[1200]] == ["one", "two", "three"] and [v for _, v in got[1201]] == ["red *star*", "blue"]

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tripleforge.operators.compaction import compact_files, equal_graphs, graph_catalogue, merge_graphs, plan_packing
+from tripleforge.operators.compaction import compact_files, equal_graphs, graph_catalogue, graph_classes, merge_graphs, plan_packing
 from tripleforge.operators.store import COLUMNS, lift, read_store, write_store
 from tripleforge.sources.turtle import XSD, TurtleError, parse_turtle, triple_line, triple_set, turtle_triples
 
@@ -98,3 +98,21 @@ def test_store_round_trip(spark, tmp_path):
     back = read_store(spark, f"{tmp_path}/store")
     assert back.columns == COLUMNS and sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, triples.collect()), key=repr)
     assert triples.count() == 4
+
+
+def test_thousands_of_files_come_out_as_many_as_their_bytes_need(spark, tmp_path):
+    """Number of files by bytes only, whatever the number of files and cores is; rows and their hash stay."""
+    source = tmp_path / "tiny"
+    source.mkdir()
+    for i in range(3_000):
+        (source / f"{i:05d}.txt").write_text("\n".join(f"{i} {j} " + "x" * 200 for j in range(5)))
+    done = compact_files(spark, f"file://{source}", f"file://{tmp_path}/few", target_bytes=1 << 20, file_format="text")
+    wanted = -(-sum(f.stat().st_size for f in source.iterdir()) // (1 << 20))
+    assert done["rows"] == 15_000 and done["output_files"] == wanted
+    assert len([x for x in (tmp_path / "few").iterdir() if x.name.startswith("part-")]) == wanted
+    assert spark.read.parquet(f"file://{tmp_path}/few").exceptAll(spark.read.text(f"file://{source}")).isEmpty()
+
+
+def test_classes_of_equal_graphs(spark):
+    files = spark.createDataFrame([(1, "p", "<a> <b> 1 ."), (2, "p", "<a> <b> 1, 1 ."), (3, "q", "# nothing"), (4, "q", "<a> <b> 2 ."), (5, "r", None)], "file_id long, path string, content string")
+    assert sorted(map(tuple, graph_classes(graph_catalogue(spark, files)).collect())) == [(1, 1, 2), (2, 1, 2), (4, 4, 1)]

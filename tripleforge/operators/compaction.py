@@ -45,6 +45,13 @@ def _inventory(df: DataFrame) -> tuple[int, int]:
     return files, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if files else 0
 
 
+def folder_inventory(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number and total size of the files below a folder, from the file system's summary: no list of names is made."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    summary = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target)
+    return summary.getFileCount(), summary.getLength()
+
+
 def staged_write(df: DataFrame, path: str, n_files: int) -> dict:
     """Write ``df`` to a staging folder in ``n_files`` files at most without a shuffle, verify it, then move it to ``path``.
 
@@ -83,10 +90,10 @@ def compact_files(spark: SparkSession, source: str, target: str, target_bytes: i
     """Consolidate the files below ``source`` into few files at ``target``; every row comes out exactly once.
 
     Repeated rows stay repeated, empty inputs give an empty output with the same columns. The returned dictionary has
-    the packing that was used, the rows written and their hash.
+    the packing that was used, the rows written and their hash. There is no shuffle: a task reads splits that are as large
+    as an output file together and writes that file. ``source`` is a path without wildcards.
     """
-    scan = spark.read.format(file_format).option("recursiveFileLookup", True).load(source)
-    plan = plan_packing(*_inventory(scan), spark.sparkContext.defaultParallelism, target_bytes)
+    plan = plan_packing(*folder_inventory(spark, source), spark.sparkContext.defaultParallelism, target_bytes)
     with tuned(spark, spark__sql__files__maxPartitionBytes=plan.split_bytes, spark__sql__files__openCostInBytes=plan.open_cost):
         scan = spark.read.format(file_format).option("recursiveFileLookup", True).load(source)
         done = staged_write(scan, target, plan.output_files)
@@ -121,7 +128,7 @@ def graph_catalogue(spark: SparkSession, files: DataFrame, target: str | None =
         if packed.rdd.getNumPartitions() * 2 <= spark.sparkContext.defaultParallelism:
             packed = packed.repartition(spark.sparkContext.defaultParallelism)
         parsed = packed.mapInPandas(read, "file_id long, path string, n_triples int, digest string, triples array<string>, error string")
-        # parsing keeps every core busy, so fewer files than cores would slow it down: the triples are merged below
+        # an intermediate table: parsing keeps every core busy, the few large files are written by merge_graphs
         staged_write(parsed, target, max(plan.output_files, spark.sparkContext.defaultParallelism))
     return spark.read.parquet(target)
 
@@ -133,13 +140,21 @@ def merge_graphs(catalogue: DataFrame, target: str, target_bytes: int = 128 * MB
     """
     spark = catalogue.sparkSession
     first = catalogue.where("digest is not null").groupBy("digest").agg(F.min_by("triples", "file_id").alias("triples"))
-    triples = first.select(F.explode("triples").alias("triple")).distinct()
-    size = catalogue.agg(F.sum(F.expr("aggregate(triples, 0L, (a, x) -> a + length(x))")).alias("b"), F.sum("n_triples").alias("n")).first()
-    done = staged_write(triples, target, max(1, math.ceil((size["b"] or 0) / target_bytes)))
+    # repetitions are removed by all tasks; what they write is compacted without another shuffle
+    parts = scratch_path(spark, "triples")
+    first.select(F.explode("triples").alias("triple")).distinct().write.parquet(parts)
+    done = compact_files(spark, parts, target, target_bytes)
     files = catalogue.agg(F.count("*").alias("n_files"), F.count("error").alias("n_invalid"), F.countDistinct("digest").alias("n_graphs"), F.sum("n_triples").cast("long").alias("n_triples_in"))
     return files.withColumn("n_triples_out", F.lit(done["rows"]).cast("long"))
 
 
+def graph_classes(catalogue: DataFrame) -> DataFrame:
+    """(file_id, class_id, n_files): every file with triples and the least file with the same set of them."""
+    held = catalogue.where("digest is not null").select("file_id", "digest").distinct()
+    classes = held.groupBy("digest").agg(F.min("file_id").alias("class_id"), F.count("*").alias("n_files"))
+    return held.join(classes, "digest").select("file_id", "class_id", "n_files")
+
+
 def equal_graphs(catalogue: DataFrame) -> DataFrame:
     """Pairs (file_id_a < file_id_b) of files with the same non-empty set of triples."""
     held = catalogue.where("digest is not null").select("file_id", "digest").distinct()

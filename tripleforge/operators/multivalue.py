@@ -51,15 +51,16 @@ def delimiter_scores(df: DataFrame, packed: str, source: list[str]) -> DataFrame
 
 
 def infer_delimiters(df: DataFrame, packed: str, source: list[str], min_score: float = 0.2, min_share: float = 0.002) -> DataFrame:
-    """The delimiters of each source as one string: those of at least ``min_score``.
+    """The delimiters of each source, those of at least ``min_score``, as two strings: delimiters and rare.
 
-    A candidate also has to occur in ``min_share`` of the rows that hold any candidate (or in every row of a source
-    of few rows), so that a single stray sign cannot become one.
+    The rare ones occur in less than ``min_share`` of the rows that the commonest occurs in. As such a sign may be part
+    of a value, it separates only in rows that hold none of the others.
     """
     scores = delimiter_scores(df, packed, source)
     total = F.max("n_rows").over(Window.partitionBy(*source))
-    kept = scores.withColumn("_most", total).where((F.col("score") >= min_score) & (F.col("n_rows") >= F.col("_most") * min_share))
-    return kept.groupBy(*source).agg(F.concat_ws("", F.sort_array(F.collect_list("delimiter"))).alias("delimiters"))
+    kept = scores.withColumn("_rare", F.col("n_rows") < total * min_share).where(F.col("score") >= min_score)
+    some = lambda rare: F.concat_ws("", F.sort_array(F.collect_list(F.when(F.col("_rare") == rare, F.col("delimiter")))))
+    return kept.groupBy(*source).agg(some(False).alias("delimiters"), some(True).alias("rare"))
 
 
 def split_values(df: DataFrame, packed: str, source: list[str] | None = None, value: str = "value", position: str = "pos") -> DataFrame:
@@ -80,14 +81,21 @@ def split_values(df: DataFrame, packed: str, source: list[str] | None = None, va
     if not keys:
         df, keys = df.withColumn("s", F.lit(1)), ["s"]
     found = infer_delimiters(df.select(*dict.fromkeys([*keys, field])), field, keys)
-    # one row per source: grows with the number of sources only
-    found = found.select(*[F.col(c).alias(f"f_{c}") for c in keys], F.col("delimiters").alias("f"))
-    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(found[f"f_{c}"]) for c in keys])
-    inside = F.concat(F.lit(r"\\"), _in_class(F.coalesce(F.col("f"), F.lit(""))))
+    if source:
+        # one row per source: grows with the number of sources only
+        found = found.select(*[F.col(c).alias(f"f_{c}") for c in keys], F.col("delimiters").alias("f"), F.col("rare").alias("q"))
+        on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(found[f"f_{c}"]) for c in keys])
+        rows = df.join(found, on, "left")
+    else:
+        only = found.first()
+        rows = df.withColumns({"f": F.lit(only["delimiters"] if only else ""), "q": F.lit(only["rare"] if only else "")})
+    common, rare = (F.coalesce(F.col(c), F.lit("")) for c in ("f", "q"))
+    holds = (common != "") & F.regexp_like(_unquoted(F.col(field)), F.concat(F.lit("["), _in_class(common), F.lit("]")))
+    inside = F.concat(F.lit(r"\\"), _in_class(F.when((rare == "") | holds, common).otherwise(F.concat(common, rare))))
     piece = F.concat(F.lit(f"(?:{_QUOTED}|{_ESCAPED}|[^“\""), inside, F.lit(r"]++|[“"), F.lit('"'), F.lit(r"\\])+"))
     pieces = F.regexp_extract_all(F.col(field), piece, F.lit(0))
     values = F.filter(F.transform(pieces, clean_value), lambda x: x != "")
-    rows = df.join(found, on, "left").select(*[f"c{i}" for i in kept], F.posexplode(values).alias("at", "v"))
+    rows = rows.select(*[f"c{i}" for i in kept], F.posexplode(values).alias("at", "v"))
     return rows.select(*[F.col(f"c{i}").alias(names[i]) for i in kept], (F.col("at") + 1).cast("int").alias(position), F.col("v").alias(value))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleforge.operators.compaction import equal_graphs, graph_catalogue, merge_graphs
+from tripleforge.operators.compaction import compact_files, equal_graphs, graph_catalogue, graph_classes, merge_graphs
 from tripleforge.operators.multivalue import delimiter_scores, split_values
 from tripleforge.operators.references import orphan_references, orphan_report, referenced_id
 from tripleforge.runtime import load, scratch_path
@@ -25,6 +25,24 @@ def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
     return merge_graphs(_catalogue(spark, d), scratch_path(spark, "graphs"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its class of equal sets of triples."""
+    return graph_classes(_catalogue(spark, d))
+
+
+def p3_small_files(spark: SparkSession, d: str) -> DataFrame:
+    """Report of consolidating tiny files: the deliveries, each written to a file of its own, read in combined splits."""
+    files = load(spark, d, "ttl_files").select("file_id", "content")
+    tiny, few = scratch_path(spark, "tiny"), scratch_path(spark, "few")
+    files.write.option("maxRecordsPerFile", 1).parquet(tiny)
+    done = compact_files(spark, tiny, few)
+    back = spark.read.parquet(few)
+    lost = files.exceptAll(back).agg(F.count("*").alias("n_lost"))
+    counts = back.agg(F.count("*").alias("n_rows"), F.count_distinct("file_id").alias("n_distinct"))
+    n_in = spark.read.parquet(tiny).select(F.input_file_name().alias("f")).distinct().agg(F.count("*").alias("n_files_in"))
+    return n_in.join(counts).join(lost).withColumn("n_files_out", F.lit(done["output_files"]))
+
+
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     def of(table: str, key: str, iris: str) -> DataFrame:
         rows = load(spark, d, table).select(F.lit(table).alias("source_table"), F.col(key).alias("source_id"), F.explode(iris).alias("iri"), F.col("extracted_at").alias("at"))
@@ -58,7 +76,7 @@ def p6_delimiters(spark: SparkSession, d: str) -> DataFrame:
     return delimiter_scores(movies, "keywords", ["source"]).select("source", "delimiter", "n_rows", "n_pieces")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_compacted, p5_found, p5_report, p6_found, p6_delimiters)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p3_small_files, p3_compacted, p5_found, p5_report, p6_found, p6_delimiters)}
 
 _ORPHANS = r"""
 WITH parent AS (SELECT movie_id, min(extracted_at) AS e, min(deleted_at) AS x FROM movies GROUP BY movie_id),
@@ -73,6 +91,7 @@ orphans AS (
 """
 
 ORACLES = {
+    "p3_small_files": "SELECT count(*) AS n_files_in, count(*) AS n_rows, count(DISTINCT file_id) AS n_distinct, 0 AS n_lost, 1 AS n_files_out FROM ttl_files",
     "p5_found": _ORPHANS + "SELECT DISTINCT source_table, source_id, target_id, state FROM orphans WHERE state IS NOT NULL",
     "p5_report": _ORPHANS
     + """, seen AS (SELECT DISTINCT source_table, source_id, target_id, state, strftime(t, '%Y-%m') AS period FROM orphans WHERE state IS NOT NULL)
