@@ -114,3 +114,15 @@ def test_settings(spark, tmp_path):
     assert files.setting_lines(spark, str(tmp_path / "s.txt")) == ["a"]
     with pytest.raises(ValueError, match="no settings"):
         files.setting_lines(spark, str(tmp_path / "none.txt"))
+
+
+def test_kinds_datatypes_and_languages(spark):
+    rows = [("all", "a", "I", "e:l", "Haus", "L", None, "de"), ("all", "a", "I", "e:l", "house", "L", None, "en-GB"), ("all", "a", "I", "e:v", "5", "L", "http://www.w3.org/2001/XMLSchema#integer", None), ("all", "a", "I", "e:v", "5", "L", "http://www.w3.org/2001/XMLSchema#string", None), ("all", "a", "I", "e:o", "b", "I", None, None), ("all", "a", "I", "e:o", "n", "B", None, None)]
+    t = spark.createDataFrame(rows, "g string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string")
+    ask = lambda q: sorted(tuple(r)[1:] for r in sparql.select(t, q).collect())
+    assert ask('SELECT ?x WHERE { ?s <e:l> ?x FILTER(LANG(?x) = "de") }') == [("Haus",)]
+    assert ask('SELECT ?x WHERE { ?s <e:l> ?x FILTER(LANGMATCHES(LANG(?x), "en")) }') == [("house",)]
+    assert ask("SELECT ?p ?x WHERE { ?s ?p ?x FILTER(isIRI(?x)) }") == [("e:o", "b")]
+    assert ask("SELECT (DATATYPE(?x) AS ?d) WHERE { ?s <e:v> ?x }") == [("http://www.w3.org/2001/XMLSchema#integer",), ("http://www.w3.org/2001/XMLSchema#string",)]
+    assert len(ask('SELECT ?s WHERE { ?s <e:v> "5"^^xsd:integer }')) == 1 and len(ask('SELECT ?s WHERE { ?s <e:l> "Haus"@de }')) == 1 and ask('SELECT ?s WHERE { ?s <e:l> "Haus"@en }') == []
+    assert ask("SELECT ?s WHERE { ?s <e:o> ?x OPTIONAL { ?s <e:none> ?y } FILTER(isBlank(?x) && !BOUND(?y)) }") == [("a",)]

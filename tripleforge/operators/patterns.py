@@ -29,22 +29,42 @@ def is_variable(term: str) -> bool:
     return term.startswith("?")
 
 
-def scan(triples: DataFrame, s: str, p: str, o: str, prefixes: dict[str, str] | None = None, unique: bool = False) -> DataFrame:
+def term_parts(term: str, prefixes: dict[str, str] | None = None) -> tuple[str, str | None, str | None]:
+    """Text, datatype and language of a term that is no variable."""
+    if term[:1] == "<":
+        return term[1:-1], None, None
+    if term[:1] != '"':
+        return expand(term, prefixes), None, None
+    end = term.rindex('"')
+    tail = term[end + 1 :]
+    datatype = term_parts(tail[2:], prefixes)[0] if tail.startswith("^^") else None
+    return term[1:end], datatype, tail[1:] if tail.startswith("@") else None
+
+
+def scan(triples: DataFrame, s: str, p: str, o: str, prefixes: dict[str, str] | None = None, unique: bool = False, kinds: frozenset[str] = frozenset()) -> DataFrame:
     """Solutions of one triple pattern. Bound positions become filters on the scan, so only their predicate is read;
     a variable that occurs twice has to be equal. ``unique`` says that no triple is there twice (``as_graph``, a table
-    lifted by its key), which saves the shuffle that removes repetitions."""
+    lifted by its key), which saves the shuffle that removes repetitions. A literal may have a datatype (``"5"^^<iri>``) or
+    a language (``"x"@en``); without them its text alone has to agree. For the variables in ``kinds`` a column ``_k_`` and the name
+    holds kind, datatype and language of the term."""
     rows, columns = triples, {}
     for place, term in (("p", p), ("s", s), ("o", o)):
         if not is_variable(term):
-            text = term[1:-1] if term[:1] in "<\"" else expand(term, prefixes)
+            text, datatype, language = term_parts(term, prefixes)
             rows = rows.where(F.col(place) == text)
             if place == "o":
                 rows = rows.where(F.col("o_kind") == "L" if term[:1] == '"' else F.col("o_kind") != "L")
+            if datatype:
+                rows = rows.where(F.col("o_dt") == datatype)
+            if language:
+                rows = rows.where(F.lower("o_lang") == language.lower())
         elif term[1:] in columns:
             rows = rows.where(F.col(place) == F.col(columns[term[1:]]))
         else:
             columns[term[1:]] = place
-    out = rows.select(GRAPH, *[F.col(c).alias(v) for v, c in columns.items()])
+    told = {"s": ["s_kind"], "p": [], "o": ["o_kind", "o_dt", "o_lang"]}
+    kind = lambda c: F.concat_ws("|", *[F.coalesce(x, F.lit("")) for x in told[c]], *[F.lit("I" if c == "p" and not i else "") for i in range(3 - len(told[c]))])
+    out = rows.select(GRAPH, *[F.col(c).alias(v) for v, c in columns.items()], *[kind(c).alias(f"_k_{v}") for v, c in columns.items() if v in kinds])
     return out if unique else out.distinct()
 
 

@@ -3,7 +3,8 @@
 A query runs over all graphs of a triple table at once: ``g`` is part of every join and group, so each graph answers
 for itself; a variable ?g is called ``g_``. Supported: basic patterns with ``;`` and ``,``, property paths (/ ^ | + * ?), FILTER, OPTIONAL, UNION,
 MINUS, [NOT] EXISTS, BIND, VALUES, sub-groups, sub-queries, DISTINCT, GROUP BY variables and expressions, HAVING,
-aggregates, ORDER BY, LIMIT and OFFSET. Federation, functions of datatype and language and other query forms raise SparqlError.
+aggregates, ORDER BY, LIMIT and OFFSET, LANG, DATATYPE and tests of kinds of terms (null for ends of repeated paths).
+A literal with datatype or language matches only such literals, one without matches by its text. Federation and other query forms raise SparqlError.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from tripleforge.operators.store import PREFIXES, RDF_TYPE, expand
 
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|\#[^\n]*)|(?P<iri><[^<>\s]*>)|(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<var>[?$]\w+)
-    |(?P<number>\d+(?:\.\d+)?)|(?P<name>(?:[A-Za-z][\w-]*)?:[\w-]*(?:\.[\w-]+)*)|(?P<word>[A-Za-z_]\w*)|(?P<sign>\^\^|&&|\|\||!=|<=|>=|[{}()\[\].;,=<>!+*/|^?-])""",
+    |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<number>\d+(?:\.\d+)?)|(?P<name>(?:[A-Za-z][\w-]*)?:[\w-]*(?:\.[\w-]+)*)|(?P<word>[A-Za-z_]\w*)|(?P<sign>\^\^|&&|\|\||!=|<=|>=|[{}()\[\].;,=<>!+*/|^?-])""",
     re.VERBOSE,
 )
+_TERM_TESTS = {"lang", "datatype", "isiri", "isuri", "isliteral", "isblank"}
 _AGGREGATES = {"count", "sum", "avg", "min", "max", "sample", "group_concat"}
 
 
@@ -51,6 +53,7 @@ class _State:
 
     count: int = 0
     unique: bool = False
+    kinds: frozenset = frozenset()
 
 
 class _Parser:
@@ -213,9 +216,8 @@ class _Parser:
         if kind in ("iri", "name", "number"):
             return f'"{value}"' if kind == "number" else value
         if kind == "text":
-            if self.take("^^"):
-                self.next()
-            return '"' + re.sub(r"\\(.)", r"\1", value[1:-1]) + '"'
+            tail = "^^" + self.next()[1] if self.take("^^") else self.next()[1] if self.peek()[0] == "lang" else ""
+            return '"' + re.sub(r"\\(.)", r"\1", value[1:-1]) + '"' + tail
         if kind == "word" and value == "a":
             return f"<{RDF_TYPE}>"
         if kind == "word" and value in ("true", "false"):
@@ -333,7 +335,7 @@ def parse(text: str) -> Query:
 
 
 def _text(term: str, prefixes: dict) -> str:
-    return term[1:-1] if term[0] in "<\"" else expand(term, prefixes)
+    return algebra.term_parts(term, prefixes)[0]
 
 
 def _compile(e: tuple, have: set[str], prefixes: dict, aggregates: dict | None = None) -> tuple[Column, str]:
@@ -383,6 +385,19 @@ def _compile(e: tuple, have: set[str], prefixes: dict, aggregates: dict | None =
     name, args = e[1].lower(), e[2]
     if name == "bound":
         return sub(args[0])[0].isNotNull(), "truth"
+    if name in _TERM_TESTS:
+        if args[0][0] != "term" or not is_variable(args[0][1]):
+            raise SparqlError(f"{e[1]} needs a variable")
+        column = f"_k_{args[0][1][1:]}"
+        part = [F.get(F.split(F.col(column) if column in have else F.lit(None).cast("string"), r"\|"), F.lit(i)) for i in range(3)]
+        if name == "lang":
+            return F.when(part[0] == "L", part[2]), "text"
+        if name == "datatype":
+            return F.when(part[0] == "L", F.when(part[2] != "", F.lit(PREFIXES["rdf"] + "langString")).when(part[1] == "", F.lit(PREFIXES["xsd"] + "string")).otherwise(part[1])), "text"
+        return part[0] == {"isiri": "I", "isuri": "I", "isliteral": "L", "isblank": "B"}[name], "truth"
+    if name == "langmatches":
+        tag, wanted = F.lower(as_text(args[0])), _literal(args[1]).lower()
+        return (tag != "") if wanted == "*" else (tag == wanted) | tag.startswith(wanted + "-"), "truth"
     if name == "str":
         return as_text(args[0]), "text"
     if name in ("lcase", "ucase"):
@@ -427,7 +442,7 @@ def _compile(e: tuple, have: set[str], prefixes: dict, aggregates: dict | None =
 def _literal(e: tuple) -> str:
     if e[0] != "term" or e[1][0] != '"':
         raise SparqlError("a constant text is expected")
-    return e[1][1:-1]
+    return algebra.term_parts(e[1])[0]
 
 
 def _bound(edges: DataFrame, term: str, prefixes: dict) -> DataFrame:
@@ -438,7 +453,7 @@ def _bound(edges: DataFrame, term: str, prefixes: dict) -> DataFrame:
 def _path(triples: DataFrame, s: str, path: tuple, o: str, prefixes: dict, fresh: _State) -> DataFrame:
     op = path[0]
     if op == "term":
-        return algebra.scan(triples, s, path[1], o, prefixes, fresh.unique)
+        return algebra.scan(triples, s, path[1], o, prefixes, fresh.unique, fresh.kinds)
     if op == "^":
         return _path(triples, o, path[1], s, prefixes, fresh)
     if op == "/":
@@ -541,7 +556,17 @@ def select(triples: DataFrame, text: str | Query, unique: bool = False) -> DataF
     return _select(triples, parse(text) if isinstance(text, str) else text, _State(unique=unique))
 
 
+def _asked_kinds(e) -> set[str]:
+    """Variables whose kind, datatype or language an expression or query asks for."""
+    if isinstance(e, Query):
+        return set().union(*map(_asked_kinds, (e.columns, e.where, e.group, e.having, e.order)))
+    if isinstance(e, tuple) and len(e) == 3 and e[0] == "call" and e[1].lower() in _TERM_TESTS:
+        return {a[1][1:] for a in e[2] if a[0] == "term" and is_variable(a[1])}
+    return set().union(*map(_asked_kinds, e)) if isinstance(e, (tuple, list)) else set()
+
+
 def _select(triples: DataFrame, q: Query, fresh: _State) -> DataFrame:
+    fresh.kinds |= _asked_kinds(q)
     solutions, _ = _evaluate(triples, q.where, q.prefixes, fresh)
     for name, e in q.group:
         if e is not None:
