@@ -14,7 +14,7 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42, re
     A stratum with fewer rows gives all; with more required ones than ``n``, the first ``n`` of them.
     """
     place = order if order is not None else F.xxhash64(key, F.lit(seed))
-    rows = df.join(F.broadcast(required.select(key).distinct()).withColumn("_must", F.lit(True)), key, "left") if required is not None else df.withColumn("_must", F.lit(None).cast("boolean"))
+    rows = df.join(required.select(key).distinct().withColumn("_must", F.lit(True)), key, "left") if required is not None else df.withColumn("_must", F.lit(None).cast("boolean"))
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.desc_nulls_last("_must"), place, key))
     return rows.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n", "_must")
 
