@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleforge.llm.names import fold, given_names, parse_name, same_given, typo_distance
@@ -97,17 +97,17 @@ def readings(title: str | None, channel: str | None, description: str | None) ->
     return list(dict.fromkeys(out))
 
 
-def _reversed(text: str) -> str:
-    return text[::-1]
-
-
-def sort_keys(title: str, family: str) -> list[str]:
-    """Composite keys: either end of the artist's name, and what precedes the last letters, with the title from either end.
+def sort_keys() -> Column:
+    """Composite keys of a reading: either end of the artist's name, and what precedes the last letters, with the title from
+    either end.
 
     A typo in each of the two fields leaves one key that agrees up to a late place, so both records stay neighbours.
     """
-    ends = (family[:4], _reversed(family)[:4], family[-8:-4])
-    return [f"{n}{end}|{t}" for n, (end, t) in enumerate((e, t) for e in ends for t in (title, _reversed(title)))]
+    n = F.length("family")
+    middle = F.substring("family", F.greatest(n - 7, F.lit(1)), F.least(F.lit(4), F.greatest(n - 4, F.lit(0))))
+    ends = (F.substring("family", 1, 4), F.substring(F.reverse("family"), 1, 4), middle)
+    pairs = [(end, t) for end in ends for t in (F.col("title"), F.reverse("title"))]
+    return F.array(*[F.concat(F.lit(str(k)), end, F.lit("|"), t) for k, (end, t) in enumerate(pairs)])
 
 
 def sliding_pairs(records: DataFrame, payload: list[str], compare: Callable, schema: str, width: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _title_pairs(tracks: DataFrame, videos: DataFrame) -> DataFrame:
 
     named = lambda df: df.select(F.xxhash64("title").alias("id"), "title")
     parts = lambda df: named(df).where("length(title) >= 5").mapInPandas(less, "id long, part long")
-    unknown = videos.join(tracks, "title", "left_anti")
+    unknown = materialize(videos.join(tracks, "title", "left_anti"), "titles")
     met = parts(tracks).join(parts(unknown).toDF("other", "part"), "part").select("id", "other").distinct()
     met = met.join(named(tracks), "id").join(named(unknown).toDF("other", "wanted"), "other").where("greatest(length(title), length(wanted)) > 5").select("title", "wanted")
     same = tracks.join(videos, "title", "left_semi").select("title", F.col("title").alias("wanted"), F.lit(0).alias("slips"))
@@ -229,7 +229,7 @@ def equal_pairs(readings_: DataFrame) -> DataFrame:
     field = ["rid", "title", "kind", "family", "given"]
     ends = F.array(F.concat(F.lit("a"), F.substring("family", 1, 2)), F.concat(F.lit("z"), F.substring("family", -2, 2)))
     side = lambda n: readings_.where(f"side = {n}").select(*field, F.explode(ends).alias("end"))
-    titles = _title_pairs(*(readings_.where(f"side = {n}").select("title").distinct() for n in (0, 1)))
+    titles = _title_pairs(*(materialize(readings_.where(f"side = {n}").select("title").distinct(), "titles") for n in (0, 1)))
     videos = side(1).toDF("video", "wanted", "kind_b", "family_b", "given_b", "end").join(titles, "wanted")
     met = side(0).withColumnRenamed("rid", "track").join(videos, ["title", "end"])
     met = met.where("(kind = 'group') = (kind_b = 'group') and (end like 'a%' or left(family, 2) <> left(family_b, 2)) and abs(length(family) - length(family_b)) <= 2").where(F.levenshtein("family", "family_b", 4) >= 0)
@@ -423,15 +423,8 @@ def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFr
     rows = a.mapInPandas(read_tracks, schema).union(b.mapInPandas(read_videos, schema))
     field = ["side", "title", "kind", "family", "given"]
     rows = materialize(rows.withColumn("rid", F.xxhash64(*field)), "readings")
-    readings_ = rows.select("rid", *field).distinct()
-
-    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys = [sort_keys(t, f) for t, f in zip(frame["title"], frame["family"], strict=True)]
-            yield frame.assign(key=keys).explode("key")[["key", "rid", *field]]
-
-    payload = "rid long, side int, title string, kind string, family string, given string"
-    records = readings_.mapInPandas(keyed, f"key string, {payload}")
+    readings_ = materialize(rows.select("rid", *field).distinct(), "distinct")
+    records = readings_.select(F.explode(sort_keys()).alias("key"), "rid", *field)
     near = sliding_pairs(records, ["title", "family", "given", "kind", "side", "rid"], _compare, "track long, video long, slips int, title_agrees double, artist_agrees double", width)
     pairs = materialize(near.union(equal_pairs(readings_)).distinct(), "pairs")
     titles = rows.where("side = 0").select("title").distinct()
