@@ -115,8 +115,10 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     from tripleforge.runtime import materialize
 
     refs = references.where("target_id is not null").select("source_table", "source_id", F.col("target_id").alias("key"), "at").distinct()
+    # the ids are cut out of IRIs once
+    refs = materialize(refs, "references")
     parents = parents.where("id is not null").groupBy(F.col("id").alias("key")).agg(F.min("appeared").alias("appeared"), F.min("deleted").alias("deleted"), F.max(F.col("appeared").isNull()).alias("ever"))
-    parents = parents.withColumn("appeared", F.when(~F.col("ever"), F.col("appeared"))).drop("ever")
+    parents = materialize(parents.withColumn("appeared", F.when(~F.col("ever"), F.col("appeared"))).drop("ever"), "parents")
     codes = encode_keys(refs.select("key").union(parents.select("key")))
     codes = materialize(codes, "codes")
     refs = materialize(refs.join(codes, "key").withColumn("period", period_of(F.col("at"))), "references")
