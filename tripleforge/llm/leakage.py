@@ -238,8 +238,10 @@ def leaked_items(documents: DataFrame, doc_key: str, doc_text: str, items: DataF
         found = one if found is None else found.union(one)
     longest = int(item_words.agg(F.max(F.length("words") / 2)).first()[0])
     pairs = materialize(found.groupBy("doc", "row").agg(F.max(F.struct("cosine", "at")).alias("best"), F.flatten(F.collect_list("places")).alias("places")), "candidates")
+    # texts without candidates are dropped before any of them moves, if the ids of the others are few
+    some = materialize(pairs.select(F.col("doc").alias("id")).distinct(), "ids")
     pairs = pairs.join(asked.withColumnRenamed("id", "item").withColumnRenamed("text", "wanted"), "row")
-    whole = texts.join(pairs.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("item", "wanted", "best", "places")).alias("own")), "id")
+    whole = texts.join(some, "id", "left_semi").join(pairs.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("item", "wanted", "best", "places")).alias("own")), "id")
     best = [F.max(c).alias(c) for c in ("cosine", "run_words", "lcs_words", "answered", "kind")]
     return _checked(whole, run, paraphrase, size, longest, schema).groupBy(doc_key, item_key).agg(*best)
 
