@@ -183,7 +183,9 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 300, gram: int
     shards = max(1, -(-found.where("own").count() // SHARD_PHRASES))
     place = F.struct(F.pmod("home", F.lit(shards)).cast("int").alias("shard"), "pos", "own")
     routes = found.groupBy("doc").agg(F.collect_list(place).alias("found"))
-    pieces = materialize(_cut(held.join(routes, "doc"), gram, span), "pieces")
+    # texts without confirmed phrases are dropped before any of them moves, if the ids of the others are few
+    some = materialize(found.select("doc").distinct(), "ids")
+    pieces = materialize(_cut(held.join(some, "doc", "left_semi").join(routes, "doc"), gram, span), "pieces")
     loads = materialize(pieces.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("kind") * F.length("text")) / SHARD_CHARS)).cast("int").alias("parts")), "loads")
     salt = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
     placed = pieces.join(loads, "shard").select("shard", F.explode(salt).alias("salt"), "parts", "kind", "doc", "start", "text")
