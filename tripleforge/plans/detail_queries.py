@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleforge.functions import markup, text
-from tripleforge.operators import comparison, linking, profile, statistics
+from tripleforge.operators import comparison, linking, media, profile, statistics
 from tripleforge.operators.credits import parse_credit_lines
-from tripleforge.operators.store import lift
+from tripleforge.operators.store import expand_column, lift
 from tripleforge.plans.graph_queries import EX, _all, _iri, _key, _lifted
 from tripleforge.plans.media_queries import _soundtracks, _tracks
 from tripleforge.runtime import load, scratch_path
 from tripleforge.sources import files, sinks
 from tripleforge.sources.turtle import read_turtle
+from tripleforge.streaming.ingest import windowed_counts
 
 
 def _standard(spark: SparkSession, d: str) -> DataFrame:
@@ -192,11 +193,58 @@ def error_log_file(spark: SparkSession, d: str) -> DataFrame:
     return files.read_lines(spark, path).select("line")
 
 
+def caption_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures and the people of the same movie whose name their caption contains."""
+    tracks = _tracks(spark, d)
+    person = F.concat(F.lit(f"{EX}person/"), "performer")
+    pictures = lift(tracks, F.col("movie_id"), F.concat(F.lit(f"{EX}image/"), "track_id"), {"schema:caption": F.concat("title", F.lit(" with "), "performer")})
+    people = lift(tracks.where("performer is not null"), F.col("movie_id"), person, {"schema:name": "performer"})
+    actors = lift(tracks, F.col("movie_id"), F.concat(F.lit(f"{EX}title/"), "movie_id"), {"schema:actor": person}, None, ("schema:actor",))
+    found = media.main_entities(pictures.union(people).union(actors))
+    return found.select(F.col("g").alias("movie_id"), F.substring_index("image", "/", -1).cast("long").alias("track_id"), F.regexp_replace("person", "^.*?/person/", "").alias("name"))
+
+
+def property_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Triples per property and nodes per type, by local name."""
+    persons = load(spark, d, "persons").select("person_id", "url", "name", "job_title").distinct()
+    t = lift(persons, F.lit("all"), F.col("url"), {"schema:name": "name", "schema:jobTitle": "job_title"}, "schema:Person")
+    return profile.triple_counts(t).select("property", "n")
+
+
+def subject_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The properties of each nation in one list."""
+    t = _lifted(spark, d, "nation")
+    out = comparison.grouped_by_subject(t.where(F.col("o_kind") == "L"))
+    return out.select(_key("s").alias("n_nationkey"), "n", F.array_join("lines", "; ").alias("lines"))
+
+
+def text_details(spark: SparkSession, d: str) -> DataFrame:
+    """Scalar functions on the texts of all tracks."""
+    tracks = load(spark, d, "soundtrack_tracks").dropDuplicates(["track_id"])
+    info = F.coalesce("additional_info", F.concat(F.lit("Take 2. Then, "), F.col("title")))
+    return tracks.select(
+        "track_id", text.without_rank(F.concat((F.col("track_id") % 50).cast("string"), F.lit(".  x "), "title")).alias("unranked"), text.digits(info).alias("digits"), text.after_first_sentence(info).alias("abstract"),
+        text.spaced_commas(F.concat_ws(",  ", "performer", "composer")).alias("names"), text.unescape(F.concat(F.lit('\\"'), "track_id", F.lit("\\\\"))).alias("plain"), text.one_line(F.concat(F.lit(" a\nb  "), F.col("track_id").cast("string"))).alias("line"),
+        text.comment_text(F.when(F.col("performer").isNull(), F.lit("none")), F.col("composer"), F.array(F.lit("a"), F.lit("b"))).alias("comment"),
+    )
+
+
+def expanded_names(spark: SparkSession, d: str) -> DataFrame:
+    """Prefixed names in a column as IRIs; other texts stay."""
+    short = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("schema:size"), "p_size")).otherwise(F.concat(F.lit("http://x/y:"), "p_size"))
+    return load(spark, d, "part").select("p_partkey", expand_column(short).alias("iri"))
+
+
+def events_per_hour(spark: SparkSession, d: str) -> DataFrame:
+    """Events per kind and hour, by the operator that counts a stream."""
+    return windowed_counts(load(spark, d, "events"), "ts", "event_type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         modality_standard, modality_standard_summary, audio_clips, credit_phrase_counts, credit_lines, role_counts_of_type, author_roles, links_of_any_form, label_categories, original_triples, paired_graphs, sameas_counts,
-        resumed_tracks, candidate_texts, iso_times, typed_entries, first_subjects, listed_entities, result_table_file, workbook_file, json_file, html_files, graph_files, error_log_file,
+        resumed_tracks, candidate_texts, iso_times, typed_entries, first_subjects, listed_entities, result_table_file, workbook_file, json_file, html_files, graph_files, error_log_file, caption_entities, property_triples, subject_lines, text_details, expanded_names, events_per_hour,
     )
 }
 
@@ -237,6 +285,14 @@ SELECT label, role, CASE role WHEN 'performed' THEN 'performer' WHEN 'written' T
     "first_subjects": f"SELECT 'region' AS kind, '{EX}region/' || min(CAST(r_regionkey AS VARCHAR)) AS node, NULL AS value FROM region UNION ALL SELECT 'literal', '{EX}region/' || r_regionkey, r_name FROM region UNION ALL SELECT 'literal', '{EX}nation/' || n_nationkey, n_name FROM nation UNION ALL SELECT 'node', '{EX}nation/' || n_nationkey, '{EX}region/' || n_regionkey FROM nation",
     "listed_entities": "SELECT DISTINCT movie_id AS g FROM movies WHERE regexp_full_match(movie_id, 'tt[0-9]+')",
     "result_table_file": "SELECT DISTINCT ON (track_id) title AS song_title, coalesce(performer, '') AS performer, coalesce(composer, '') AS composer, coalesce(movie_title, '') AS movie, CAST(track_id AS VARCHAR) AS search_query, '' AS youtube_url, '' AS video_title, '' AS channel, printf('%.2f', (track_id % 100) / 100) AS confidence, CAST(track_id AS VARCHAR) AS views, '0' AS likes, CASE WHEN performer IS NULL THEN 'none' ELSE '' END AS error FROM soundtrack_tracks WHERE trim(title) <> '' ORDER BY track_id",
+    "caption_entities": f"WITH {_TRACKS}, a AS (SELECT DISTINCT movie_id, performer AS name FROM t WHERE performer IS NOT NULL) SELECT movie_id, track_id, name FROM t JOIN a USING (movie_id) WHERE contains(title || ' with ' || performer, name)",
+    "property_triples": "WITH p AS (SELECT DISTINCT person_id, url, name, job_title FROM persons WHERE url IS NOT NULL) SELECT 'name' AS property, count(name) AS n FROM p UNION ALL SELECT 'jobTitle', count(*) FROM (SELECT unnest(job_title) AS j FROM p) WHERE j IS NOT NULL UNION ALL SELECT 'Person', count(*) FROM p",
+    "subject_lines": f"SELECT n_nationkey, 1 AS n, '{EX}name ' || n_name AS lines FROM nation",
+    "text_details": r"""WITH t AS (SELECT DISTINCT ON (track_id) *, coalesce(additional_info, 'Take 2. Then, ' || title) AS i FROM soundtrack_tracks ORDER BY track_id)
+SELECT track_id, 'x ' || title AS unranked, regexp_replace(i, '[^0-9]', '', 'g') AS digits, CASE WHEN contains(i, '. ') THEN substr(i, strpos(i, '. ') + 2) ELSE i END AS abstract, regexp_replace(concat_ws(',  ', performer, composer), ',\s*', ', ', 'g') AS names,
+  '"' || track_id || '\' AS plain, 'a b ' || track_id AS line, concat_ws(' | ', CASE WHEN performer IS NULL THEN 'Error: none' END, 'Reasoning: ' || nullif(composer, ''), 'Concerns: a; b') AS comment FROM t""",
+    "expanded_names": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'http://schema.org/size' ELSE 'http://x/y:' END || p_size AS iri FROM part",
+    "events_per_hour": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "workbook_file": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
     "json_file": "SELECT DISTINCT review_id, review_body, source FROM reviews",
     "html_files": "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation",
