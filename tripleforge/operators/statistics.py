@@ -99,12 +99,11 @@ def tallies(df: DataFrame, classes: dict[str, Column]) -> DataFrame:
 def samples(df: DataFrame, key: str, text: str, order: str, n: int = 5, width: int = 200) -> DataFrame:
     """The first ``n`` texts of each key, cut to ``width``, with the number of all of them.
 
-    Ranks are taken within slices of a key first, so that no task gets all rows of a frequent one.
+    The limit on the rank is applied before the shuffle, too (a window group limit), and counts are partial sums, so that
+    no task gets all rows of a frequent key.
     """
     held = df.select(key, F.col(order).alias("_o"), F.substring(text, 1, width).alias("t"))
-    first = F.row_number().over(Window.partitionBy(key, F.pmod(F.xxhash64("_o"), F.lit(64))).orderBy("_o"))
-    some = held.withColumn("_n", first).where(F.col("_n") <= n).drop("_n")
-    rows = some.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_o"))).where(F.col("_n") <= n)
+    rows = held.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_o"))).where(F.col("_n") <= n)
     kept = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "t"))).alias("_s"))
     counts = df.groupBy(key).agg(F.count("*").alias("n_all"))
     return kept.join(counts.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).select(key, "n_all", F.transform("_s", lambda x: x.t).alias("samples"))
