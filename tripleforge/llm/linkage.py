@@ -110,6 +110,12 @@ def sort_keys() -> Column:
     return F.array(*[F.concat(F.lit(str(k)), end, F.lit("|"), t) for k, (end, t) in enumerate(pairs)])
 
 
+def _title_of(key: str) -> str:
+    """The title within a sort key, which every other key holds backwards."""
+    title = key[key.index("|") + 1 :]
+    return title[::-1] if key[0] in "135" else title
+
+
 def sliding_pairs(records: DataFrame, payload: list[str], compare: Callable, schema: str, width: int) -> DataFrame:
     """Runs ``compare`` over all pairs of records at most ``width`` places apart in the order of ``key`` and the payload.
 
@@ -168,7 +174,7 @@ def _compare(frame: pd.DataFrame, new: int, width: int) -> pd.DataFrame:
     """Candidate pairs of a track and a video: same block, like titles, agreeing artists."""
     block = np.array([zlib.crc32(k[:6].encode()) for k in frame["key"]], dtype=np.int64)
     native, side, bucket = frame["native"].to_numpy(), frame["side"].to_numpy(), frame["bucket"].to_numpy()
-    titles, artists = frame["title"].tolist(), list(zip(frame["kind"], frame["family"], frame["given"], strict=True))
+    titles, artists = [_title_of(k) for k in frame["key"]], list(zip(frame["kind"], frame["family"], frame["given"], strict=True))
     length = np.array([len(t) for t in titles])
     # one typo leaves the first or the last three letters of a title as they were
     head, tail = (np.array([zlib.crc32(t.encode()) for t in ends], dtype=np.int64) for ends in ([t[:3] for t in titles], [t[-3:] for t in titles]))
@@ -424,8 +430,9 @@ def link_tracks(tracks: DataFrame, videos: DataFrame, width: int = 40) -> DataFr
     field = ["side", "title", "kind", "family", "given"]
     rows = materialize(rows.withColumn("rid", F.xxhash64(*field)), "readings")
     readings_ = materialize(rows.select("rid", *field).distinct(), "distinct")
-    records = readings_.select(F.explode(sort_keys()).alias("key"), "rid", *field)
-    near = sliding_pairs(records, ["title", "family", "given", "kind", "side", "rid"], _compare, "track long, video long, slips int, title_agrees double, artist_agrees double", width)
+    # the title is part of the key and need not be carried beside it
+    records = readings_.select(F.explode(sort_keys()).alias("key"), "rid", "side", "kind", "family", "given")
+    near = sliding_pairs(records, ["family", "given", "kind", "side", "rid"], _compare, "track long, video long, slips int, title_agrees double, artist_agrees double", width)
     pairs = materialize(near.union(equal_pairs(readings_)).distinct(), "pairs")
     titles = rows.where("side = 0").select("title").distinct()
     known = rows.where("side = 1").join(titles, "title", "left_semi").select(F.col("rid").alias("video")).distinct()
