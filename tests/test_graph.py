@@ -112,3 +112,35 @@ def test_main_entities_and_injection(spark):
     assert sorted(r["url"] for r in lost.collect()) == ["u4", "u5"]
     records = {r["title"]: r for r in media.soundtrack_records(triples).collect()}
     assert records["Blue"]["performer"] == "Ann Bell" and records[' Red "River"']["composer"] == "nm2"
+
+
+_AFTER = "WHERE { ?x e:name ?n OPTIONAL { ?x e:age ?a . ?x e:knows ?y } ?s e:knows ?y . ?s e:name ?m } GROUP BY ?x"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f"SELECT ?x (COUNT(?s) AS ?k) (COUNT(*) AS ?all) {_AFTER}", [("a", "3.0", "3.0"), ("b", "2.0", "2.0"), ("c", "4.0", "4.0"), ("d", "4.0", "4.0")]),
+        (f"SELECT ?x (COUNT(?a) AS ?k) (MAX(?y) AS ?most) {_AFTER}", [("a", "3.0", "c"), ("b", "2.0", "c"), ("c", "0.0", "c"), ("d", "0.0", "c")]),
+        (f"SELECT ?x (COUNT(DISTINCT ?s) AS ?k) {_AFTER} HAVING(COUNT(?m) > 2)", [("a", "2.0"), ("c", "3.0"), ("d", "3.0")]),
+        (f"SELECT ?x (GROUP_CONCAT(?m; SEPARATOR = '+') AS ?k) {_AFTER}", [("a", "Ann+Ann+Bob"), ("b", "Ann+Bob"), ("c", "Ann+Ann+Bob+Cy"), ("d", "Ann+Ann+Bob+Cy")]),
+        ("SELECT ?x ?m WHERE { ?x e:name ?n OPTIONAL { ?x e:mail ?v } ?s e:name ?m . ?s e:mail ?v }", [("a", "Dee"), ("b", "Dee"), ("c", "Dee"), ("d", "Dee")]),
+    ],
+)
+def test_patterns_after_unbound_variables(graph, text, want):
+    assert run(graph, text) == want
+
+
+def test_counting_joins_no_more_rows_than_groups(spark, tmp_path, monkeypatch):
+    from tripleforge.operators import patterns as algebra
+    from tripleforge.plans import graph_queries
+
+    customers = [(i, f"c{i}", i % 3, 9995.0 if i % 20 == 0 else 5.0, "BUILDING" if i % 2 == 0 else "OTHER") for i in range(80)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, f"s{i}", i % 3, 1.0) for i in range(60)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    made, join = [], algebra.join
+    monkeypatch.setattr(algebra, "join", lambda *args, **more: made.append(join(*args, **more)) or made[-1])
+    got = sorted(map(tuple, graph_queries.bgp_optional_then_join(spark, str(tmp_path)).collect()))
+    assert got == sorted((i, n, 20) for i in range(0, 80, 2) for n in range(3) if i % 20 or n == i % 3)
+    # one row per customer of any segment and nation; each customer with each party would be 80 * 140
+    assert max(df.count() for df in made) <= 80 * 3

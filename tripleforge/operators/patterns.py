@@ -77,10 +77,10 @@ def _shared(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
 
 
-def join(a: DataFrame, b: DataFrame, maybe_unbound: set[str] | None = None) -> DataFrame:
+def join(a: DataFrame, b: DataFrame, maybe_unbound: set[str] | None = None, bound: set[str] | None = None) -> DataFrame:
     """Compatible solutions of both. Variables in ``maybe_unbound`` may be null, which is compatible with anything;
-    all others are plain join keys."""
-    return _combine(a, b, "inner", maybe_unbound or set())
+    all others are plain join keys. Those in ``bound`` are never null in ``b``, which saves joins."""
+    return _combine(a, b, "inner", maybe_unbound or set(), bound or set())
 
 
 def optional(a: DataFrame, b: DataFrame, maybe_unbound: set[str] | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def optional(a: DataFrame, b: DataFrame, maybe_unbound: set[str] | None = None)
     return _combine(a, b, "left", maybe_unbound or set())
 
 
-def _combine(a: DataFrame, b: DataFrame, how: str, loose: set[str]) -> DataFrame:
+def _combine(a: DataFrame, b: DataFrame, how: str, loose: set[str], bound: set[str] = frozenset()) -> DataFrame:
     """Joins on plain keys only: rows are split by which of their loose variables are bound, and each pair of parts is
     joined on what both have bound. One loose variable makes four joins, of which those of empty parts cost nothing."""
     shared = _shared(a, b)
@@ -101,9 +101,9 @@ def _combine(a: DataFrame, b: DataFrame, how: str, loose: set[str]) -> DataFrame
     out = None
     for mask in masks:
         left = own = part(a, mask)
-        for other in masks:
+        for other in (m for m in masks if all(m[i] for i, c in enumerate(open_) if c in bound)):
             keys = [c for c in shared if c not in open_ or mask[open_.index(c)] and other[open_.index(c)]]
-            right = part(b, other)
+            right = part(b, other) if set(open_) - bound else b
             filled = [c for c in open_ if not mask[open_.index(c)] and other[open_.index(c)]]
             renamed = right.select(*keys, *[F.col(c).alias(f"_r_{c}") for c in filled], *rest)
             found = own.join(renamed, keys).select(*[F.col(f"_r_{c}").alias(c) if c in filled else F.col(c) for c in a.columns], *rest)

@@ -9,8 +9,10 @@ A literal with datatype or language matches only such literals, one without matc
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -487,18 +489,68 @@ def _path(triples: DataFrame, s: str, path: tuple, o: str, prefixes: dict, fresh
     return out.select(GRAPH, *[F.col(c).alias(v[1:]) for v, c in names.items()])
 
 
-def _evaluate(triples: DataFrame, elements: list, prefixes: dict, fresh: _State) -> tuple[DataFrame, set[str]]:
-    """Solutions of a group and its variables that may be unbound."""
+def _names(triple: tuple) -> set[str]:
+    """The variables of a triple pattern."""
+    terms = lambda path: {path[1]} if path[0] == "term" else set().union(*[terms(x) for x in path[1:] if isinstance(x, tuple)])
+    return {t[1:] for t in {triple[1], triple[3]} | terms(triple[2]) if is_variable(t)}
+
+
+def _linked(run: list, known: set[str]) -> list[list]:
+    """Triple patterns that follow each other, in groups that share no variable but ``known`` ones; each pattern of a
+    group shares one with those before it."""
+    groups = []
+    while run:
+        group, run = run[:1], run[1:]
+        while more := next((t for t in run if any(_names(t) & _names(u) - known for u in group)), None):
+            group.append(more)
+            run = [t for t in run if t is not more]
+        groups.append(group)
+    return groups
+
+
+def _counted(block: DataFrame, wanted: set[str], fresh: _State) -> DataFrame:
+    """Solutions cut to the ``wanted`` variables, each once with the number of its repetitions in a column ``_w…``."""
+    keys = [c for c in block.columns if c == GRAPH or c.removeprefix("_k_") in wanted]
+    if len(keys) == len(block.columns):
+        return block
+    fresh.count += 1
+    return block.groupBy(*keys).agg(F.count("*").alias(f"_w{fresh.count}"))
+
+
+def _evaluate(triples: DataFrame, elements: list, prefixes: dict, fresh: _State, spare: set[str] = frozenset()) -> tuple[DataFrame, set[str]]:
+    """Solutions of a group and its variables that may be unbound.
+
+    Patterns after a variable that may be unbound are joined with each other first: one by one, each solution without
+    that variable would meet all that the first of them finds. Where only the number of solutions counts, those that differ
+    in ``spare`` variables alone become one with a number.
+    """
     out: DataFrame | None = None
     loose: set[str] = set()
     filters = []
+    triples_of = [e for e in elements if e[0] == "triple"]
+    done: list = []
 
     def both(a: DataFrame | None, b: DataFrame, unbound: set[str]) -> DataFrame:
         return b if a is None else algebra.join(a, b, unbound)
 
-    for e in elements:
+    for i, e in enumerate(elements):
         if e[0] == "triple":
-            out = both(out, _path(triples, e[1], e[2], e[3], prefixes, fresh), loose)
+            if any(e is t for t in done):
+                continue
+            rest = [x for x in elements[i:] if x[0] != "filter"]
+            run = list(itertools.takewhile(lambda x: x[0] == "triple", rest))
+            known = set(algebra.variables(out)) if out is not None else set()
+            for group in _linked(run, known):
+                done += group
+                names = set().union(*map(_names, group))
+                found = [_path(triples, t[1], t[2], t[3], prefixes, fresh) for t in group]
+                if names & known & loose:
+                    block = reduce(algebra.join, found)
+                    others = set().union(*[_names(t) for t in triples_of if not any(t is u for u in group)])
+                    found = [_counted(block, names - (spare - known - others), fresh) if spare else block]
+                for x in found:
+                    out = x if out is None else algebra.join(out, x, loose, names)
+                loose -= names
         elif e[0] == "filter":
             filters.append(e[1])
         elif e[0] == "select":
@@ -565,9 +617,39 @@ def _asked_kinds(e) -> set[str]:
     return set().union(*map(_asked_kinds, e)) if isinstance(e, (tuple, list)) else set()
 
 
+def _aggregates(e) -> list[tuple]:
+    """The aggregates within an expression or list."""
+    if isinstance(e, tuple) and e[:1] == ("aggregate",):
+        return [e]
+    return [a for x in e for a in _aggregates(x)] if isinstance(e, (tuple, list)) else []
+
+
+def _mentioned(e) -> set[str]:
+    """Variables that expressions, patterns or queries mention, but for those of which they only count the solutions."""
+    if isinstance(e, Query):
+        return set().union(*map(_mentioned, (e.columns, e.where, e.group, e.having, e.order)))
+    if isinstance(e, tuple) and e[:2] == ("aggregate", "count") and not e[3] and e[2] and e[2][0] == "term":
+        return set()
+    if isinstance(e, str):
+        return {e.removeprefix("?")}
+    return set().union(*map(_mentioned, e)) if isinstance(e, (tuple, list)) else set()
+
+
+def _spare(q: Query) -> set[str]:
+    """Variables of triple patterns that nothing else in a grouped query needs. There are none if an aggregate depends on
+    repeated solutions and is no number of them."""
+    asked = (q.columns, q.group, q.having, q.order)
+    several = [a for a in _aggregates(list(asked)) if not (a[1] in ("count", "min", "max", "sample") or a[3] and a[1] in ("sum", "group_concat"))]
+    if "*" in q.columns or several or not (q.group or _aggregates(list(asked))):
+        return set()
+    own = set().union(*[_names(e) for e in q.where if e[0] == "triple"])
+    return own - _mentioned([*asked, *[e for e in q.where if e[0] != "triple"]])
+
+
 def _select(triples: DataFrame, q: Query, fresh: _State) -> DataFrame:
     fresh.kinds |= _asked_kinds(q)
-    solutions, _ = _evaluate(triples, q.where, q.prefixes, fresh)
+    spare = _spare(q)
+    solutions, _ = _evaluate(triples, q.where, q.prefixes, fresh, spare)
     for name, e in q.group:
         if e is not None:
             solutions = solutions.withColumn(name[1:], _compile(e, set(algebra.variables(solutions)), q.prefixes)[0].cast("string"))
@@ -581,7 +663,9 @@ def _select(triples: DataFrame, q: Query, fresh: _State) -> DataFrame:
     known = have | set(made)
     order = [(_compile(e, known, q.prefixes, aggregates), down) for e, down in q.order]
     if grouped:
-        measures = [_measure(e, have, q.prefixes).alias(name) for e, name in aggregates.items()]
+        weights = [F.col(v) for v in have if re.fullmatch(r"_w\d+", v)]
+        times = reduce(lambda a, b: a * b, weights) if weights else None
+        measures = [_measure(e, have, q.prefixes, times, spare - have).alias(name) for e, name in aggregates.items()]
         keys = [GRAPH, *(v[1:] for v, _ in q.group)]
         solutions = solutions.groupBy(*keys).agg(*measures) if measures else solutions.select(*keys).distinct()
         for h in having:
@@ -616,10 +700,14 @@ def _has_aggregate(e) -> bool:
     return isinstance(e, tuple) and (e[0] == "aggregate" or any(_has_aggregate(x) for x in e)) or isinstance(e, list) and any(_has_aggregate(x) for x in e)
 
 
-def _measure(e: tuple, have: set[str], prefixes: dict) -> Column:
+def _measure(e: tuple, have: set[str], prefixes: dict, times: Column | None = None, gone: set[str] = frozenset()) -> Column:
+    """An aggregate as a column. ``times`` is the number of solutions that a row stands for, ``gone`` are variables that
+    were bound in all of them but have no column any more."""
     _, name, argument, distinct, separator = e
-    if argument is None:
-        return F.count(F.lit(1)).cast("double")
+    if argument is None or argument[0] == "term" and argument[1][1:] in gone:
+        return (F.count(F.lit(1)) if times is None else F.sum(times)).cast("double")
+    if times is not None and name == "count" and not distinct:
+        return F.coalesce(F.sum(F.when(_compile(argument, have, prefixes)[0].isNotNull(), times)), F.lit(0)).cast("double")
     column, kind = _compile(argument, have, prefixes)
     number = column if kind == "number" else numeric(column.cast("string"))
     if name == "count":
