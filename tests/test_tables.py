@@ -162,3 +162,48 @@ def test_names_and_links_of_every_row(spark, tmp_path):
     spark.createDataFrame([(*t, None, None, None, None) for t in tracks], schema).write.parquet(f"{tmp_path}/soundtrack_tracks.parquet")
     assert sorted(map(tuple, media_queries.injected_urls_all(spark, str(tmp_path)).collect())) == [(1, "v/1"), (2, "v/2"), (3, "v/3")]
     assert sorted(map(tuple, media_queries.injected_unmatched_all(spark, str(tmp_path)).collect())) == [("m", "no such one", "v/1"), ("m", "no such two", "v/2"), ("n", "no such one", "v/3")]
+
+
+def _odd_parties(spark, path):
+    """Customers and suppliers with balances that tie after rounding only, are missing, endless or no number, and with repeated or missing keys."""
+    import random
+
+    draw, inf, nan = random.Random(3), float("inf"), float("nan")
+    near = [100 + k * 1.5e-14 for k in range(40)] + [0.1 + 0.2, 0.3, 0.1, 0.2] + [k / 100 for k in range(5)] + [3e4, -3e4, 1e9]
+    customers = [(draw.choice([i, i, i, 7, None]), draw.choice([*range(9), None]), draw.choice([*near, *near, None, -5.0, nan, inf, draw.uniform(-1000, 10000)])) for i in range(600)]
+    # nations 0 to 3 have numbers only, 4 to 6 also the rest, 7 one supplier without key, 8 none
+    suppliers = [(draw.choice([i, i, 12]), i % 4, draw.choice([*near, draw.uniform(-1000, 10000)])) for i in range(160)]
+    suppliers += [(draw.choice([i, i, None]), 4, draw.choice([*near, None])) for i in range(160, 190)] + [(i, 5, draw.choice([inf, -inf, nan, 1.0])) for i in range(190, 196)] + [(i, 6, draw.choice([inf, -inf, 5.0])) for i in range(196, 202)]
+    suppliers += [(None, 7, 4.0), (202, None, 4.0)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{path}/supplier.parquet")
+
+
+def _same_as_sql(spark, path, name):
+    import duckdb
+
+    from tripleforge.plans import table_queries
+
+    db = duckdb.connect()
+    for table in ("customer", "supplier", "part"):
+        if (path / f"{table}.parquet").exists():
+            db.execute(f"create view {table} as select * from '{path}/{table}.parquet/*.parquet'")
+    df = table_queries.QUERIES[name](spark, str(path))
+    want = db.execute(f"select {', '.join(df.columns)} from ({table_queries.ORACLES[name]})").fetchall()
+    got = sorted(map(tuple, df.collect()), key=repr)
+    assert len(got) == len(want)
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("bounds", [(100_000, 500_000), (40, 9)])
+def test_best_matches_of_odd_balances_without_pairs(spark, tmp_path, monkeypatch, bounds):
+    from tripleforge.operators import linking
+
+    _odd_parties(spark, tmp_path)
+    seen, best = [], linking.best_matches
+    monkeypatch.setattr(linking, "best_matches", lambda rows, *more: seen.append(rows.count()) or best(rows, *more))
+    monkeypatch.setattr(linking, "TASK_ITEMS", bounds[0])
+    monkeypatch.setattr(linking, "TASK_CHOICES", bounds[1])
+    _same_as_sql(spark, tmp_path, "link_best_match_fallback")
+    if bounds[0] > 600:
+        assert seen[0] <= 600

@@ -144,9 +144,7 @@ def link_relax_cascade_all(spark: SparkSession, d: str) -> DataFrame:
 def _links(spark: SparkSession, d: str) -> DataFrame:
     customers = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     suppliers = load(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), "s_acctbal")
-    pairs = customers.join(suppliers, "c_nationkey")
-    score = lambda: F.when(F.col("c_acctbal") >= 0, 1 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 20000)
-    return linking.best_matches(pairs, "c_custkey", "s_suppkey", score)
+    return linking.nearest_matches(customers, suppliers, "c_nationkey", "c_custkey", "c_acctbal", "s_suppkey", "s_acctbal", 20000, F.col("c_acctbal") >= 0)
 
 
 def link_best_match_fallback(spark: SparkSession, d: str) -> DataFrame:
