@@ -197,8 +197,6 @@ def _same_as_sql(spark, path, name):
 
 @pytest.mark.parametrize("bounds", [(100_000, 500_000), (40, 9)])
 def test_best_matches_of_odd_balances_without_pairs(spark, tmp_path, monkeypatch, bounds):
-    from tripleforge.operators import linking
-
     _odd_parties(spark, tmp_path)
     seen, best = [], linking.best_matches
     monkeypatch.setattr(linking, "best_matches", lambda rows, *more: seen.append(rows.count()) or best(rows, *more))
@@ -207,3 +205,11 @@ def test_best_matches_of_odd_balances_without_pairs(spark, tmp_path, monkeypatch
     _same_as_sql(spark, tmp_path, "link_best_match_fallback")
     if bounds[0] > 600:
         assert seen[0] <= 600
+
+
+def test_result_classes_of_odd_balances_without_pairs(spark, tmp_path, monkeypatch):
+    _odd_parties(spark, tmp_path)
+    seen, best = [], linking.best_matches
+    monkeypatch.setattr(linking, "best_matches", lambda rows, *more: seen.append(rows.count()) or best(rows, *more))
+    _same_as_sql(spark, tmp_path, "link_result_classes")
+    assert seen[0] <= 600

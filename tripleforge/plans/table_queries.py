@@ -153,7 +153,7 @@ def link_best_match_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 def link_result_classes(spark: SparkSession, d: str) -> DataFrame:
     results = load(spark, d, "customer").join(_links(spark, d).select("c_custkey", "s_suppkey", "scored"), "c_custkey", "left")
-    failed = F.when(~F.col("scored"), F.lit("scorer failed"))
+    failed = F.when(F.col("s_suppkey").isNotNull() & ~F.col("scored"), F.lit("scorer failed"))
     return linking.result_classes(results.withColumn("error", failed), "s_suppkey", "error")
 
 
