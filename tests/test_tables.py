@@ -213,3 +213,27 @@ def test_result_classes_of_odd_balances_without_pairs(spark, tmp_path, monkeypat
     monkeypatch.setattr(linking, "best_matches", lambda rows, *more: seen.append(rows.count()) or best(rows, *more))
     _same_as_sql(spark, tmp_path, "link_result_classes")
     assert seen[0] <= 600
+
+
+def test_cascade_of_repeated_and_missing_keys(spark, tmp_path, monkeypatch):
+    import random
+
+    from tripleforge.plans import table_queries
+
+    draw = random.Random(5)
+    parts = [(draw.choice([i, i, 3, None]), draw.choice(["a", "b", None]), draw.choice(["x", "y", None])) for i in range(60)]
+    # a key alone with its brand but twice, alone with its type, and in two types
+    parts += [(100, "c", "x"), (100, "c", "x"), (101, "a", "z"), (102, "d", "w"), (102, "d", "x"), (103, "e", "v"), (104, "f", "v"), (105, "f", "v")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(table_queries, "LIST_KEYS", 3)
+    _same_as_sql(spark, tmp_path, "link_relax_cascade_all")
+
+
+def test_cascade_moves_no_pairs(spark, tmp_path):
+    from tripleforge.plans import table_queries
+
+    spark.range(3).selectExpr("id as p_partkey", "'a' as p_brand", "'x' as p_type").write.parquet(f"{tmp_path}/part.parquet")
+    plan = table_queries.link_relax_cascade_all(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert plan[0].startswith("Union")
+    # pairs come out of the lists, after all joins
+    assert any("Generate explode" in line for line in plan[:5]) and not any("Join" in line for line in plan[:5])

@@ -128,17 +128,43 @@ def video_links(spark: SparkSession, d: str) -> DataFrame:
 def link_relax_cascade_all(spark: SparkSession, d: str) -> DataFrame:
     """Every part as item and every other part as candidate, first of its type and brand, then of its type.
 
-    Parts that are alone with their type and brand are known from counts, so that only they are joined by type.
+    Which of the two a part gets is known from the least and greatest key of its type and brand, so that pairs are made
+    once, in the end, and not moved: lists of items meet lists of candidates and are dealt out to tasks.
     """
     parts = load(spark, d, "part").select("p_partkey", "p_brand", "p_type")
-    pool = parts.select(F.col("p_partkey").alias("candidate"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"))
-    several = parts.groupBy("p_type", "p_brand").agg(F.count("*").alias("_n")).where("_n > 1")
-    alone = parts.join(several, ["p_type", "p_brand"], "left_anti")
-    one = lambda items, c: items.join(pool, c & (items.p_partkey != pool.candidate)).select("p_partkey", "candidate")
-    near = one(parts, (parts.p_type == pool.t) & (parts.p_brand == pool.b)).withColumn("attempt", F.lit(0))
-    far = one(alone, alone.p_type == pool.t).withColumn("attempt", F.lit(1))
-    out = parts.select("p_partkey").join(near.union(far), "p_partkey", "left")
-    return out.withColumn("error", F.when(F.col("attempt").isNull(), F.lit("no candidates")))
+    several = F.min("p_partkey") < F.max("p_partkey")
+    nears = parts.groupBy("p_type", "p_brand").agg(several.alias("_near")).where("_near")
+    fars = parts.groupBy("p_type").agg(several.alias("_far")).where("_far")
+    rows = parts.join(nears, ["p_type", "p_brand"], "left").join(fars, "p_type", "left")
+    has = lambda c: F.col("p_partkey").isNotNull() & F.coalesce(c, F.lit(False))
+    # a key that is there several times has the candidates of all its rows, as often as there are rows
+    keys = rows.groupBy("p_partkey").agg(F.collect_list(F.struct("p_type", "p_brand", has("_near").alias("_near"), has("_far").alias("_far"))).alias("_rows"))
+    any_ = lambda c: F.exists("_rows", lambda r: r[c])
+    keys = keys.withColumn("attempt", F.when(any_("_near"), 0).when(any_("_far"), 1))
+    each = keys.where("attempt is not null").select("p_partkey", "attempt", F.explode(F.array_repeat(F.filter("_rows", lambda r: F.when(F.col("attempt") == 0, r["_near"]).otherwise(r["_far"])), F.size("_rows"))).alias("_r"))
+    items = each.select("p_partkey", "attempt", F.explode("_r").alias("_r")).select("p_partkey", "attempt", "_r.p_type", F.when(F.col("attempt") == 0, F.col("_r.p_brand")).alias("p_brand"))
+    near = _pairs(items.where("attempt = 0"), parts, ["p_type", "p_brand"]).withColumn("attempt", F.lit(0))
+    far = _pairs(items.where("attempt = 1"), parts, ["p_type"]).withColumn("attempt", F.lit(1))
+    none = keys.where("attempt is null").select(F.explode(F.transform("_rows", lambda r: F.col("p_partkey"))).alias("p_partkey"), F.lit(None).cast("long").alias("candidate"), "attempt")
+    return near.union(far).union(none).withColumn("error", F.when(F.col("attempt").isNull(), F.lit("no candidates")))
+
+
+#: Keys in one list of ``_pairs``.
+LIST_KEYS = 2_000
+
+
+def _pairs(items: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
+    """Items and the other parts that agree with them in ``by``."""
+
+    def lists(df: DataFrame, number: str, name: str) -> DataFrame:
+        sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / LIST_KEYS).cast("int").alias("_n"))
+        dealt = df.join(sizes, by).withColumn(number, F.pmod(F.xxhash64("p_partkey"), F.col("_n")).cast("int"))
+        return dealt.groupBy(*by, number).agg(F.collect_list("p_partkey").alias(name))
+
+    met = lists(items, "_i", "_items").join(lists(parts.where("p_partkey is not null"), "_j", "_others"), by)
+    # dealt out in turn to several tasks a core, since each row stands for as many pairs as two lists make
+    met = met.repartition(max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * parts.sparkSession.sparkContext.defaultParallelism))
+    return met.select(F.explode("_items").alias("p_partkey"), "_others").select("p_partkey", F.explode("_others").alias("candidate")).where("candidate <> p_partkey")
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
