@@ -237,3 +237,21 @@ def test_cascade_moves_no_pairs(spark, tmp_path):
     assert plan[0].startswith("Union")
     # pairs come out of the lists, after all joins
     assert any("Generate explode" in line for line in plan[:5]) and not any("Join" in line for line in plan[:5])
+
+
+def test_cascade_holds_pairs_of_one_item_at_a_time(spark, tmp_path, monkeypatch):
+    import re
+
+    from tripleforge.plans import table_queries
+
+    parts = [(i, "a" if i % 3 else f"b{i}", "x") for i in range(20)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(table_queries, "ITEM_KEYS", 2, raising=False)
+    monkeypatch.setattr(table_queries, "LIST_KEYS", 5)
+    _same_as_sql(spark, tmp_path, "link_relax_cascade_all")
+    df = table_queries.link_relax_cascade_all(spark, str(tmp_path))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # one generated loop over both lists would hold the pairs of both in memory
+    within = {x: set(re.findall(rf"\*\((\d+)\) Generate explode\(_{x}#", plan)) for x in ("items", "others")}
+    assert len(within["items"]) == len(within["others"]) == 2 and not within["items"] & within["others"]

@@ -149,22 +149,25 @@ def link_relax_cascade_all(spark: SparkSession, d: str) -> DataFrame:
     return near.union(far).union(none).withColumn("error", F.when(F.col("attempt").isNull(), F.lit("no candidates")))
 
 
-#: Keys in one list of ``_pairs``.
-LIST_KEYS = 2_000
+#: Items and candidates in one list of ``_pairs``. Each item is held with a list of candidates, so lists of items are shorter.
+ITEM_KEYS, LIST_KEYS = 500, 4_000
 
 
 def _pairs(items: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
     """Items and the other parts that agree with them in ``by``."""
 
-    def lists(df: DataFrame, number: str, name: str) -> DataFrame:
-        sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / LIST_KEYS).cast("int").alias("_n"))
+    def lists(df: DataFrame, most: int, number: str, name: str) -> DataFrame:
+        sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / most).cast("int").alias("_n"))
         dealt = df.join(sizes, by).withColumn(number, F.pmod(F.xxhash64("p_partkey"), F.col("_n")).cast("int"))
         return dealt.groupBy(*by, number).agg(F.collect_list("p_partkey").alias(name))
 
-    met = lists(items, "_i", "_items").join(lists(parts.where("p_partkey is not null"), "_j", "_others"), by)
+    met = lists(items, ITEM_KEYS, "_i", "_items").join(lists(parts.where("p_partkey is not null"), LIST_KEYS, "_j", "_others"), by)
     # dealt out in turn to several tasks a core, since each row stands for as many pairs as two lists make
-    met = met.repartition(max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * parts.sparkSession.sparkContext.defaultParallelism))
-    return met.select(F.explode("_items").alias("p_partkey"), "_others").select("p_partkey", F.explode("_others").alias("candidate")).where("candidate <> p_partkey")
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * parts.sparkSession.sparkContext.defaultParallelism)
+    each = met.repartition(tasks).select(F.explode("_items").alias("p_partkey"), "_others")
+    # generated code holds all that comes of one row of its input; coalesce moves nothing, but ends it, so that these are
+    # the pairs of one item and not of two lists
+    return each.coalesce(tasks).select("p_partkey", F.explode("_others").alias("candidate")).where("candidate <> p_partkey")
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
